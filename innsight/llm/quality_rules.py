@@ -11,7 +11,7 @@ from .common import BLANKS, let
 
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-WINDOW = 8
+WINDOW = 8  # a power of two: hashes of windows are made by doubling
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
     "the of and to in is that it for with as was be this from on at by are or an "
@@ -60,8 +60,12 @@ def _repeat_words(words: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(pairs, of_sorted))
 
+    def twice_as_wide(own: Column, step: int) -> Column:
+        """Hashes of 2 * step words from those of step words; the last ones, which lack words, are cut off below."""
+        return let(own, lambda x: F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda u, v: F.xxhash64(u, v)))
+
     def windows(own: Column) -> Column:
-        return let(F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(own, i, WINDOW))), covered)
+        return let(F.slice(twice_as_wide(twice_as_wide(twice_as_wide(own, 1), 2), 4), F.lit(1), n - (WINDOW - 1)), covered)
 
     return F.when(n > WINDOW, let(F.transform(words, lambda w: F.xxhash64(w)), windows)).otherwise(F.lit(0).cast("long"))
 
@@ -76,7 +80,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
 
     def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"), F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("s"))
+        return F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"), F.size(F.filter(w, lambda x: (F.length(x) <= max(map(len, STOP_WORDS))) & F.lower(x).isin(STOP_WORDS))).cast("long").alias("s"))
 
     def of_lines(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))
