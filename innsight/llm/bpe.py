@@ -27,6 +27,66 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
 
 
+class PairTable:
+    """Pairs of symbols that merge: left and right symbol, the pair's rank and the symbol it makes. Symbols are below size; what has no pair may be any number."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray, size: int):
+        order = np.argsort(left * size + right, kind="stable")
+        self.keys, self.rank, self.size, self.none = (left * size + right)[order], rank[order], size, int(rank.max(initial=0)) + 1
+        self.made = np.zeros(self.none, np.int64)
+        self.made[rank] = made
+        lowest = np.full(size, self.none)
+        np.minimum.at(lowest, left, rank)
+        np.minimum.at(lowest, right, rank)
+        #: Ranks whose product takes part in a merge of a lower rank: these merge one pair at a time, as that merge may come first.
+        self.alone = lowest[self.made] < np.arange(self.none)
+
+    def ranks(self, a: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Rank of the pair that begins at each symbol; `none` where there is none."""
+        out = np.full(len(a), self.none)
+        if len(a) > 1:
+            k = a[:-1] * self.size + a[1:]
+            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+            out[:-1] = np.where((self.keys[at] == k) & (word[:-1] == word[1:]), self.rank[at], self.none)
+        return out
+
+    def merge(self, a: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that survive, word by word, and how many each word has. a: the symbols of all words end to end; word: the number of each symbol's word."""
+        done_ids, done_words = [], []
+        none = self.none
+        while len(a):
+            rank = self.ranks(a, word)
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            low = np.minimum.reduceat(rank, first)
+            n = np.diff(np.r_[first, len(a)])
+            low = np.repeat(low, n)
+            over = low == none
+            if over.any():  # words without a pair left are out
+                done_ids.append(a[over])
+                done_words.append(word[over])
+                a, word, rank, low = a[~over], word[~over], rank[~over], low[~over]
+                if not len(a):
+                    break
+            hit = np.flatnonzero(rank == low)
+            # in runs of hits that overlap (x x x), each other one merges, from the left; of ranks that go alone, the word's first
+            fresh = np.r_[True, np.diff(hit) > 1] if len(hit) else np.zeros(0, bool)
+            run = np.flatnonzero(fresh)
+            place = np.arange(len(hit)) - np.repeat(run, np.diff(np.r_[run, len(hit)]))
+            take = place % 2 == 0
+            lone = self.alone[rank[hit]]
+            if lone.any():
+                take &= ~lone | np.r_[True, word[hit][1:] != word[hit][:-1]]
+            hit = hit[take]
+            a = a.copy()
+            a[hit] = self.made[rank[hit]]
+            keep = np.ones(len(a), bool)
+            keep[hit + 1] = False
+            a, word = a[keep], word[keep]
+        ids, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_ids, done_words))
+        order = np.argsort(at, kind="stable")
+        return ids[order], np.bincount(at, minlength=n_words)
+
+
 class WordBpe:
     """The tokenizer of a tokenizers .json file with BPE over words, by rank-synchronous merging.
 
@@ -55,15 +115,7 @@ class WordBpe:
         self.size = max(vocab.values()) + 1
         left, right = (np.array([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
         made = np.array([vocab["".join(m)] for m in merges], np.int64)
-        keys = left * self.size + right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], np.arange(len(merges))[order]
-        self.made = made  # by rank
-        lowest = np.full(self.size, len(merges))
-        np.minimum.at(lowest, left, np.arange(len(merges)))
-        np.minimum.at(lowest, right, np.arange(len(merges)))
-        #: Ranks whose product takes part in a merge of a lower rank: these merge one pair at a time, as that merge may come first.
-        self.alone = lowest[made] < np.arange(len(merges))
+        self.pairs = PairTable(left, right, np.arange(len(merges)), made, self.size)
         self.cache: dict[str, np.ndarray | int] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -72,16 +124,6 @@ class WordBpe:
             return self.find_plain((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
         return self.find(self.normalizer.normalize_str(text))
 
-    def _ranks(self, a: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Rank of the pair that begins at each symbol; a large one where there is none."""
-        none = len(self.made)
-        out = np.full(len(a), none)
-        if len(a) > 1:
-            k = a[:-1] * self.size + a[1:]
-            at = np.minimum(np.searchsorted(self.keys, k), none - 1)
-            out[:-1] = np.where((self.keys[at] == k) & (word[:-1] == word[1:]), self.rank[at], none)
-        return out
-
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words end to end, and how many each word has."""
         raw = [w.encode() for w in words]
@@ -90,39 +132,7 @@ class WordBpe:
         word = np.repeat(np.arange(len(words)), lengths)
         ends = np.cumsum(lengths) - 1
         a[ends] = self.final[np.frombuffer(b"".join(raw), np.uint8)[ends]]
-        done_ids, done_words = [], []
-        none = len(self.made)
-        while len(a):
-            rank = self._ranks(a, word)
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            low = np.minimum.reduceat(rank, first)
-            n = np.diff(np.r_[first, len(a)])
-            low = np.repeat(low, n)
-            over = low == none
-            if over.any():  # words without a pair left are out
-                done_ids.append(a[over])
-                done_words.append(word[over])
-                a, word, rank, low = a[~over], word[~over], rank[~over], low[~over]
-                if not len(a):
-                    break
-            hit = np.flatnonzero(rank == low)
-            # in runs of hits that overlap (x x x), each other one merges, from the left; of ranks that go alone, the word's first
-            fresh = np.r_[True, np.diff(hit) > 1] if len(hit) else np.zeros(0, bool)
-            run = np.flatnonzero(fresh)
-            place = np.arange(len(hit)) - np.repeat(run, np.diff(np.r_[run, len(hit)]))
-            take = place % 2 == 0
-            lone = self.alone[rank[hit]]
-            if lone.any():
-                take &= ~lone | np.r_[True, word[hit][1:] != word[hit][:-1]]
-            hit = hit[take]
-            a = a.copy()
-            a[hit] = self.made[rank[hit]]
-            keep = np.ones(len(a), bool)
-            keep[hit + 1] = False
-            a, word = a[keep], word[keep]
-        ids, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_ids, done_words))
-        order = np.argsort(at, kind="stable")
-        return ids[order], np.bincount(at, minlength=len(words))
+        return self.pairs.merge(a, word, len(words))
 
     def _pieces(self, text: str) -> list[tuple[list[str], int | None]]:
         """Pre-tokens of each stretch between special strings, with the id of the special string after it."""
