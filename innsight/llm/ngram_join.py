@@ -271,6 +271,10 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 class Join:
     """The steps of the join over one table of documents."""
 
@@ -300,7 +304,7 @@ class Join:
         ids = written(self.classes.join(nodes, "node", "left_semi").select("doc_id"), "candidates")
         if ids.count() <= 500_000:  # 8 bytes each; beyond that the texts are shuffled
             ids = F.broadcast(ids)
-        return written(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, set binary"), "candidate-sets").dropDuplicates(["node"])
+        return written(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, set binary"), "candidate-sets")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
@@ -311,21 +315,24 @@ class Join:
     def links(self) -> DataFrame:
         """Edges (a, b) between classes: verified links, enough of them to connect all that link."""
         found = self.lists()
-        pairs = written(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-        sets = self.load(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        edges = written(self.verified(pairs, sets), "links")
+        pairs = written(found.where("kind = 0").groupBy("a", "b").count(), "pairs")
+        # each set meets the one first set with which it shares most; of its other pairs those stay open that lie in two components after that
+        likeliest = pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+        edges = written(self.verified(likeliest, self.load(_nodes(likeliest))), "links")
         lists = found.where("kind = 1").select("list_id", "nodes", "sizes").dropDuplicates(["list_id"])
-        roots = components(edges)
+        roots = written(components(edges), "roots")
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        rest = pairs.join(likeliest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
         flat = lists.select("list_id", F.explode(F.arrays_zip(F.col("nodes").alias("node"), F.col("sizes").alias("n"))).alias("x")).select("list_id", "x.node", "x.n")
         known = flat.join(roots, "node", "left").select("list_id", "node", "n", F.coalesce("root", "node").alias("root"))
         mixed = known.groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("list_id")
         open_ = known.join(mixed, "list_id", "left_semi").groupBy("list_id").agg(F.collect_list(F.struct("node", "root", "n")).alias("x"))
-        more = open_.select(F.explode(_cross(self.percent)("x.node", "x.root", "x.n")).alias("p")).select("p.a", "p.b").distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        cross = open_.select(F.explode(_cross(self.percent)("x.node", "x.root", "x.n")).alias("p")).select("p.a", "p.b")
+        more = written(rest.unionByName(cross).distinct(), "more-pairs")
         if more.isEmpty():
             return edges
-        extra = self.load(more.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        return edges.unionByName(self.verified(more, extra))
+        return edges.unionByName(self.verified(more, self.load(_nodes(more))))
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles and component_id of each document."""
