@@ -307,17 +307,19 @@ class Join:
         return written(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, set binary"), "candidate-sets")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(self.percent), "a long, b long")
+        """The pairs (a, b) that link. The pairs are sent to the sets where there are few of them, so each set of b travels once a pair, and of the others those of a alone."""
+        few = pairs.count() <= 500_000  # 16 bytes each; beyond that both sides are shuffled
+        to_all = F.broadcast if few else lambda df: df
+        y = sets.select(F.col("node").alias("b"), F.col("set").alias("y")).join(to_all(pairs), "b")
+        x = sets.select(F.col("node").alias("a"), F.col("set").alias("x")).join(to_all(pairs.select("a").distinct()), "a", "left_semi")
+        return y.join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(self.percent), "a long, b long")
 
     def links(self) -> DataFrame:
         """Edges (a, b) between classes: verified links, enough of them to connect all that link."""
         found = self.lists()
         pairs = written(found.where("kind = 0").groupBy("a", "b").count(), "pairs")
         # each set meets the one first set with which it shares most; of its other pairs those stay open that lie in two components after that
-        likeliest = pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+        likeliest = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "likeliest")
         edges = written(self.verified(likeliest, self.load(_nodes(likeliest))), "links")
         lists = found.where("kind = 1").select("list_id", "nodes", "sizes").dropDuplicates(["list_id"])
         roots = written(components(edges), "roots")
