@@ -23,6 +23,7 @@ from .bpe import PairTable
 
 SPACE = "▁"
 _WORDS = re.compile("▁+[^▁]*").findall
+_WORD = re.compile("▁+[^▁]*").match
 NONE = -np.inf
 State = tuple[int, int]  # a piece's start and end; (0, 0) is the text's beginning
 _OUT = "doc_id long, row long, chunk int, ids array<int>"
@@ -49,6 +50,7 @@ class Pieces:
         self.pairs = PairTable(*(np.array(c, np.int64) for c in zip(*pairs)), self.size)
         self.alone: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.split: dict[str, list[str]] = {}
 
     def bpe(self, s: str) -> list[str]:
         """Pieces of a short string: the pair of the best score merges first, the leftmost of equals."""
@@ -84,7 +86,25 @@ class Pieces:
         for s in starts:
             ending.setdefault(s[1], []).append(s)
         before: dict[State, State] = {}
-        for p in range(min(ending), hi):
+        p, stop = min(ending) - 1, 0
+        while (p := max(p + 1, stop)) < hi:
+            if p >= lo and p in ending and 0 < p < len(text) and text[p] == SPACE != text[p - 1]:  # between words: what follows doesn't depend on what came
+                stop = _WORD(text, p).end()
+                if stop <= hi:
+                    live, last, own = ending.pop(p), None, 0
+                    for s in live:
+                        own |= reach[s]
+                        last = s if reach[s] else last
+                    at = p
+                    for piece in self.parts(text[p:stop]):
+                        s = (at, at + len(piece))
+                        reach[s] = own
+                        if keep:
+                            before[s] = last
+                        last, at = s, at + len(piece)
+                    ending.setdefault(stop, []).append(last)
+                    continue
+                stop = 0
             for last in ending.pop(p, ()) if p >= lo else ():
                 x, own = text[last[0] : last[1]], reach[last]
                 for e in self.at(text, p):
@@ -99,6 +119,22 @@ class Pieces:
         over = {s: reach[s] for e, own in ending.items() if e >= hi for s in own}
         return (over, before) if keep else over
 
+    def parts(self, word: str) -> list[str]:
+        """Pieces of a word, looked up where it was met before; a long one's by the walk."""
+        if word not in self.split:
+            if len(self.split) > 200_000:
+                self.split.clear()
+            if len(word) <= 64:
+                self.split[word] = self.bpe(word)
+            else:
+                over, before = self.walk(word, 0, len(word), [(0, 0)], keep=True)
+                s, out = next(s for s, own in over.items() if own and s[1] == len(word)), []
+                while s != (0, 0):
+                    out.append(word[s[0] : s[1]])
+                    s = before[s]
+                return out[::-1]
+        return self.split[word]
+
     def entries(self, text: str, cut: int) -> list[State]:
         """All pieces that may lie over a cut (cover the character before it)."""
         if cut == 0:
