@@ -29,7 +29,7 @@ WIDTH = 5
 MOST_LIGHT = 48
 #: Shingles whose counts order the prefixes. The bound changes cost alone: others count as rare.
 MOST_HOT = 200_000
-_BLOCK = 1_500_000
+_BLOCK = 1_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
 
@@ -49,7 +49,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, memo: _Words) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct WIDTH-word shingles; of fewer words, the whole sequence is one."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and the six ASCII blanks
-    if len(memo) > 500_000:
+    if len(memo) > 250_000:
         memo.clear()
     h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
     width = min(WIDTH, len(h))
@@ -280,6 +280,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, text: str = "text", percent: int = PERCENT):
         self.spark, self.percent = docs.sparkSession, percent
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts or two sets: 10,000 of them are 100 MB on both sides of a worker
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
         first = written(self.docs.mapInArrow(_first_pass, "doc_id long, n long, node long, hot binary, hot_n binary, costs binary"), "sets")
         self.sets = first.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
