@@ -7,7 +7,8 @@ single prefix shingles (c = 1) hold the large (heavy) sets and those light ones
 boundary between light and heavy is where the measured costs of both ways are lowest in total.
 
 Lists don't give all their pairs. Each set of a list is compared with the list's first set; then sets that are not yet in one component
-are compared with each other, so every link between components is found and copies never meet pairwise.
+are compared with each other, so every link between components is found and copies never meet pairwise. Before whole sets travel, a pair
+must pass its signatures: the parities of each set's hashes in some 2 n bits differ in no more bits than the sets do in shingles.
 """
 
 from __future__ import annotations
@@ -67,6 +68,23 @@ def node_of(s: np.ndarray) -> int:
     return int(_mix(both).view(np.int64)[0])
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Of each residue of the hashes, whether it is met an odd number of times; as many residues as the power of two from 2 n on."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    """Whether the signatures of sets of n and m shingles leave it open that they link: linked sets differ in (n + m)(1 - t) / (1 + t) shingles at most."""
+    if len(x) < len(y):
+        x, y = y, x
+    u, v, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x) * 8
+    while bits > len(y) * 8:  # half the residues: both halves fall together
+        bits //= 2
+        u = (u >> bits) ^ (u & ((1 << bits) - 1))
+    return (u ^ v).bit_count() * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def need(n, percent: int = PERCENT):
     """Shingles that a set of n must share with any partner."""
     return -(-n * percent // 100)
@@ -95,14 +113,14 @@ def _row_batches(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("hot", pa.binary()), ("hot_n", pa.binary()), ("costs", pa.binary())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("hot", pa.binary()), ("hot_n", pa.binary()), ("costs", pa.binary())])
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and node; per block, in a row without them, the shingles of several sets and the costs of light and heavy by size."""
     for block in _sets(batches):
         n = len(block)
-        yield _row_batches({"doc_id": [d for d, _, _ in block], "n": [len(s) for _, s, _ in block], "node": [k for _, _, k in block], "hot": [None] * n, "hot_n": [None] * n, "costs": [None] * n}, _FIRST)
+        yield _row_batches({"doc_id": [d for d, _, _ in block], "n": [len(s) for _, s, _ in block], "node": [k for _, _, k in block], "sig": [signature(s) if len(s) else None for _, s, _ in block], "hot": [None] * n, "hot_n": [None] * n, "costs": [None] * n}, _FIRST)
         sets = [s for _, s in _distinct(block)]
         if not sets:
             continue
@@ -114,7 +132,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = np.sort(counts[np.searchsorted(values, s)])
                 p = len(s) - need(len(s))
                 costs[len(s)] += ((p + 2) * (p + 1) / 2, p + 1, c[: p + 1].sum() - (p + 1))
-        yield _row_batches({"doc_id": [None], "n": [None], "node": [None], "hot": [values[often].tobytes()], "hot_n": [counts[often].astype("<i4").tobytes()], "costs": [costs.tobytes()]}, _FIRST)
+        yield _row_batches({"doc_id": [None], "n": [None], "node": [None], "sig": [None], "hot": [values[often].tobytes()], "hot_n": [counts[often].astype("<i4").tobytes()], "costs": [costs.tobytes()]}, _FIRST)
 
 
 def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +256,15 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], ["node", "set"])
 
 
+def _open(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [may_link(*row, percent) for row in zip(*(b.column(c).to_pylist() for c in ("sig", "n", "sig_b", "n_b")))]
+            yield b.select(["a", "b", "count"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,8 +309,8 @@ class Join:
         self.spark, self.percent = docs.sparkSession, percent
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts or two sets: 10,000 of them are 100 MB on both sides of a worker
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-        first = written(self.docs.mapInArrow(_first_pass, "doc_id long, n long, node long, hot binary, hot_n binary, costs binary"), "sets")
-        self.sets = first.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
+        first = written(self.docs.mapInArrow(_first_pass, "doc_id long, n long, node long, sig binary, hot binary, hot_n binary, costs binary"), "sets")
+        self.sets = first.where(F.col("n").isNotNull()).select("doc_id", "n", "node", "sig")
         side = first.where(F.col("costs").isNotNull())
         hot = side.select("hot", "hot_n").mapInArrow(_hot_rows, "shingle long, sets long").groupBy("shingle").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "shingle").limit(MOST_HOT).toPandas()
         order = np.argsort(hot["shingle"].to_numpy(np.int64).view(np.uint64))
@@ -292,7 +319,7 @@ class Join:
         blocks = sum(r["blocks"] for r in costs)
         self.light = boundary(sum((np.frombuffer(r["costs"]).reshape(-1, 3) for r in costs), np.zeros((MOST_LIGHT + 1, 3))), blocks)
         self.shingles = self.sets.agg(F.sum("n")).first()[0] or 0
-        self.classes = self.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        self.classes = written(self.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
     def lists(self) -> DataFrame:
         """Pairs and lists of all buckets; a bucket holds some 16 MB of entries, however many there are."""
@@ -307,6 +334,12 @@ class Join:
             ids = F.broadcast(ids)
         return written(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, set binary"), "candidate-sets")
 
+    def passed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, count) that their signatures leave open."""
+        x = self.classes.select(F.col("node").alias("a"), "sig", "n")
+        y = self.classes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "count", "sig", "n", "sig_b", "n_b").mapInArrow(_open(self.percent), "a long, b long, count long")
+
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that link. The pairs are sent to the sets where there are few of them, so each set of b travels once a pair, and of the others those of a alone."""
         few = pairs.count() <= 500_000  # 16 bytes each; beyond that both sides are shuffled
@@ -318,7 +351,7 @@ class Join:
     def links(self) -> DataFrame:
         """Edges (a, b) between classes: verified links, enough of them to connect all that link."""
         found = self.lists()
-        pairs = written(found.where("kind = 0").groupBy("a", "b").count(), "pairs")
+        pairs = written(self.passed(found.where("kind = 0").groupBy("a", "b").count()), "pairs")
         # each set meets the one first set with which it shares most; of its other pairs those stay open that lie in two components after that
         likeliest = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "likeliest")
         edges = written(self.verified(likeliest, self.load(_nodes(likeliest))), "links")
@@ -332,6 +365,7 @@ class Join:
         mixed = known.groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("list_id")
         open_ = known.join(mixed, "list_id", "left_semi").groupBy("list_id").agg(F.collect_list(F.struct("node", "root", "n")).alias("x"))
         cross = open_.select(F.explode(_cross(self.percent)("x.node", "x.root", "x.n")).alias("p")).select("p.a", "p.b")
+        cross = self.passed(cross.distinct().withColumn("count", F.lit(0).cast("long"))).select("a", "b")
         more = written(rest.unionByName(cross).distinct(), "more-pairs")
         if more.isEmpty():
             return edges
@@ -340,7 +374,7 @@ class Join:
     def documents(self) -> DataFrame:
         """doc_id, n_shingles and component_id of each document."""
         roots = components(self.links())
-        known = self.classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+        known = self.classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
         least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         of = known.join(least, "root").select("node", "component_id")
         out = self.sets.join(of, (self.sets["node"] == of["node"]) & (self.sets["n"] > 0), "left")

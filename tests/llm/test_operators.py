@@ -160,6 +160,22 @@ def test_join_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_signatures_pass_every_link():
+    rng, passed, others = np.random.default_rng(5), 0, 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 400))
+        base, change = rng.integers(0, 2**64, n, np.uint64), int(rng.integers(0, n + 1))
+        x, y = np.unique(base), np.unique(np.r_[base[change:], rng.integers(0, 2**64, int(rng.integers(0, change + 1)), np.uint64)])
+        if not len(y):
+            continue
+        shared, got = len(np.intersect1d(x, y)), ngram_join.may_link(ngram_join.signature(x), len(x), ngram_join.signature(y), len(y), 75)
+        if 100 * shared >= 75 * (len(x) + len(y) - shared):
+            assert got
+        elif len(x) > 20:
+            passed, others = passed + got, others + 1
+    assert passed < 0.1 * others
+
+
 def test_search_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 32)).astype(np.float32)
