@@ -12,13 +12,12 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,34 +64,19 @@ def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 2
     return w[:-1], float(w[-1])
 
 
-def fit(sample: pd.DataFrame, prior: float, n_features: int = 100, classifiers: int = 3, seed: int = 7) -> Model:
-    """sample: words (an array or a set each), positive. The features are the words that part positives and unlabelled most; each classifier sees its own bootstrap of the rows."""
-    pos = sample["positive"].to_numpy(bool)
+def fit(vocabulary: list[str], x: np.ndarray, pos: np.ndarray, prior: float, classifiers: int = 3, seed: int = 7) -> Model:
+    """x: presence of the words of the vocabulary, a row for each text; pos: a mask of the positives. Each classifier sees its own bootstrap of the rows."""
     n_p, n_u = int(pos.sum()), int((~pos).sum())
     if not n_p or not n_u:
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Model({}, np.zeros((0, 1)), np.array([math.log(share / (1 - share))]))
-    counts: dict[str, list[int]] = {}
-    for own, p in zip(sample["words"], pos):
-        for w in own:
-            counts.setdefault(w, [0, 0])[0 if p else 1] += 1
-
-    def parts(c: list[int]) -> float:
-        share = (c[0] + c[1] + 1) / (n_p + n_u + 2)
-        return (c[0] / n_p - c[1] / n_u) / math.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-
-    ranked = sorted(((-abs(parts(c)), w) for w, c in counts.items() if c[0] + c[1] >= 5))[:n_features]
-    vocabulary = {w: i for i, (_, w) in enumerate(ranked)}
-    x = np.zeros((len(sample), len(vocabulary)), np.float32)
-    for i, own in enumerate(sample["words"]):
-        x[i, [vocabulary[w] for w in own if w in vocabulary]] = 1
     rng, weights, bias = np.random.default_rng(seed), [], []
     for k in range(classifiers):
         rows = np.concatenate([rng.choice(np.flatnonzero(mask), n) for mask, n in ((pos, n_p), (~pos, n_u))])
         w, b = train_nnpu(x[rows], pos[rows], min(max(prior, 0.001), 0.9), seed=seed + k)
         weights.append(w)
         bias.append(b)
-    return Model(vocabulary, np.stack(weights, 1), np.array(bias))
+    return Model({w: i for i, w in enumerate(vocabulary)}, np.stack(weights, 1), np.array(bias))
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -100,8 +84,17 @@ def _words(texts: pa.Array) -> pa.Array:
     return pa.array([sorted(words(t.as_py())) for t in texts], pa.list_(pa.string()))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn, max_positive: int, max_unlabelled: int) -> tuple[pd.DataFrame, float]:
-    """The words of max_positive toxic and max_unlabelled other documents at most, of those that `learn` admits, drawn by a hash of doc_id; and the share of toxic rows among the labelled ones."""
+def parting_words(sample: DataFrame, n_p: int, n_u: int, n_features: int) -> list[str]:
+    """The n_features words that part positives and unlabelled most, of those in five texts at least; counted on the executors, ties by the word."""
+    share = (F.col("p") + F.col("u") + 1) / F.lit(n_p + n_u + 2)
+    parts = F.abs((F.col("p") / F.lit(max(n_p, 1)) - F.col("u") / F.lit(max(n_u, 1))) / F.sqrt(share * (1 - share) * F.lit(1 / max(n_p, 1) + 1 / max(n_u, 1))))
+    counts = sample.select("positive", F.explode("words").alias("w")).groupBy("w").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    return [r["w"] for r in counts.where("p + u >= 5").orderBy(parts.desc(), "w").select("w").limit(n_features).collect()]
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, learn, max_positive: int, max_unlabelled: int, n_features: int = 100) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Of max_positive toxic and max_unlabelled other documents at most, of those that `learn` admits, drawn by a hash of doc_id: the words that part
+    them, which words each row has, which rows are positive; and the share of toxic rows among the labelled ones. Texts and their words stay on the executors."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     draw = F.xxhash64(F.lit("draw"), "doc_id")
@@ -109,8 +102,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn, max_positive: int
     free = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_anti").orderBy(draw, "doc_id").limit(max_unlabelled)
     drawn = toxic.withColumn("positive", F.lit(True)).unionByName(free.withColumn("positive", F.lit(False)))
     ids = docs.sparkSession.createDataFrame(drawn.toPandas(), "doc_id long, positive boolean")  # as many rows as the two bounds
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "positive", _words("text").alias("words")).toPandas()
-    return sample.sort_values("doc_id").reset_index(drop=True), (n["t"] or 0) / n["n"] if n["n"] else 0.0
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "positive", _words("text").alias("words")), "toxicity")
+    n_p, n_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    vocabulary = parting_words(sample, n_p, n_u, n_features) if n_p and n_u else []
+    known_words = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+    at = F.transform(F.array_intersect("words", known_words), lambda w: (F.array_position(known_words, w) - 1).cast("int"))
+    rows = sample.select("doc_id", "positive", F.array_sort(at).alias("at")).orderBy("doc_id", "positive", "at").toArrow()
+    own = rows.column("at").combine_chunks()
+    x = np.zeros((rows.num_rows, len(vocabulary)), np.float32)
+    x[np.repeat(np.arange(rows.num_rows), own.value_lengths().to_numpy(zero_copy_only=False)), own.flatten().to_numpy(zero_copy_only=False)] = 1
+    positive = rows.column("positive").to_numpy().astype(bool)
+    return vocabulary, x, positive, (n["t"] or 0) / n["n"] if n["n"] else 0.0
 
 
 def score(docs: DataFrame, labels: DataFrame, learn=None, max_positive: int = 4000, max_unlabelled: int = 8000, threshold: float = 0.7) -> DataFrame:
@@ -118,8 +120,7 @@ def score(docs: DataFrame, labels: DataFrame, learn=None, max_positive: int = 40
 
     Null texts count as empty. Without any toxic label every score is the share of toxic labels. Columns named score or predicted are replaced.
     """
-    sample, prior = training_sample(docs, labels.select("doc_id", "toxic"), F.lit(True) if learn is None else learn, max_positive, max_unlabelled)
-    model = fit(sample, prior)
+    model = fit(*training_sample(docs, labels.select("doc_id", "toxic"), F.lit(True) if learn is None else learn, max_positive, max_unlabelled))
 
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
