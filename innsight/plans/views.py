@@ -64,7 +64,7 @@ FROM @orders o WHERE o.o_orderkey % 5 = 0
     "place_reviews": r"""
 SELECT doc_id AS review_id, doc_id % 50 AS place_id,
   CASE WHEN doc_id % 4 = 0 THEN 'The room was clean, towels and bed great. ' WHEN doc_id % 4 = 1 THEN 'Stayed one night, reception helped with the key. '
-    WHEN doc_id % 4 = 2 THEN 'Ordered food from the menu. ' ELSE '' END || substr(text, 1, 200) AS review, lang
+    WHEN doc_id % 4 = 2 THEN 'Ordered food from the menu. ' ELSE '' END || text AS review, lang
 FROM @documents
 """,
     "osm_elements": r"""
