@@ -59,7 +59,7 @@ FROM @orders
 SELECT o.o_orderkey AS listing_id, o.o_custkey AS hotel_id, o.o_orderpriority AS platform_id, o.o_orderdate AS first_seen_date, o.o_totalprice AS price,
   CASE WHEN o.o_orderstatus = 'F' THEN 'listing a' WHEN o.o_orderstatus = 'O' THEN 'listing b' ELSE NULL END AS name,
   CAST(o.o_orderkey % 5 + 1 AS DOUBLE) AS stars
-FROM @orders o WHERE o.o_orderkey % 5 = 0
+FROM @orders o
 """,
     "place_reviews": r"""
 SELECT doc_id AS review_id, doc_id % 50 AS place_id,
@@ -87,7 +87,7 @@ SELECT o_orderkey AS history_id, o_custkey AS hotel_id, o_orderdate AS event_dat
   CASE WHEN o_orderkey % 7 < 3 THEN 'residential apartment' WHEN o_orderkey % 7 < 5 THEN 'hotel 3 stars open' ELSE 'private closed' END AS new_value,
   CASE WHEN o_orderstatus = 'F' THEN 'business_registry' ELSE 'auto_update' END AS source,
   CASE WHEN o_orderkey % 17 = 0 THEN 'Permit renewal' ELSE '' END AS notes
-FROM @orders WHERE o_orderkey % 3 = 0
+FROM @orders
 """,
 }
 
