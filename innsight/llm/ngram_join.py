@@ -9,6 +9,9 @@ boundary between light and heavy is where the measured costs of both ways are lo
 Lists don't give all their pairs. Each set of a list is compared with the list's first set; then sets that are not yet in one component
 are compared with each other, so every link between components is found and copies never meet pairwise. Before whole sets travel, a pair
 must pass its signatures: the parities of each set's hashes in some 2 n bits differ in no more bits than the sets do in shingles.
+
+That connects the sets. As linked sets lie in one component, all links are then found by comparing all sets of each component; a large
+component is cut into blocks and each pair of blocks is a task, so a set travels once a block and not once a link.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ MOST_LIGHT = 48
 #: Shingles whose counts order the prefixes. The bound changes cost alone: others count as rare.
 MOST_HOT = 200_000
 _BLOCK = 1_000_000
+#: Sets, and shingles, of a block of a large component.
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
 
@@ -280,6 +285,54 @@ def _linked(percent: int):
     return run
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set of x, how many shingles it shares with each set of y."""
+    values = np.concatenate(y)
+    owner = np.repeat(np.arange(len(y)), [len(s) for s in y])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for i, s in enumerate(x):
+        lo, hi = np.searchsorted(values, s), np.searchsorted(values, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield i, np.bincount(owner[at], minlength=len(y))
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_COUNTS = pa.schema([("node", pa.int64()), ("n_links", pa.int64())])
+
+
+def _links_within(percent: int, counted: bool):
+    def batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        groups = {}
+        for root, i, j, block, node, copies, s in zip(*(table.column(c).to_pylist() for c in ("root", "i", "j", "block", "node", "copies")), table.column("set")):
+            groups.setdefault((root, i, j), {})[node] = (block, copies, np.frombuffer(s.as_buffer(), "<u8"))  # a repeated doc_id may have brought a set twice
+        for (_, i, j), own in groups.items():
+            side = [[(k, c, s) for k, (block, c, s) in own.items() if block == b] for b in (i, j)]
+            if not side[0] or not side[1]:
+                continue
+            (x, cx, sx), (y, cy, sy) = (tuple(zip(*v)) for v in side)
+            x, y, cx, cy = (np.array(v, np.int64) for v in (x, y, cx, cy))
+            m, nx, ny = np.array([len(s) for s in sy]), np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+            for k, shared in _shared(sx, sy):
+                at = 100 * shared >= percent * (len(sx[k]) + m - shared)
+                at &= x[k] < y if i == j else x[k] != y
+                at = np.flatnonzero(at)
+                if counted:
+                    nx[k] += cy[at].sum()
+                    ny[at] += cx[k]
+                elif len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[k], y[at])), pa.array(np.maximum(x[k], y[at]))], schema=_LINKS)
+            if counted:
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[x, y]), pa.array(np.r_[nx, ny])], schema=_COUNTS)
+
+    def run(table: pa.Table) -> pa.Table:
+        """Of each pair of blocks (root, i, j): the links (a, b), a < b, or of each node the sum of its partners' copies."""
+        return pa.Table.from_batches(batches(table), _COUNTS if counted else _LINKS)
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(node, root) of each node of edges (a, b): root is the smallest node that it reaches. By alternating large and small stars, each round written, so a hub's edges are never one group."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
@@ -319,7 +372,7 @@ class Join:
         blocks = sum(r["blocks"] for r in costs)
         self.light = boundary(sum((np.frombuffer(r["costs"]).reshape(-1, 3) for r in costs), np.zeros((MOST_LIGHT + 1, 3))), blocks)
         self.shingles = self.sets.agg(F.sum("n")).first()[0] or 0
-        self.classes = written(self.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+        self.classes = written(self.sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "classes")
 
     def lists(self) -> DataFrame:
         """Pairs and lists of all buckets; a bucket holds some 16 MB of entries, however many there are."""
@@ -348,13 +401,14 @@ class Join:
         x = sets.select(F.col("node").alias("a"), F.col("set").alias("x")).join(to_all(pairs.select("a").distinct()), "a", "left_semi")
         return y.join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(self.percent), "a long, b long")
 
-    def links(self) -> DataFrame:
-        """Edges (a, b) between classes: verified links, enough of them to connect all that link."""
+    def edges(self) -> DataFrame:
+        """Edges (a, b) between classes: verified links, enough of them to connect all that link. Their sets stay in self.loaded."""
         found = self.lists()
         pairs = written(self.passed(found.where("kind = 0").groupBy("a", "b").count()), "pairs")
         # each set meets the one first set with which it shares most; of its other pairs those stay open that lie in two components after that
         likeliest = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "likeliest")
-        edges = written(self.verified(likeliest, self.load(_nodes(likeliest))), "links")
+        self.loaded = self.load(_nodes(likeliest))
+        edges = written(self.verified(likeliest, self.loaded), "links")
         lists = found.where("kind = 1").select("list_id", "nodes", "sizes").dropDuplicates(["list_id"])
         roots = written(components(edges), "roots")
         root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -369,16 +423,42 @@ class Join:
         more = written(rest.unionByName(cross).distinct(), "more-pairs")
         if more.isEmpty():
             return edges
-        return edges.unionByName(self.verified(more, self.load(_nodes(more))))
+        late = self.load(_nodes(more))
+        self.loaded = self.loaded.unionByName(late.join(self.loaded.select("node").distinct(), "node", "left_anti"))
+        return edges.unionByName(self.verified(more, late))
+
+    def _within(self, roots: DataFrame, counted: bool) -> DataFrame:
+        """All links (a, b) between classes, or (node, n_links), from all pairs of sets of each component (node, root)."""
+        of = roots.join(self.classes.select("node", "n", "copies"), "node")
+        parts = of.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+        size = of.agg(F.sum("n")).first()[0] or 0
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(size * 8 / 16e6))
+        of = of.join(parts, "root").select("node", "root", "copies", "k", F.expr("cast(pmod(xxhash64(node), k) as int)").alias("block"))
+        of = of.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"i": F.least("block", "c"), "j": F.greatest("block", "c")})
+        task = F.when(F.col("k") == 1, F.expr(f"pmod(xxhash64(root), {buckets})")).otherwise(F.xxhash64("root", "i", "j"))  # small components share tasks
+        sets = of.withColumn("task", task).join(self.loaded, "node").select("task", "root", "i", "j", "block", "node", "copies", "set")
+        return sets.groupBy("task").applyInArrow(_links_within(self.percent, counted), "node long, n_links long" if counted else "a long, b long")
 
-    def documents(self) -> DataFrame:
-        """doc_id, n_shingles and component_id of each document."""
-        roots = components(self.links())
+    def links(self) -> DataFrame:
+        """All links (a, b), a < b, between classes, by node."""
+        return self._within(written(components(self.edges()), "roots"), False)
+
+    def documents(self, count_links: bool = True) -> DataFrame:
+        """doc_id, n_shingles and component_id of each document, and n_links if asked for."""
+        roots = components(self.edges())
+        if count_links:
+            roots = written(roots, "roots")
         known = self.classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
         least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        of = known.join(least, "root").select("node", "component_id")
-        out = self.sets.join(of, (self.sets["node"] == of["node"]) & (self.sets["n"] > 0), "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        of = known.join(least, "root").select(F.col("node").alias("_c"), "component_id")
+        out = self.sets.join(of, (self.sets["node"] == of["_c"]) & (self.sets["n"] > 0), "left")
+        columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+        if not count_links:
+            return out.select(columns)
+        n = self._within(roots, True).groupBy("node").agg(F.sum("n_links").alias("others"))
+        n = self.classes.join(n, "node", "left").select(F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("_n_links"))
+        out = out.select(self.sets["node"].alias("_of"), "n", *columns).join(n, (F.col("_of") == F.col("_node")) & (F.col("n") > 0), "left")
+        return out.select("doc_id", "n_shingles", "component_id", F.coalesce("_n_links", F.lit(0)).alias("n_links"))
 
 
 def _summed_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,8 +469,9 @@ def _summed_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["costs", "blocks"])
 
 
-def join(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links of Jaccard similarity percent / 100 or more.
+def join(docs: DataFrame, text: str = "text", percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, the smallest doc_id reachable by links of Jaccard similarity percent / 100 or more,
+    and n_links, its number of links: the other rows that reach this similarity with it, equal texts among them. Without count_links that column is left out.
 
     Null and blank texts have no shingles and no links. Repeated rows are linked by their equal texts; null doc_ids take part, but name a
     component only where all its doc_ids are null. Other columns are left out.
