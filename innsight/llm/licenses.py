@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with notice templates, in DataFrame functions only.
 
-A block is a line of a text, as its set of words. It meets a template when the block holds at least `threshold` of the template's
+A block is a line of a text, or what stands around a line break inside a paragraph: as many words on each side as the longest template
+has, so a notice that wraps over lines lies in one; as its set of words. It meets a template when the block holds at least `threshold` of the template's
 distinct words. Tokens are ordered by their frequency over the whole corpus, rarest first. For that containment a block must hold one
 of the template's first |T| - ceil(threshold |T|) + 1 tokens (prefix filter), have ceil(threshold |T|) of the templates' words (length
-filter), and leave room behind the first shared token for the rest of the overlap (positional filter); what is left is verified.
+filter), and leave room behind the first shared token, in the template and in itself, for the rest of the overlap (positional filter);
+what is left is verified.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from .common import ascii_lower, let, written
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts paragraphs: lines without words.
+BLANK_LINES = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Notices as they stand at the head of files, with the label each gives.
 TEMPLATES = (
@@ -59,6 +63,20 @@ def _words(text: Column) -> Column:
     return F.split(ascii_lower(text), GAP)
 
 
+def _around_breaks(paragraph: Column, reach: int) -> Column:
+    """Of each line break of a paragraph, the words around it, `reach` on each side at most."""
+    line = lambda x: let(F.array_remove(_words(x), ""), lambda w: F.when(F.size(w) > 2 * reach, F.concat(F.slice(w, 1, reach), F.slice(w, -reach, reach))).otherwise(w))
+    last = lambda w: F.when(F.size(w) > reach, F.slice(w, -reach, reach)).otherwise(w)
+
+    def windows(lines: Column) -> Column:
+        # each line has a word, except at the paragraph's ends
+        before = lambda k: let(F.flatten(F.slice(lines, F.greatest(k - reach, F.lit(1)), F.least(k, F.lit(reach + 1)))), last)
+        after = lambda k: F.slice(F.flatten(F.slice(lines, k + 1, F.lit(reach + 1))), 1, reach)
+        return F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda k: F.concat(before(k), after(k)))
+
+    return let(F.transform(F.split(paragraph, "\n"), line), windows)
+
+
 def token_order(tokens: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Rank of each of the templates' words, rarest in the corpus first. tokens: (tokens), of every document. As many rows as the templates have words come to the driver."""
     n = {r["token"]: r["n"] for r in tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
@@ -66,9 +84,9 @@ def token_order(tokens: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def template_matches(docs: DataFrame, order: dict[str, int], text: str = "text", templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
-    """(doc_id, text_hash, block, template, label, containment) of each line that holds at least `threshold` of a template's words.
+    """(doc_id, text_hash, block, wrapped, template, label, containment) of each line, and each surrounding of a line break, that holds at least `threshold` of a template's words.
 
-    Null and empty texts have no blocks; repeated rows give repeated matches. The template side is a constant table, so it may be broadcast.
+    block counts the lines; where wrapped, it counts the breaks inside paragraphs of several lines. Null and empty texts have no blocks; repeated rows give repeated matches. The template side is a constant table, so it may be broadcast.
     """
     sets, vocabulary = _vocabulary(templates)
     table, prefix_words = [], set()
@@ -80,15 +98,21 @@ def template_matches(docs: DataFrame, order: dict[str, int], text: str = "text",
         table += [(i, label, words, need, k, w) for k, w in enumerate(prefix)]
     prefix = docs.sparkSession.createDataFrame(table, "template int, label string, words array<string>, need int, t_pos int, token string")
     some = f"(?i)(?:{'|'.join(re.escape(w) for w in sorted(prefix_words))})"  # lines without it have no token of a prefix
-    hit = docs.where(F.col(text).rlike(some)).select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("block", "line"))
-    blocks = hit.where(F.col("line").rlike(some)).select("doc_id", "text_hash", "block", _tokens(_words(F.col("line")), vocabulary).alias("tokens"))
-    probes = blocks.select("doc_id", "text_hash", "block", "tokens", F.explode("tokens").alias("token"))
+    ordered = F.array(*[F.lit(w) for w in sorted(vocabulary, key=order.__getitem__)])
+    reach = max(len(re.findall(rf"{RAW_WORD}+", t)) for _, t in templates)
+    hit = docs.where(F.col(text).rlike(some)).select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
+    lines = hit.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("block", "line")).where(F.col("line").rlike(some))
+    lines = lines.select("doc_id", "text_hash", "block", F.lit(False).alias("wrapped"), _words(F.col("line")).alias("words"))
+    paragraphs = hit.where(F.contains("text", F.lit("\n"))).select("doc_id", "text_hash", F.explode(F.split("text", BLANK_LINES)).alias("paragraph")).where(F.contains("paragraph", F.lit("\n")) & F.col("paragraph").rlike(some))
+    breaks = paragraphs.select("doc_id", "text_hash", F.posexplode(_around_breaks(F.col("paragraph"), reach)).alias("block", "words")).withColumn("wrapped", F.lit(True))
+    blocks = lines.unionByName(breaks).select("doc_id", "text_hash", "block", "wrapped", F.array_intersect(ordered, "words").alias("tokens"))  # in the global order
+    probes = blocks.select("doc_id", "text_hash", "block", "wrapped", "tokens", F.posexplode("tokens").alias("b_pos", "token"))
     hits = probes.join(F.broadcast(prefix), "token").where(F.size("tokens") >= F.col("need"))  # length filter
     hits = hits.withColumn("shared", F.filter("words", lambda w: F.array_contains("tokens", w)))
     first = F.get("shared", F.lit(0)) == F.col("token")  # each block and template once: at their first shared token
-    room = F.size("words") - F.col("t_pos") >= F.col("need")  # positional filter
+    room = F.least(F.size("words") - F.col("t_pos"), F.size("tokens") - F.col("b_pos")) >= F.col("need")  # positional filter
     met = hits.where(room & first & (F.size("shared") >= F.col("need")))
-    return met.select("doc_id", "text_hash", "block", "template", "label", (F.size("shared") / F.size("words")).alias("containment"))
+    return met.select("doc_id", "text_hash", "block", "wrapped", "template", "label", (F.size("shared") / F.size("words")).alias("containment"))
 
 
 def _phrase_pattern() -> str:
