@@ -42,6 +42,7 @@ class Pieces:
         self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.vocab_size()) if sp.is_byte(i)}
         self.text = {i: p for p, (_, i) in self.score.items()}
         self.of_byte = {i: b for b, i in self.bytes.items()}
+        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else self.text.get(i, "").encode() for i in range(sp.vocab_size())]
         self.longest = max(map(len, self.score))
         ranked = sorted((p for p in self.score if len(p) > 1 and not p.startswith(SPACE * 2)), key=lambda p: -self.score[p][0])
         ranks = {p: k for k, p in enumerate(ranked)}
@@ -194,8 +195,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        raw = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.text.get(i, "").encode() for i in ids)
-        return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 def escaped(text: str | None) -> str:
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", chunk: int = 32768) -
     """doc_id, row (a hash of doc_id and text), chunk and ids: the ids of each document in chunks, in order of chunk.
 
     Texts of up to `chunk` characters are one chunk. Longer ones are dealt out in chunks: their matrices are made in parallel, combined
-    per document, and each chunk is traced back in a task of its own. Null and empty texts have one chunk without ids. Other columns are left out.
+    per document, and each chunk is traced back in a task of its own. Rows that repeat doc_id and text are one document, at every length. Null and empty texts have one chunk without ids. Other columns are left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text"))
     long_ = F.length(F.coalesce("text", F.lit(""))) > chunk
@@ -294,7 +294,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", chunk: int = 32768) -
     m = window.mapInArrow(matrices, "row long, chunk int, n int, rows array<int>, cols array<int>, m binary")
     ends = m.groupBy("row").applyInArrow(combined, "row long, chunk int, ends array<int>")
     parts = window.join(ends, ["row", "chunk"]).select("doc_id", "row", "n", "chunk", "begin", "s", "ends").mapInArrow(traced, _OUT)
-    return rows.where(~long_).mapInArrow(whole, _OUT).unionByName(parts)
+    # dealt by document, so a join of its chunks needs no other exchange; ids are smaller than texts, so repeated rows go only here
+    return rows.where(~long_).mapInArrow(whole, _OUT).unionByName(parts).repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "chunk"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -311,16 +312,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_pieces and n_chunks, and ids_crc32 of its first chunk and the sum of all chunks' ids."""
+    """Per document, a distinct pair of doc_id and text: doc_id, n_pieces, n_chunks, ids_crc32 of all its ids in order, and text_crc32 and n_chars of the text decoded from them."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = loaded(path)
         for b in batches:
-            ids = [x.values.to_numpy() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(i) for i in ids], pa.int64()), pa.array([int(i.astype(np.int64).sum()) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())], ["doc_id", "chunk", "n", "total", "crc"])
-
-    encoded = encode(docs, path)
-    d = encoded.select("doc_id", "ids", "chunk").mapInArrow(digest, "doc_id long, chunk int, n long, total long, crc long")
-    return d.groupBy("doc_id").agg(F.sum("n").alias("n_pieces"), F.count("*").alias("n_chunks"), F.min(F.when(F.col("chunk") == 0, F.col("crc"))).alias("first_crc32"), F.sum("total").alias("ids_sum"))
+            rows = []
+            for chunks in b.column(1):
+                at = sorted(chunks, key=lambda c: c["chunk"].as_py())
+                ids = np.concatenate([c["ids"].values.to_numpy() for c in at])
+                text = own.decode(ids.tolist())
+                rows.append((len(ids), len(at), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(text.encode()), len(text)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)]], ["doc_id", "n_pieces", "n_chunks", "ids_crc32", "text_crc32", "n_chars"])
+
+    per = encode(docs, path).groupBy("doc_id", "row").agg(F.collect_list(F.struct("chunk", "ids")).alias("chunks"))
+    return per.select("doc_id", "chunks").mapInArrow(digest, "doc_id long, n_pieces long, n_chunks long, ids_crc32 long, text_crc32 long, n_chars long")
