@@ -31,10 +31,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays, once where rows repeat; documents without words stay."""
-    found = ngram_join.join(docs, count_links=False)
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of each component of near duplicates one row stays, of the smallest doc_id and of its rows that of the smallest text hash; documents without words stay."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = ngram_join.Join(rows.select(F.col("_row").alias("doc_id"), "text")).documents(count_links=False)
+    known = rows.select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")).join(found.select(F.col("doc_id").alias("_row"), "component_id", "n_shingles"), "_row").where("n_shingles > 0")
+    order = F.struct(F.col("_id").isNull(), "_id", "_text", "_row")
+    stays = known.groupBy("component_id").agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_row"))
+    gone = known.select("_row").join(stays, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -381,11 +381,13 @@ class Join:
         return written(packed.groupBy("bucket").applyInArrow(_lists(self.percent), _LISTS), "lists")
 
     def load(self, nodes: DataFrame) -> DataFrame:
-        """(node, set) of the nodes, from the texts of one document of each."""
-        ids = written(self.classes.join(nodes, "node", "left_semi").select("doc_id"), "candidates")
-        if ids.count() <= 500_000:  # 8 bytes each; beyond that the texts are shuffled
-            ids = F.broadcast(ids)
-        return written(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, set binary"), "candidate-sets")
+        """(node, set) of the nodes, from the texts of one document of each. A null doc_id brings the sets of all null ones; only those of the nodes stay."""
+        ids = written(self.classes.join(nodes, "node", "left_semi").select("doc_id", "node"), "candidates")
+        few = ids.count() <= 500_000  # 16 bytes each; beyond that the texts are shuffled
+        to_all = F.broadcast if few else lambda df: df
+        own = ids.select(F.col("doc_id").alias("_id")).distinct()
+        sets = self.docs.join(to_all(own), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(_set_rows, "node long, set binary")
+        return written(sets.join(to_all(ids.select("node")), "node", "left_semi"), "candidate-sets")
 
     def passed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, count) that their signatures leave open."""
