@@ -83,19 +83,34 @@ def dbscan(points: DataFrame, km: float, least: int) -> DataFrame:
     return label.join(number, "root", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-def property_similarity() -> Column:
-    """Of columns a_* and b_*: name 0.4, address 0.3, place 0.3, phone 0.4 where alike at all; over the weights at hand."""
-    both = lambda c: present(f"a_{c}") & present(f"b_{c}")
-    text = lambda c: similarity(F.col(f"a_{c}"), F.col(f"b_{c}"))
+def property_similarity(text=similarity) -> Column:
+    """Of columns a_* and b_*: name 0.4, address 0.3, place 0.3, phone 0.4 where alike at all, owner 0.4; over the weights at hand. text: the likeness of two texts, or a bound of it."""
+    both = lambda *cs: reduce(lambda x, y: x & y, [present(f"{x}_{c}") for x in "ab" for c in cs])
+    like = lambda c: F.when(both(c), text(F.trim(f"a_{c}"), F.trim(f"b_{c}")))
     phone = phone_similarity(F.col("a_phone"), F.col("b_phone"))
-    terms = [(0.4, F.when(both("name"), text("name"))), (0.3, F.when(both("address"), text("address"))), (0.3, geo_similarity(F.col("km"))), (0.4, F.when(both("phone") & (phone > 0), phone))]
-    return reduce(lambda x, y: x + y, [F.coalesce(w * t, F.lit(0.0)) for w, t in terms]) / reduce(lambda x, y: x + y, [F.when(t.isNotNull(), w).otherwise(0.0) for w, t in terms])
+    km = haversine_km(*[F.col(f"{x}_{c}") for x in "ab" for c in ("latitude", "longitude")])
+    terms = [(0.4, like("name")), (0.3, like("address")), (0.3, F.when(both("latitude", "longitude"), geo_similarity(km))), (0.4, F.when(both("phone") & (phone > 0), phone)), (0.4, like("owner"))]
+    return reduce(lambda x, y: x + y, [F.coalesce(w * t, F.lit(0.0)) for w, t in terms]) / F.nullif(reduce(lambda x, y: x + y, [F.when(t.isNotNull(), w).otherwise(0.0) for w, t in terms]), F.lit(0.0))
 
 
-def property_groups(hotels: DataFrame, least: float = 0.7, km: float = 0.2) -> DataFrame:
-    """(root, n): groups of two and more properties connected by likeness of at least `least`, among those at most km apart."""
-    pairs = pairs_within(hotels, km, ["name", "address", "phone"]).where(property_similarity() >= least)
-    return components(hotels.select("id"), pairs).groupBy("root").agg(F.count("*").alias("n")).where("n >= 2")
+def _most_alike(a: Column, b: Column) -> Column:
+    """What similarity(a, b) is at most, by the lengths alone."""
+    x, y = F.length(F.lower(a)), F.length(F.lower(b))
+    return F.when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y))
+
+
+def property_pairs(hotels: DataFrame, owner: Column, least: float = 0.7) -> DataFrame:
+    """(a, b), a < b: all pairs of properties with likeness of at least `least`, wherever they lie. Every pair is met, as no single term decides; edit distances are taken only where the lengths leave it open."""
+    p = hotels.withColumn("owner", owner).select("id", "name", "address", "latitude", "longitude", "phone", "owner")
+    named = lambda x: p.select([F.col(c).alias(f"{x}_{c}") for c in p.columns])
+    n = int(hotels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = named("a").repartition(n, "a_id").join(named("b"), F.col("a_id") < F.col("b_id"))
+    return pairs.where(property_similarity(_most_alike) >= least - 1e-9).where(property_similarity() >= least).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+def property_groups(hotels: DataFrame, owner: Column, least: float = 0.7) -> DataFrame:
+    """(root, n): groups of two and more properties connected by likeness of at least `least`."""
+    return components(hotels.select("id"), property_pairs(hotels, owner, least)).groupBy("root").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 def owner_groups(hotels: DataFrame, owner: Column) -> DataFrame:

@@ -273,7 +273,7 @@ def _(h):
 
 @_query("property_groups", "hotels", None)
 def _(h):
-    return R.property_groups(h)
+    return R.property_groups(h, owner(F.col("ownership_info"), F.col("additional_info")))
 
 
 @_query("owner_groups", "hotels", f"WITH h AS (SELECT *, lower(trim({_OWNER})) AS owner FROM hotels) SELECT owner, count(*) AS n, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude, count(DISTINCT data_source) AS sources FROM h WHERE owner <> '' GROUP BY 1 HAVING count(*) >= 2")
