@@ -1,14 +1,16 @@
 """N-gram Jaccard join by a size-aware heavy-light scheme, exact, with connected components of the links.
 
 A set is a document's distinct shingles. Sets that are equal form a class, and only classes are joined. All shingles have one global
-order, rarest first as far as the corpus counts tell. Of two sets that reach the threshold, the first n - ceil(t n) + c shingles of
-each share c at least. Small (light) sets enumerate the pairs (c = 2) of that prefix and meet on equal pairs; the inverted lists of
-single prefix shingles (c = 1) hold the large (heavy) sets and those light ones that are large enough to link with a heavy one. The
-boundary between light and heavy is where the measured costs of both ways are lowest in total.
+order, rarest first, by a sketch of fixed size that counts the shingles of all documents. Of two sets that reach the threshold, the
+first n - ceil(t n) + c shingles of each share c at least. Small (light) sets enumerate the pairs (c = 2) of that prefix and meet on
+equal pairs; the inverted lists of single prefix shingles (c = 1) hold the large (heavy) sets and those light ones that are large enough
+to link with a heavy one. The boundary between light and heavy is where the measured costs of both ways are lowest in total.
 
-Lists don't give all their pairs. Each set of a list is compared with the list's first set; then sets that are not yet in one component
-are compared with each other, so every link between components is found and copies never meet pairwise. Before whole sets travel, a pair
-must pass its signatures: the parities of each set's hashes in some 2 n bits differ in no more bits than the sets do in shingles.
+Lists don't give all their pairs. Each set of a list is compared with the list's first set, if their positions in the list's order leave
+enough shingles behind them. Then the sets that are not yet in one component are compared with each other, in tiles of a list, so every
+link between components is found and copies never meet pairwise. A tile tests its pairs by their signatures (the parities of each set's
+hashes in some 2 n bits differ in no more bits than the sets do in shingles) and only what passes leaves it, so that whole sets travel
+for those pairs alone. A list that would be too long for one task is dealt over several, by its shingle's count in the sketch.
 
 That connects the sets. As linked sets lie in one component, all links are then found by comparing all sets of each component; a large
 component is cut into blocks and each pair of blocks is a task, so a set travels once a block and not once a link.
@@ -17,6 +19,7 @@ component is cut into blocks and each pair of blocks is a task, so a set travels
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +28,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import discard, written
 
 PERCENT = 75
 WIDTH = 5
 #: Sets of more shingles are heavy in any case: their pairs of prefix shingles are too many.
 MOST_LIGHT = 48
-#: Shingles whose counts order the prefixes. The bound changes cost alone: others count as rare.
-MOST_HOT = 200_000
+#: Counters of the sketch, and the parts in which its sums are taken. Their number changes cost alone.
+CELLS, SLICES = 1 << 22, 64
+#: Entries of a list that one task takes; a longer list is dealt over several.
+MOST_ENTRIES = 500_000
+#: Sets of a list's tile.
+TILE = 512
 _BLOCK = 1_000_000
 #: Sets, and shingles, of a block of a large component.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
-ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
+ENTRY = np.dtype([("key", "<u8"), ("part", "<u4"), ("node", "<i8"), ("n", "<i4"), ("at", "<u2")])
 
 
 class _Words(dict):
@@ -118,32 +125,65 @@ def _row_batches(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("hot", pa.binary()), ("hot_n", pa.binary()), ("costs", pa.binary())])
+def packed(v: np.ndarray) -> bytes:
+    """Counters of a slice, at their smallest width; the non-zero ones alone where that is shorter."""
+    kind = next(k for k in "BHIQ" if v.max(initial=0) < 1 << 8 * np.dtype(k).itemsize)
+    at = np.flatnonzero(v)
+    if len(at) * (2 + np.dtype(kind).itemsize) < len(v) * np.dtype(kind).itemsize:
+        return f"s{kind}".encode() + at.astype("<u2").tobytes() + v[at].astype(kind).tobytes()
+    return f"d{kind}".encode() + v.astype(kind).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    kind, body = np.dtype(chr(raw[1])), raw[2:]
+    if raw[:1] == b"d":
+        return np.frombuffer(body, kind).astype(np.uint64)
+    n = len(body) // (2 + kind.itemsize)
+    out = np.zeros(CELLS // SLICES, np.uint64)
+    out[np.frombuffer(body, "<u2", n)] = np.frombuffer(body, kind, n, 2 * n)
+    return out
+
+
+_FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary()), ("costs", pa.binary()), ("blocks", pa.int64())])
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its set's size and node; per block, in a row without them, the shingles of several sets and the costs of light and heavy by size."""
+    """Per document its set's size, node and signature; per task, in rows without them, the slices of its sketch and the costs of light and heavy by size."""
+    cells, costs, blocks = np.zeros(CELLS, np.uint32), np.zeros((MOST_LIGHT + 1, 3)), 0
     for block in _sets(batches):
         n = len(block)
-        yield _row_batches({"doc_id": [d for d, _, _ in block], "n": [len(s) for _, s, _ in block], "node": [k for _, _, k in block], "sig": [signature(s) if len(s) else None for _, s, _ in block], "hot": [None] * n, "hot_n": [None] * n, "costs": [None] * n}, _FIRST)
+        rows = {"doc_id": [d for d, _, _ in block], "n": [len(s) for _, s, _ in block], "node": [k for _, _, k in block], "sig": [signature(s) if len(s) else None for _, s, _ in block]}
+        yield _row_batches(rows | dict.fromkeys(("slice", "salt", "cells", "costs", "blocks"), [None] * n), _FIRST)
         sets = [s for _, s in _distinct(block)]
         if not sets:
             continue
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
-        often = counts >= 3
-        costs = np.zeros((MOST_LIGHT + 1, 3))
+        np.add.at(cells, (values % np.uint64(CELLS)).astype(np.int64), counts.astype(np.uint32))
+        blocks += 1
         for s in sets:
             if len(s) <= MOST_LIGHT:
                 c = np.sort(counts[np.searchsorted(values, s)])
                 p = len(s) - need(len(s))
                 costs[len(s)] += ((p + 2) * (p + 1) / 2, p + 1, c[: p + 1].sum() - (p + 1))
-        yield _row_batches({"doc_id": [None], "n": [None], "node": [None], "sig": [None], "hot": [values[often].tobytes()], "hot_n": [counts[often].astype("<i4").tobytes()], "costs": [costs.tobytes()]}, _FIRST)
+    if blocks:
+        parts = [(k, packed(v)) for k, v in enumerate(np.split(cells, SLICES)) if v.any()]
+        m = len(parts) + 1
+        salt = int(values[0] % np.uint64(16))  # sums are taken in two steps, so no task meets a slice of all others
+        yield _row_batches(dict.fromkeys(("doc_id", "n", "node", "sig"), [None] * m) | {"slice": [*[k for k, _ in parts], None], "salt": [salt] * m, "cells": [*[v for _, v in parts], None], "costs": [*[None] * (m - 1), costs.tobytes()], "blocks": [*[None] * (m - 1), blocks]}, _FIRST)
 
 
-def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for hot, n in zip(b.column(0), b.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hot.as_py(), "<i8")), pa.array(np.frombuffer(n.as_py(), "<i4").astype(np.int64))], ["shingle", "sets"])
+def _summed_cells(last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of the sketch added up; last: as weights, six a doubling of the count, in one byte each."""
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1)):
+                v = unpacked(v.as_py())
+                total[k] = total[k] + v if k in total else v
+        own = [np.minimum(255, np.round(6 * np.log2(1.0 + v))).astype(np.uint8).tobytes() if last else packed(v) for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(own, pa.binary())], ["slice", "cells"])
+
+    return run
 
 
 def boundary(costs: np.ndarray, blocks: int) -> int:
@@ -153,37 +193,45 @@ def boundary(costs: np.ndarray, blocks: int) -> int:
 
 
 def entries(node: int, s: np.ndarray, weight: np.ndarray, light: int, percent: int) -> np.ndarray:
-    """What a set puts into the join: its light pairs and its heavy shingles, as ENTRY rows. weight: of each shingle, how often it is; s is sorted."""
+    """What a set puts into the join: its light pairs and its heavy shingles, as ENTRY rows. weight: of each shingle, how often it is, by the sketch; s is sorted.
+
+    at is how many of the set's shingles come before the list's (before the second one of a pair, less one): of two sets that meet in a
+    list first there, no more are shared than min(n - at) of both. part deals a long list over several tasks.
+    """
     n, o = len(s), need(len(s), percent)
-    order = s if not weight.any() else s[np.lexsort((s, weight))]
-    keys = []
+    order = np.argsort(weight, kind="stable")
+    s, weight = s[order], weight[order]
+    keys, at, often = [], [], []
     if n <= light:
-        p = order[: n - o + 2]
-        i, j = np.triu_indices(len(p), 1)
-        keys.append(_mix(p[i] * _K + p[j]) if len(p) > 1 else p)  # a single shingle links with its equal alone, which is in its class
+        p = min(n, n - o + 2)
+        i, j = np.triu_indices(p, 1) if p > 1 else (np.zeros(1, np.int64), np.ones(1, np.int64))
+        keys.append(_mix(s[i] * _K + s[j]) if p > 1 else s[:1])  # a single shingle links with its equal alone, which is in its class
+        at.append(j - 1)
+        often.append(weight[i])
     if n > light or n * 100 > (light + 1) * percent - 100:
-        keys.append(order[: n - o + 1])
+        keys.append(s[: n - o + 1])
+        at.append(np.arange(n - o + 1))
+        often.append(weight[: n - o + 1])
     out = np.zeros(sum(map(len, keys)), ENTRY)
-    out["key"], out["node"], out["n"] = np.concatenate(keys), node, n
+    out["key"], out["node"], out["n"], out["at"] = np.concatenate(keys), node, n, np.minimum(np.concatenate(at), 65535)
+    parts = (np.exp2(np.concatenate(often) / 6) / MOST_ENTRIES).astype(np.uint64)
+    if parts.any():
+        out["part"] = np.where(parts > 0, np.uint64(node & 0x7FFFFFFF) % (parts + np.uint64(1)) + np.uint64(1), 0)
     return out
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PACKED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def _second_pass(hot: np.ndarray, hot_n: np.ndarray, light: int, buckets: int, percent: int):
+def _second_pass(weights: np.ndarray, light: int, buckets: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _sets(batches):
             sets = _distinct(block)
             if not sets:
                 continue
-            parts = []
-            for node, s in sets:
-                at = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
-                weight = np.where(hot[at] == s, hot_n[at], 0) if len(hot) else np.zeros(len(s))
-                parts.append(entries(node, s, weight, light, percent))
-            e = np.concatenate(parts)
-            bucket = ((e["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            e = np.concatenate([entries(node, s, weights[(s % np.uint64(CELLS)).astype(np.int64)], light, percent) for node, s in sets])
+            bucket = ((_mix(e["key"] + e["part"] * _K) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -202,32 +250,38 @@ def _fits(n, m, percent: int):
 
 def _lists(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of one bucket: pairs of each list's first set with its others (kind 0), and the lists of three sets or more, equal ones once (kind 1)."""
+        """Of one bucket: pairs of each list's first set with its others (kind 0), and the lists of three sets or more, equal ones once, and parts of dealt ones under their list's name (kind 1)."""
         e = np.frombuffer(b"".join(x.as_py() for x in table.column("payload")), ENTRY)
-        e = e[np.lexsort((e["node"], e["key"]))]
-        e = e[np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["node"][1:] != e["node"][:-1])]]
-        start = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]])
+        e = e[np.lexsort((e["at"], e["node"], e["part"], e["key"]))]
+        fresh = (e["key"][1:] != e["key"][:-1]) | (e["part"][1:] != e["part"][:-1])
+        e = e[np.r_[True, fresh | (e["node"][1:] != e["node"][:-1])]]
+        start = np.flatnonzero(np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["part"][1:] != e["part"][:-1])])
         size = np.diff(np.r_[start, len(e)])
-        many = np.repeat(size > 1, size)
-        e, size = e[many], size[size > 1]
+        stays = (size > 1) | (e["part"][start] > 0)
+        e, size = e[np.repeat(stays, size)], size[stays]
         start = np.cumsum(size) - size
         first = np.repeat(start, size)
         other = np.flatnonzero(first != np.arange(len(e)))
-        ok = other[_fits(e["n"][other], e["n"][first[other]], percent)]
+        m, n = e["n"][other], e["n"][first[other]]
+        shared = np.minimum(m - e["at"][other], n - e["at"][first[other]])
+        ok = other[_fits(m, n, percent) & (100 * shared >= percent * (m + n - shared))]
         a, b = e["node"][first[ok]], e["node"][ok]
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
         a, b = a[fresh], b[fresh]
-        lists = {}
-        for i, n in zip(start[size > 2], size[size > 2]):
-            nodes = e["node"][i : i + n]
-            lists.setdefault(xxhash.xxh3_64_intdigest(nodes.tobytes()) >> 1, (nodes, e["n"][i : i + n]))
-        k, m = len(a), len(lists)
+        lists, dealt = {}, []
+        for i, n in zip(start.tolist(), size.tolist()):
+            if e["part"][i]:
+                dealt.append((int(e["key"][i] | np.uint64(1 << 63)) - (1 << 64), i, n))
+            elif n > 2:
+                lists.setdefault(xxhash.xxh3_64_intdigest(e["node"][i : i + n].tobytes()) >> 1, (i, n))
+        own = [*[(k, i, n) for k, (i, n) in lists.items()], *dealt]
+        k, m = len(a), len(own)
         return pa.Table.from_arrays(
             [
                 pa.array([0] * k + [1] * m, pa.int32()), pa.array([*a.tolist(), *[None] * m], pa.int64()), pa.array([*b.tolist(), *[None] * m], pa.int64()),
-                pa.array([None] * k + list(lists), pa.int64()), pa.array([None] * k + [x for x, _ in lists.values()], pa.list_(pa.int64())), pa.array([None] * k + [x for _, x in lists.values()], pa.list_(pa.int32())),
+                pa.array([None] * k + [x for x, _, _ in own], pa.int64()), pa.array([None] * k + [e["node"][i : i + n] for _, i, n in own], pa.list_(pa.int64())), pa.array([None] * k + [e["n"][i : i + n] for _, i, n in own], pa.list_(pa.int32())),
             ],
             schema=_LISTS_ARROW,
         )
@@ -235,23 +289,55 @@ def _lists(percent: int):
     return run
 
 
-def _cross(percent: int):
-    def pairs(nodes: pa.Array, roots: pa.Array, sizes: pa.Array) -> pa.Array:
-        """Of each list, the pairs of sets that are in different components and may link, but for those with its first set."""
-        out = []
-        for x, r, n in zip(nodes, roots, sizes):
-            x, r, n = (np.array(v.as_py()) for v in (x, r, n))
-            order = np.argsort(x)
-            x, r, n = x[order][1:], r[order][1:], n[order][1:]
-            own = []
-            for root in np.unique(r)[:-1] if len(x) else []:
-                i, j = np.flatnonzero(r == root), np.flatnonzero(r > root)
-                ok = np.argwhere(_fits(n[i][:, None], n[j][None, :], percent))
-                own += [{"a": min(p, q), "b": max(p, q)} for p, q in zip(x[i[ok[:, 0]]].tolist(), x[j[ok[:, 1]]].tolist())]
-            out.append(own)
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the signature x differs from each row of y, as 64-bit words; the longer ones are folded to the length of the others."""
+    while len(x) > y.shape[1]:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while y.shape[1] > len(x):
+        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def _across(percent: int, best: bool):
+    def pairs(table: pa.Table) -> Iterator[tuple[int, int]]:
+        groups: dict[tuple, list] = {}
+        for k, i, j, *row in zip(*(table.column(c).to_pylist() for c in ("list_id", "i", "j", "block", "node", "root", "n", "sig"))):
+            groups.setdefault((k, i, j), []).append(row)
+        for (_, i, j), rows in groups.items():
+            block, node, root, n = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
+            length = np.array([len(r[4]) for r in rows])
+            of = {m: np.flatnonzero(length == m) for m in set(length.tolist())}
+            words = {m: np.frombuffer(b"".join(rows[r][4] for r in at), "<u8").reshape(len(at), -1) for m, at in of.items()}
+            nearest: dict[int, tuple] = {}
+            for m, at in of.items():
+                for k, x in zip(at.tolist(), words[m]):
+                    if block[k] != i:
+                        continue
+                    for other in (m, m * 2, m // 2):  # a partner's size is within a third
+                        to = of.get(other)
+                        if to is None:
+                            continue
+                        open_ = (root[to] != root[k]) & (block[to] == j) & _fits(n[to], n[k], percent)
+                        open_ &= node[to] > node[k] if i == j else True
+                        if open_.any():
+                            to = to[open_]
+                            apart = _differing(x, words[other][open_]) / (n[to] + n[k])
+                            near = apart * (100 + percent) <= 100 - percent + 1e-9
+                            if not best:
+                                yield from ((min(int(node[k]), y), max(int(node[k]), y)) for y in node[to[near]].tolist())
+                            else:
+                                for d, y in zip(apart[near].tolist(), to[near].tolist()):
+                                    pair = (d, min(int(node[k]), int(node[y])), max(int(node[k]), int(node[y])))
+                                    for r in (int(root[k]), int(root[y])):
+                                        nearest[r] = min(nearest.get(r, pair), pair)
+            yield from (p[1:] for p in nearest.values())
 
-    return F.arrow_udf(pairs, T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
+    def run(table: pa.Table) -> pa.Table:
+        """Of tiles (list_id, i, j): the pairs of sets in different components that their signatures leave open; best: of each component its likeliest one."""
+        own = list(dict.fromkeys(pairs(table)))
+        return pa.Table.from_arrays([pa.array([p[k] for p in own], pa.int64()) for k in (0, 1)], schema=_LINKS)
+
+    return run
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +384,6 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int, np.
         yield i, np.bincount(owner[at], minlength=len(y))
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _COUNTS = pa.schema([("node", pa.int64()), ("n_links", pa.int64())])
 
 
@@ -343,7 +428,9 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
+        was = e
         e = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(was)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -355,20 +442,34 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
+@contextmanager
+def _small_batches(spark):
+    """Arrow batches of 1,000 rows while a step is planned and run: rows hold whole texts or two sets, of which 10,000 are 100 MB on both sides of a worker. The session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(1000, int(was)) if int(was) > 0 else 1000))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 class Join:
     """The steps of the join over one table of documents."""
 
     def __init__(self, docs: DataFrame, text: str = "text", percent: int = PERCENT):
         self.spark, self.percent = docs.sparkSession, percent
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts or two sets: 10,000 of them are 100 MB on both sides of a worker
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-        first = written(self.docs.mapInArrow(_first_pass, "doc_id long, n long, node long, sig binary, hot binary, hot_n binary, costs binary"), "sets")
+        with _small_batches(self.spark):
+            first = written(self.docs.mapInArrow(_first_pass, "doc_id long, n long, node long, sig binary, slice int, salt int, cells binary, costs binary, blocks long"), "sets")
         self.sets = first.where(F.col("n").isNotNull()).select("doc_id", "n", "node", "sig")
-        side = first.where(F.col("costs").isNotNull())
-        hot = side.select("hot", "hot_n").mapInArrow(_hot_rows, "shingle long, sets long").groupBy("shingle").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "shingle").limit(MOST_HOT).toPandas()
-        order = np.argsort(hot["shingle"].to_numpy(np.int64).view(np.uint64))
-        self.hot, self.hot_n = hot["shingle"].to_numpy(np.int64).view(np.uint64)[order], hot["sets"].to_numpy(np.int64)[order]
-        costs = side.select(*[F.lit(1).alias("one")], "costs").mapInArrow(_summed_costs, "costs binary, blocks long").collect()  # one row a task
+        part = first.where(F.col("slice").isNotNull()).repartition(SLICES, "slice", "salt").select("slice", "cells").mapInArrow(_summed_cells(False), "slice int, cells binary")
+        weights = part.repartition(SLICES, "slice").mapInArrow(_summed_cells(True), "slice int, cells binary").collect()  # CELLS bytes in all
+        self.weights = np.zeros((SLICES, CELLS // SLICES), np.uint8)
+        for r in weights:
+            self.weights[r["slice"]] = np.frombuffer(r["cells"], np.uint8)
+        self.weights = self.weights.ravel()
+        costs = first.where(F.col("costs").isNotNull()).select("costs", "blocks").mapInArrow(_summed_costs, "costs binary, blocks long").collect()  # one row a task
         blocks = sum(r["blocks"] for r in costs)
         self.light = boundary(sum((np.frombuffer(r["costs"]).reshape(-1, 3) for r in costs), np.zeros((MOST_LIGHT + 1, 3))), blocks)
         self.shingles = self.sets.agg(F.sum("n")).first()[0] or 0
@@ -377,8 +478,9 @@ class Join:
     def lists(self) -> DataFrame:
         """Pairs and lists of all buckets; a bucket holds some 16 MB of entries, however many there are."""
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(self.shingles * 0.3 * ENTRY.itemsize / 16e6))
-        packed = self.docs.mapInArrow(_second_pass(self.hot, self.hot_n, self.light, buckets, self.percent), "bucket int, payload binary")
-        return written(packed.groupBy("bucket").applyInArrow(_lists(self.percent), _LISTS), "lists")
+        rows = self.docs.mapInArrow(_second_pass(self.weights, self.light, buckets, self.percent), "bucket int, payload binary")
+        with _small_batches(self.spark):
+            return written(rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(self.percent), _LISTS), "lists")
 
     def load(self, nodes: DataFrame) -> DataFrame:
         """(node, set) of the nodes, from the texts of one document of each. A null doc_id brings the sets of all null ones; only those of the nodes stay."""
@@ -387,7 +489,8 @@ class Join:
         to_all = F.broadcast if few else lambda df: df
         own = ids.select(F.col("doc_id").alias("_id")).distinct()
         sets = self.docs.join(to_all(own), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(_set_rows, "node long, set binary")
-        return written(sets.join(to_all(ids.select("node")), "node", "left_semi"), "candidate-sets")
+        with _small_batches(self.spark):
+            return written(sets.join(to_all(ids.select("node")), "node", "left_semi"), "candidate-sets")
 
     def passed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, count) that their signatures leave open."""
@@ -403,31 +506,46 @@ class Join:
         x = sets.select(F.col("node").alias("a"), F.col("set").alias("x")).join(to_all(pairs.select("a").distinct()), "a", "left_semi")
         return y.join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(self.percent), "a long, b long")
 
+    def across(self, lists: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+        """Pairs (a, b) of sets of one list and different components (node, root) that their signatures leave open; best: of each component the likeliest one in each tile. Lists whose sets all lie in one component give none."""
+        flat = lists.select("list_id", F.explode(F.arrays_zip(F.col("nodes").alias("node"), F.col("sizes").alias("n"))).alias("x")).select("list_id", "x.node", "x.n")
+        known = flat.join(roots, "node", "left").select("list_id", "node", "n", F.coalesce("root", "node").alias("root"))
+        mixed = known.groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("k")).where("lo != hi").select("list_id", "k")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4
+        of = known.join(mixed, "list_id").join(self.classes.select("node", "sig"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)"))
+        of = of.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"i": F.least("block", "c"), "j": F.greatest("block", "c")})
+        task = F.when(F.col("k") == 1, F.expr(f"pmod(xxhash64(list_id), {buckets})")).otherwise(F.xxhash64("list_id", "i", "j"))  # short lists share tasks
+        return of.select(task.alias("task"), "list_id", "i", "j", "block", "node", "root", "n", "sig").groupBy("task").applyInArrow(_across(self.percent, best), "a long, b long")
+
     def edges(self) -> DataFrame:
         """Edges (a, b) between classes: verified links, enough of them to connect all that link. Their sets stay in self.loaded."""
         found = self.lists()
-        pairs = written(self.passed(found.where("kind = 0").groupBy("a", "b").count()), "pairs")
-        # each set meets the one first set with which it shares most; of its other pairs those stay open that lie in two components after that
-        likeliest = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "likeliest")
-        self.loaded = self.load(_nodes(likeliest))
-        edges = written(self.verified(likeliest, self.loaded), "links")
-        lists = found.where("kind = 1").select("list_id", "nodes", "sizes").dropDuplicates(["list_id"])
-        roots = written(components(edges), "roots")
-        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        rest = pairs.join(likeliest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-        rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-        flat = lists.select("list_id", F.explode(F.arrays_zip(F.col("nodes").alias("node"), F.col("sizes").alias("n"))).alias("x")).select("list_id", "x.node", "x.n")
-        known = flat.join(roots, "node", "left").select("list_id", "node", "n", F.coalesce("root", "node").alias("root"))
-        mixed = known.groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("list_id")
-        open_ = known.join(mixed, "list_id", "left_semi").groupBy("list_id").agg(F.collect_list(F.struct("node", "root", "n")).alias("x"))
-        cross = open_.select(F.explode(_cross(self.percent)("x.node", "x.root", "x.n")).alias("p")).select("p.a", "p.b")
-        cross = self.passed(cross.distinct().withColumn("count", F.lit(0).cast("long"))).select("a", "b")
-        more = written(rest.unionByName(cross).distinct(), "more-pairs")
-        if more.isEmpty():
+        with _small_batches(self.spark):
+            pairs = written(self.passed(found.where("kind = 0").groupBy("a", "b").count()), "pairs")
+            # each set meets the one first set with which it shares most; of its other pairs those stay open that lie in two components after that
+            likeliest = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b"), "likeliest")
+            self.loaded = self.load(_nodes(likeliest))
+            edges = written(self.verified(likeliest, self.loaded), "links")
+            lists = found.where("kind = 1").select("list_id", "nodes", "sizes")
+            lists = lists.where("list_id >= 0").dropDuplicates(["list_id"]).unionByName(lists.where("list_id < 0"))  # equal lists once; the parts of a dealt one all
+            tested = likeliest
+            # components join at their likeliest pairs first, so a group of near copies is one when all pairs that are still open between components are tried
+            for best in (True, False):
+                roots = written(components(edges), "roots")
+                more = self.across(lists, roots, best)
+                if not best:
+                    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+                    rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+                    more = more.unionByName(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+                more = written(more.distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
+                discard(roots)
+                if more.isEmpty():
+                    continue
+                late = self.load(_nodes(more).join(self.loaded.select("node").distinct(), "node", "left_anti"))
+                self.loaded = self.loaded.unionByName(late)
+                edges = written(edges.unionByName(self.verified(more, self.loaded)), "links")
+                tested = tested.unionByName(more)
             return edges
-        late = self.load(_nodes(more))
-        self.loaded = self.loaded.unionByName(late.join(self.loaded.select("node").distinct(), "node", "left_anti"))
-        return edges.unionByName(self.verified(more, late))
 
     def _within(self, roots: DataFrame, counted: bool) -> DataFrame:
         """All links (a, b) between classes, or (node, n_links), from all pairs of sets of each component (node, root)."""
@@ -466,8 +584,8 @@ class Join:
 def _summed_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros((MOST_LIGHT + 1) * 3), 0
     for b in batches:
-        for c in b.column(1):
-            total, n = total + np.frombuffer(c.as_py()), n + 1
+        for c, k in zip(b.column(0), b.column(1).to_pylist()):
+            total, n = total + np.frombuffer(c.as_py()), n + k
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["costs", "blocks"])
 
 
@@ -478,7 +596,7 @@ def join(docs: DataFrame, text: str = "text", percent: int = PERCENT, count_link
     Null and blank texts have no shingles and no links. Repeated rows are linked by their equal texts; null doc_ids take part, but name a
     component only where all its doc_ids are null. Other columns are left out.
     """
-    return Join(docs, text, percent).documents()
+    return Join(docs, text, percent).documents(count_links)
 
 
 def query(docs: DataFrame) -> DataFrame:
