@@ -571,14 +571,14 @@ class Join:
         known = self.classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
         least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         of = known.join(least, "root").select(F.col("node").alias("_c"), "component_id")
+        if count_links:
+            n = self._within(roots, True).groupBy("node").agg(F.sum("n_links").alias("others"))
+            n = self.classes.join(n, "node", "left").select(F.col("node").alias("_c"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+            of = of.join(n, "_c")
+        # one join of the documents, the last step, so that Spark can split a class of very many copies
         out = self.sets.join(of, (self.sets["node"] == of["_c"]) & (self.sets["n"] > 0), "left")
         columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
-        if not count_links:
-            return out.select(columns)
-        n = self._within(roots, True).groupBy("node").agg(F.sum("n_links").alias("others"))
-        n = self.classes.join(n, "node", "left").select(F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("_n_links"))
-        out = out.select(self.sets["node"].alias("_of"), "n", *columns).join(n, (F.col("_of") == F.col("_node")) & (F.col("n") > 0), "left")
-        return out.select("doc_id", "n_shingles", "component_id", F.coalesce("_n_links", F.lit(0)).alias("n_links"))
+        return out.select(*columns, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
 
 
 def _summed_costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
