@@ -28,6 +28,8 @@ NONE = -np.inf
 State = tuple[int, int]  # a piece's start and end; (0, 0) is the text's beginning
 _OUT = "doc_id long, row long, chunk int, ids array<int>"
 _IDS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_SUMS = "doc_id long, row long, chunk int, n_pieces long, ids_crc32 long, n_chars long, n_bytes long, text_crc32 long"
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32())] + [(c, pa.int64()) for c in ("n_pieces", "ids_crc32", "n_chars", "n_bytes", "text_crc32")])
 
 
 class Pieces:
@@ -81,7 +83,10 @@ class Pieces:
         return [own[1]] if own else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
 
     def walk(self, text: str, lo: int, hi: int, starts: list[State], keep: bool = False):
-        """Of each piece over hi, the set of starts it is reached from, as bits; with keep, what came before each piece too. Between words (before a SPACE that follows another character) any pieces fit."""
+        """Of each piece over hi, the set of starts it is reached from, as bits; with keep, what came before each piece too. Between words (before a SPACE that follows another character) any pieces fit.
+
+        keep makes the paths' middle, too; without it all words between the first and the last that begins before hi are passed over, as each is one path of weight 0.
+        """
         reach: dict[State, int] = {s: 1 << k for k, s in enumerate(starts)}
         ending: dict[int, list[State]] = {}
         for s in starts:
@@ -90,6 +95,15 @@ class Pieces:
         p, stop = min(ending) - 1, 0
         while (p := max(p + 1, stop)) < hi:
             if p >= lo and p in ending and 0 < p < len(text) and text[p] == SPACE != text[p - 1]:  # between words: what follows doesn't depend on what came
+                if not keep and (q := self.boundary_before(text, hi)) > p:
+                    own = 0
+                    for s in ending.pop(p):
+                        own |= reach[s]
+                    s = (q - 1, q)  # any piece that ends there does
+                    reach[s] = reach.get(s, 0) | own
+                    ending = {q: [s]} | {e: live for e, live in ending.items() if e > q}
+                    p = q - 1
+                    continue
                 stop = _WORD(text, p).end()
                 if stop <= hi:
                     live, last, own = ending.pop(p), None, 0
@@ -120,6 +134,21 @@ class Pieces:
         over = {s: reach[s] for e, own in ending.items() if e >= hi for s in own}
         return (over, before) if keep else over
 
+    @staticmethod
+    def boundary_before(text: str, hi: int) -> int:
+        """Where the last word that begins before hi does; 0 where none does."""
+        q = text.rfind(SPACE, 0, hi)
+        while q > 0 and text[q - 1] == SPACE:
+            q -= 1
+        return max(q, 0)
+
+    @staticmethod
+    def boundary_from(text: str, lo: int) -> int:
+        """Where the first word that begins at lo or later does, the length of the text where none does."""
+        while (q := text.find(SPACE, lo)) > 0 and text[q - 1] == SPACE:
+            lo = q + 1
+        return q if q > 0 else len(text)
+
     def parts(self, word: str) -> list[str]:
         """Pieces of a word, looked up where it was met before; a long one's by the walk."""
         if word not in self.split:
@@ -153,9 +182,22 @@ class Pieces:
                     m[i, j] = 0.0
         return rows, cols, m
 
-    def trace(self, text: str, lo: int, hi: int, left: State, right: State) -> list[int]:
-        """Ids of the pieces after left up to right."""
-        _, before = self.walk(text, lo, hi, [left], keep=True)
+    def trace(self, text: str, lo: int, hi: int, left: State, right: State) -> np.ndarray:
+        """Ids of the pieces after left up to right. Whole words between them are looked up; the path is walked in the words over the ends alone."""
+        p, q = self.boundary_from(text, max(left[1], 1)), self.boundary_before(text, right[0] + 1)
+        if p >= q:
+            return np.array(self._walked(text, lo, hi, left, right), "<u4")
+        head = []
+        if left[1] < p:
+            over, before = self.walk(text, min(lo, left[1]), p, [left], keep=True)
+            head = self._back(text, before, left, next(s for s, own in over.items() if own and s[1] == p))
+        tail = self._walked(text, q, hi, (q - 1, q), right)
+        return np.concatenate([np.array(head, "<u4"), self.looked_up([words(text[p:q])])[0], np.array(tail, "<u4")])
+
+    def _walked(self, text: str, lo: int, hi: int, left: State, right: State) -> list[int]:
+        return self._back(text, self.walk(text, lo, hi, [left], keep=True)[1], left, right)
+
+    def _back(self, text: str, before: dict[State, State], left: State, right: State) -> list[int]:
         out, s = [], right
         while s != left:
             out.append(text[s[0] : s[1]])
@@ -184,7 +226,9 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text. No piece has SPACE behind another character, so words are independent chunks whose end states are known; those not met before are encoded together."""
-        parts = [words(escaped(t)) for t in texts]
+        return self.looked_up([words(escaped(t)) for t in texts])
+
+    def looked_up(self, parts: list[list[str]]) -> list[np.ndarray]:
         need = set().union(*parts)
         fresh = [w for w in need if w not in self.words]
         if len(self.words) + len(fresh) > 400_000:
@@ -193,9 +237,13 @@ class Pieces:
             self.learn(fresh)
         return [np.frombuffer(b"".join(map(self.words.__getitem__, p)), "<u4") for p in parts]
 
+    def decoded(self, ids) -> bytes:
+        """The UTF-8 bytes of ids, each SPACE a blank, the one before the text among them."""
+        return b"".join(map(self.raw.__getitem__, ids)).replace(SPACE.encode(), b" ")
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        return self.decoded(ids).decode("utf-8", "replace").removeprefix(" ")
 
 
 def escaped(text: str | None) -> str:
@@ -230,7 +278,7 @@ def scan(pieces: Pieces, s: str, length: int) -> list[int]:
     cuts = [*range(0, len(s), length), len(s)]
     chunks = [pieces.matrix(s, a, b) for a, b in zip(cuts, cuts[1:])]
     at = states(chunks, len(s))
-    return [i for k, (a, b) in enumerate(zip(cuts, cuts[1:])) for i in pieces.trace(s, a, b, at[k], at[k + 1])]
+    return [i for k, (a, b) in enumerate(zip(cuts, cuts[1:])) for i in pieces._walked(s, a, b, at[k], at[k + 1])]
 
 
 @lru_cache(maxsize=4)
@@ -238,8 +286,8 @@ def loaded(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _out(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _IDS)] if rows else [pa.array([], f.type) for f in _IDS], schema=_IDS)
+def _out(rows, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", chunk: int = 32768) -> DataFrame:
@@ -248,6 +296,59 @@ def encode(docs: DataFrame, path: str, text: str = "text", chunk: int = 32768) -
     Texts of up to `chunk` characters are one chunk. Longer ones are dealt out in chunks: their matrices are made in parallel, combined
     per document, and each chunk is traced back in a task of its own. Rows that repeat doc_id and text are one document, at every length. Null and empty texts have one chunk without ids. Other columns are left out.
     """
+    return _chunks(docs, path, text, chunk, lambda own, ids, chunk: (ids,), _OUT, _IDS)
+
+
+def _digest(own: Pieces, ids: np.ndarray, chunk: int) -> tuple[int, int, int, int, int]:
+    """Of a chunk: number and CRC of its ids, and characters, bytes and CRC of the text decoded from them. A character's bytes are one piece's ids, so they lie in one chunk."""
+    text = own.decoded(ids.tolist())
+    if chunk == 0:
+        text = text.removeprefix(b" ")
+    plain = text.decode("utf-8", "replace")
+    text = plain.encode()
+    return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(plain), len(text), zlib.crc32(text)
+
+
+def crc_joined(parts: list[tuple[int, int]]) -> int:
+    """The CRC-32 of bytes end to end, from the (crc, number of bytes) of each part: a part's CRC moves on by the zero bytes of what follows it."""
+    total = 0
+    for crc, n in parts:
+        total = _moved(total, n) ^ crc
+    return total
+
+
+@lru_cache(maxsize=1)
+def _doublings() -> list[list[int]]:
+    """Per k, what 2^k zero bytes make of each bit of a CRC's register."""
+    step = [0xEDB88320, *[1 << i for i in range(31)]]  # one zero bit
+    out = []
+    for k in range(64):
+        for _ in range(3 if k == 0 else 1):
+            step = [_times(step, step[i]) for i in range(32)]
+        out.append(step)
+    return out
+
+
+def _times(matrix: list[int], v: int) -> int:
+    total, i = 0, 0
+    while v:
+        if v & 1:
+            total ^= matrix[i]
+        v, i = v >> 1, i + 1
+    return total
+
+
+def _moved(crc: int, n: int) -> int:
+    k = 0
+    while n and crc:
+        if n & 1:
+            crc = _times(_doublings()[k], crc)
+        n, k = n >> 1, k + 1
+    return crc
+
+
+def _chunks(docs: DataFrame, path: str, text: str, chunk: int, made, out: str, schema: pa.Schema) -> DataFrame:
+    """doc_id, row, chunk and what made(pieces, ids, chunk) makes of each chunk's ids in the task that finds them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text"))
     long_ = F.length(F.coalesce("text", F.lit(""))) > chunk
 
@@ -256,7 +357,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", chunk: int = 32768) -
         for b in batches:
             for a in range(0, b.num_rows, 500):
                 d, r, t = (c.to_pylist() for c in b.slice(a, 500).columns)
-                yield _out(list(zip(d, r, [0] * len(d), own.encode(t))))
+                yield _out([(*x, 0, *made(own, ids, 0)) for *x, ids in zip(d, r, own.encode(t))], schema)
 
     # a chunk travels with its surroundings, in which the pieces over its ends lie; positions count from the window's beginning
     pad = 32
@@ -264,7 +365,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", chunk: int = 32768) -
     giant = rows.where(long_).distinct().select("doc_id", "row", s.alias("s"))
     window = giant.select("doc_id", "row", F.length("s").alias("n"), "s", F.explode(F.sequence(F.lit(0), ((F.length("s") - 1) / chunk).cast("int"))).alias("chunk"))
     begin = F.greatest(F.col("chunk") * chunk - pad, F.lit(0))
-    window = window.select("doc_id", "row", "n", "chunk", begin.alias("begin"), F.substr("s", begin + 1, F.lit(chunk + 2 * pad)).alias("s")).repartition("row", "chunk")
+    window = window.select("doc_id", "row", "n", "chunk", begin.alias("begin"), F.substr("s", begin + 1, F.lit(chunk + 2 * pad)).alias("s"))
+    # chunks are costly for their size: a fixed number of partitions, as Spark would merge small ones
+    window = window.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "chunk")
 
     def bounds(c: int, begin: int, n: int) -> tuple[int, int]:
         return c * chunk - begin, min((c + 1) * chunk, n) - begin
@@ -289,13 +392,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", chunk: int = 32768) -
         for b in batches:
             for d, r, n, c, begin, t, ends in zip(*(x.to_pylist() for x in b.columns)):
                 e = [x - begin if k > 1 or c else x for k, x in enumerate(ends)]
-                yield _out([(d, r, c, own.trace(t, *bounds(c, begin, n), (e[0], e[1]), (e[2], e[3])))])
+                yield _out([(d, r, c, *made(own, own.trace(t, *bounds(c, begin, n), (e[0], e[1]), (e[2], e[3])), c))], schema)
 
     m = window.mapInArrow(matrices, "row long, chunk int, n int, rows array<int>, cols array<int>, m binary")
     ends = m.groupBy("row").applyInArrow(combined, "row long, chunk int, ends array<int>")
-    parts = window.join(ends, ["row", "chunk"]).select("doc_id", "row", "n", "chunk", "begin", "s", "ends").mapInArrow(traced, _OUT)
-    # dealt by document, so a join of its chunks needs no other exchange; ids are smaller than texts, so repeated rows go only here
-    return rows.where(~long_).mapInArrow(whole, _OUT).unionByName(parts).repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "chunk"])
+    parts = window.join(ends, ["row", "chunk"]).select("doc_id", "row", "n", "chunk", "begin", "s", "ends").mapInArrow(traced, out)
+    return rows.where(~long_).mapInArrow(whole, out).unionByName(parts).dropDuplicates(["doc_id", "row", "chunk"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -311,22 +413,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return per.mapInArrow(texts, "doc_id long, row long, text string")
 
 
+def digests(docs: DataFrame, path: str, text: str = "text", chunk: int = 32768) -> DataFrame:
+    """Per document, a distinct pair of doc_id and text: doc_id, n_pieces, n_chunks, ids_crc32 of all ids of encode() in order, and text_crc32 and n_chars of the text that decode() makes of them.
+
+    Each chunk is encoded and decoded again in one task, which gives a digest; ids don't travel, and the CRCs of a document's chunks combine to those of the whole.
+    """
+    per = _chunks(docs, path, text, chunk, _digest, _SUMS, _DIGESTS)
+    fields = ["chunk", "n_pieces", "ids_crc32", "n_chars", "n_bytes", "text_crc32"]
+    per = per.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("chunks"), *[F.sum(c).alias(c) for c in ("n_pieces", "n_chars")])
+
+    @F.arrow_udf("struct<ids_crc32 long, text_crc32 long>")
+    def joined(chunks: pa.Array) -> pa.Array:
+        rows = [([(c["ids_crc32"], 4 * c["n_pieces"]) for c in x], [(c["text_crc32"], c["n_bytes"]) for c in x]) for x in chunks.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([crc_joined(r[k]) for r in rows], pa.int64()) for k in (0, 1)], ["ids_crc32", "text_crc32"])
+
+    return per.select("doc_id", "n_pieces", F.size("chunks").cast("long").alias("n_chunks"), "n_chars", joined("chunks").alias("x")).select("doc_id", "n_pieces", "n_chunks", "x.ids_crc32", "x.text_crc32", "n_chars")
+
+
 def query(docs: DataFrame) -> DataFrame:
-    """Per document, a distinct pair of doc_id and text: doc_id, n_pieces, n_chunks, ids_crc32 of all its ids in order, and text_crc32 and n_chars of the text decoded from them."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(path)
-        for b in batches:
-            rows = []
-            for chunks in b.column(1):
-                at = sorted(chunks, key=lambda c: c["chunk"].as_py())
-                ids = np.concatenate([c["ids"].values.to_numpy() for c in at])
-                text = own.decode(ids.tolist())
-                rows.append((len(ids), len(at), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(text.encode()), len(text)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)]], ["doc_id", "n_pieces", "n_chunks", "ids_crc32", "text_crc32", "n_chars"])
-
-    per = encode(docs, path).groupBy("doc_id", "row").agg(F.collect_list(F.struct("chunk", "ids")).alias("chunks"))
-    return per.select("doc_id", "chunks").mapInArrow(digest, "doc_id long, n_pieces long, n_chunks long, ids_crc32 long, text_crc32 long, n_chars long")
+    return digests(docs, public_tokenizers.path("piece_bpe_32k.model"))

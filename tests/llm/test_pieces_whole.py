@@ -30,3 +30,22 @@ def test_repeated_rows_are_one_document_at_every_length(spark):
     n = collections.Counter(r["doc_id"] for r in encoded.collect())
     assert n == {1: 1, 2: 3}
     assert {(r["doc_id"], r["text"]) for r in piece_scan.decode(encoded, PIECES).collect()} == set(rows)
+
+
+def test_crcs_of_parts_combine():
+    rnd = random.Random(2)
+    parts = [bytes(rnd.randrange(256) for _ in range(n)) for n in (0, 1, 5, 0, 300, 70000)]
+    assert piece_scan.crc_joined([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
+def test_chunks_of_any_length_equal_the_library():
+    sp, own, rnd = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_scan.loaded(PIECES), random.Random(4)
+    for _ in range(60):
+        t = "".join(rnd.choice(["tion", "ab", " ", "  ", " the", "é", "漢", "1,", "\n"]) for _ in range(rnd.randrange(1, 200)))
+        s = piece_scan.escaped(t)
+        length = rnd.choice([33, 47, 100])
+        cuts = [*range(0, len(s), length), len(s)]
+        chunks = [own.matrix(s, a, b) for a, b in zip(cuts, cuts[1:])]
+        at = piece_scan.states(chunks, len(s))
+        got = [i for k, (a, b) in enumerate(zip(cuts, cuts[1:])) for i in own.trace(s, a, b, at[k], at[k + 1]).tolist()]
+        assert got == sp.encode(t), (t, length)
