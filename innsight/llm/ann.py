@@ -74,16 +74,24 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block; of rows that repeat an id, which all are in one block, that of the smallest vector, component by component."""
     v = table.column("v").combine_chunks()
-    return table.column("id").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+    ids, x = table.column("id").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    if len(first) < len(ids):
+        take = [a if b - a == 1 else min(range(a, b), key=lambda i: tuple(x[i])) for a, b in zip(first, [*first[1:], len(ids)])]
+        ids, x = ids[take], x[take]
+    return ids, x
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, epsilon: float = 1.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: of each row that is_query admits, the k rows of the largest inner product among all others.
 
     Queries meet candidates in blocks of fixed size, each pair of blocks in a task of its own; no side is broadcast or gathered. Rows with
-    null id, null or zero vectors, null or non-finite components, or another length than most vectors have take no part. ids are unique;
-    of repeated query ids one row asks. Other columns are ignored.
+    null id, null or zero vectors, null or non-finite components, or another length than most vectors have take no part. Of rows that repeat
+    an id one takes part, that of the smallest vector, as query and as candidate. Other columns are ignored. Of an empty table there are no rows.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -95,7 +103,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, epsilon: float = 1.9, id_c
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     candidates = rows.select(block(g).alias("g"), every(h).alias("h"), "id", "v")
-    queries = rows.where("q").dropDuplicates(["id"]).select(every(g).alias("g"), block(h).alias("h"), "id", "v")
+    queries = rows.where("q").select(every(g).alias("g"), block(h).alias("h"), "id", "v")
 
     def of_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .common import BLANKS, ascii_lower, written
 
 DROP, PENDING, PART = 0, 1, 2
+LINES = 4_000_000  # of a range partition
 _OUT = "kind int, doc_id long, text_hash long, pos int, h1 long, h2 long, docs long"
 
 
@@ -88,7 +89,8 @@ def dropped_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_c
     keys = ["h1", "h2", "doc_id", "text_hash"]
     spark = docs.sparkSession
     lines = written(line_hashes(docs, text, min_chars), "line-hashes")  # the range bounds need a pass of their own: over hashes, not texts
-    dealt = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "pos")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))  # a stated number of range partitions is not adapted later
+    dealt = lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "pos")
     found = written(dealt.mapInArrow(_streamed(min_docs, keep_first), _OUT), "line-runs")
     totals = found.where(F.col("kind") == PART).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")).where(F.col("docs") >= min_docs)
     open_ = found.where(F.col("kind") == PENDING).drop("docs").join(totals, ["h1", "h2"], "left_semi")
@@ -139,16 +141,18 @@ def _kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
 def dedup(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped; a null text stays null in kept_text. Columns of these names are replaced; all rows stay."""
     own = ("kept_text", "n_lines", "n_dropped")
-    maps = keep_bitmaps(docs, text, min_docs, min_chars, keep_first).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("n_dropped").alias("_n"), F.col("bitmap").alias("_b"))
-    base = docs.select([c for c in docs.columns if c not in own]).withColumn("_h", _text_hash(text))
-    j = base.join(maps, (F.col("_h") == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
-    return j.withColumns(
-        {
-            "n_lines": F.length(F.coalesce(F.col(text), F.lit(""))).cast("long") - F.length(F.translate(F.coalesce(F.col(text), F.lit("")), "\n", "")) + 1,
-            "n_dropped": F.coalesce("_n", F.lit(0)).cast("long"),
-            "kept_text": F.when(F.col("_b").isNull(), F.col(text)).otherwise(_kept(F.when(F.col("_b").isNotNull(), F.col(text)), F.col("_b"))),
-        }
-    ).drop("_h", "_d", "_t", "_n", "_b")
+    maps = keep_bitmaps(docs, text, min_docs, min_chars, keep_first).select(F.struct("doc_id", "text_hash", "n_dropped", "bitmap").alias("m"))
+    base = docs.select([c for c in docs.columns if c not in own])
+    names = base.columns
+    base = base.select(F.struct(*[F.col(c) for c in names if c != text]).alias("r"), F.col("doc_id").cast("long").alias("d"), F.col(text).alias("t"), _text_hash(text).alias("h"))  # what the table's columns are called doesn't matter
+    j = base.join(maps, (F.col("h") == F.col("m.text_hash")) & F.col("d").eqNullSafe(F.col("m.doc_id")), "left")
+    some, lost = F.coalesce("t", F.lit("")), F.col("m.bitmap").isNotNull()
+    return j.select(
+        *[F.col("t").alias(c) if c == text else F.col("r")[c].alias(c) for c in names],
+        (F.length(some).cast("long") - F.length(F.translate(some, "\n", "")) + 1).alias("n_lines"),
+        F.coalesce("m.n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(~lost, F.col("t")).otherwise(_kept(F.when(lost, F.col("t")), F.col("m.bitmap"))).alias("kept_text"),
+    )
 
 
 def query(docs: DataFrame) -> DataFrame:

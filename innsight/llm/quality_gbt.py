@@ -135,7 +135,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn, most: int) -> pd.Da
 def score(docs: DataFrame, labels: DataFrame, learn=None, most: int = 12000, threshold: float = 0.3) -> DataFrame:
     """docs with score (that a document is good) and predicted. Labels are learnt from `most` labelled rows at most, of those that `learn` admits.
 
-    Null texts count as empty. Without labels, or with labels of one kind, all scores are alike. Columns named score or predicted are replaced.
+    Null texts count as empty. Statistics are of whole texts, however long. Repeated rows all stay, with equal scores. Without labels, or with labels of one kind, all scores are alike. Columns named score or predicted are replaced.
     """
     rows = training_rows(docs, labels.select("doc_id", "quality"), F.lit(True) if learn is None else learn, most)
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES))

@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning: linear numpy classifiers on the presence of words.
 
-Only confirmed toxic documents are taken as labelled; all other texts are unlabelled. With class prior p, the risk
-    p * R(positives as 1) + max(0, R(unlabelled as 0) - p * R(positives as 0))
+Only confirmed toxic documents are taken as labelled; the unlabelled texts are drawn from the others. Of class prior p, the toxic share of
+the labelled rows, the confirmed ones are thus missing among the unlabelled, where the prior is q. The risk
+    p * R(positives as 1) + (1 - p) / (1 - q) * max(0, R(unlabelled as 0) - q * R(positives as 0))
 is minimised; where the second term would turn negative, its gradient is reversed.
 """
 
@@ -45,8 +46,8 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(out, -30, 30)))).mean(1)
 
 
-def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 2000, rate: float = 0.1, decay: float = 0.0, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias of one linear classifier, by Adam on the non-negative risk with the sigmoid loss. x: rows by features; positive: a mask, the other rows are unlabelled."""
+def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, left: float, steps: int = 2000, rate: float = 0.1, decay: float = 0.0, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Weights and bias of one linear classifier, by Adam on the non-negative risk with the sigmoid loss. x: rows by features; positive: a mask, the other rows are unlabelled; left: the prior among these."""
     rng = np.random.default_rng(seed)
     w = np.concatenate([rng.normal(0, 0.01, x.shape[1]), [math.log(prior / (1 - prior))]]).astype(np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -56,16 +57,17 @@ def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 2
         dp, du = sp * (1 - sp), su * (1 - su)
         grad_p = np.append(dp @ xp, dp.sum()) / len(xp)
         grad_u = np.append(du @ xu, du.sum()) / len(xu)
-        rest = su.mean() - prior * sp.mean()
-        g = -prior * grad_p + (grad_u - prior * grad_p) if rest >= 0 else -(grad_u - prior * grad_p)
+        part = (1 - prior) / (1 - left)
+        rest = su.mean() - left * sp.mean()
+        g = -prior * grad_p + part * (grad_u - left * grad_p) if rest >= 0 else -part * (grad_u - left * grad_p)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def fit(vocabulary: list[str], x: np.ndarray, pos: np.ndarray, prior: float, classifiers: int = 3, seed: int = 7) -> Model:
-    """x: presence of the words of the vocabulary, a row for each text; pos: a mask of the positives. Each classifier sees its own bootstrap of the rows."""
+def fit(vocabulary: list[str], x: np.ndarray, pos: np.ndarray, prior: float, left: float, classifiers: int = 3, seed: int = 7) -> Model:
+    """x: presence of the words of the vocabulary, a row for each text; pos: a mask of the positives; prior: of all texts, left: of those that are no positives. Each classifier sees its own bootstrap of the rows."""
     n_p, n_u = int(pos.sum()), int((~pos).sum())
     if not n_p or not n_u:
         share = min(max(prior, 1e-6), 1 - 1e-6)
@@ -73,7 +75,7 @@ def fit(vocabulary: list[str], x: np.ndarray, pos: np.ndarray, prior: float, cla
     rng, weights, bias = np.random.default_rng(seed), [], []
     for k in range(classifiers):
         rows = np.concatenate([rng.choice(np.flatnonzero(mask), n) for mask, n in ((pos, n_p), (~pos, n_u))])
-        w, b = train_nnpu(x[rows], pos[rows], min(max(prior, 0.001), 0.9), seed=seed + k)
+        w, b = train_nnpu(x[rows], pos[rows], min(max(prior, 0.001), 0.9), min(max(left, 0.0), 0.9), seed=seed + k)
         weights.append(w)
         bias.append(b)
     return Model({w: i for i, w in enumerate(vocabulary)}, np.stack(weights, 1), np.array(bias))
@@ -92,14 +94,15 @@ def parting_words(sample: DataFrame, n_p: int, n_u: int, n_features: int) -> lis
     return [r["w"] for r in counts.where("p + u >= 5").orderBy(parts.desc(), "w").select("w").limit(n_features).collect()]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn, max_positive: int, max_unlabelled: int, n_features: int = 100) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+def training_sample(docs: DataFrame, labels: DataFrame, learn, max_positive: int, max_unlabelled: int, n_features: int = 100) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
     """Of max_positive toxic and max_unlabelled other documents at most, of those that `learn` admits, drawn by a hash of doc_id: the words that part
-    them, which words each row has, which rows are positive; and the share of toxic rows among the labelled ones. Texts and their words stay on the executors."""
+    them, which words each row has, which rows are positive; the share of toxic rows among the labelled ones, and what is left of it without the confirmed ones. Texts and their words stay on the executors."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     draw = F.xxhash64(F.lit("draw"), "doc_id")
     toxic = known.where("toxic = 1").select("doc_id").orderBy(draw, "doc_id").limit(max_positive)
-    free = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_anti").orderBy(draw, "doc_id").limit(max_unlabelled)
+    admitted = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id")
+    free = admitted.join(known.where("toxic = 1"), "doc_id", "left_anti").orderBy(draw, "doc_id").limit(max_unlabelled)
     drawn = toxic.withColumn("positive", F.lit(True)).unionByName(free.withColumn("positive", F.lit(False)))
     ids = docs.sparkSession.createDataFrame(drawn.toPandas(), "doc_id long, positive boolean")  # as many rows as the two bounds
     sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "positive", _words("text").alias("words")), "toxicity")
@@ -112,15 +115,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn, max_positive: int
     x = np.zeros((rows.num_rows, len(vocabulary)), np.float32)
     x[np.repeat(np.arange(rows.num_rows), own.value_lengths().to_numpy(zero_copy_only=False)), own.flatten().to_numpy(zero_copy_only=False)] = 1
     positive = rows.column("positive").to_numpy().astype(bool)
-    return vocabulary, x, positive, (n["t"] or 0) / n["n"] if n["n"] else 0.0
+    prior, confirmed = (n["t"] or 0) / n["n"] if n["n"] else 0.0, (n["t"] or 0) / max(admitted.distinct().count(), 1)
+    return vocabulary, x, positive, prior, max(prior - confirmed, 0.0) / max(1 - confirmed, 1e-9)
 
 
-def score(docs: DataFrame, labels: DataFrame, learn=None, max_positive: int = 4000, max_unlabelled: int = 8000, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn=None, max_positive: int = 4000, max_unlabelled: int = 8000, threshold: float = 0.7, n_features: int = 100) -> DataFrame:
     """docs with score and predicted. Labels are learnt from rows that `learn` admits, max_positive confirmed toxic ones at most, beside max_unlabelled texts without regard to labels.
+    The classifiers are over the n_features words that part the two most. A text is scored by all its words, however long it is.
 
-    Null texts count as empty. Without any toxic label every score is the share of toxic labels. Columns named score or predicted are replaced.
+    Null texts count as empty. Repeated rows all stay, with equal scores; of a doc_id that repeats, each row may be in the sample. Without any toxic label every score is the share of toxic labels. Columns named score or predicted are replaced.
     """
-    model = fit(*training_sample(docs, labels.select("doc_id", "toxic"), F.lit(True) if learn is None else learn, max_positive, max_unlabelled))
+    model = fit(*training_sample(docs, labels.select("doc_id", "toxic"), F.lit(True) if learn is None else learn, max_positive, max_unlabelled, n_features))
 
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
