@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """similarity(a, b), but 0 where either is empty or null."""
+    return F.when(present(a) & present(b), similarity(a, b)).otherwise(0.0)
+
+
+def text_likeness(a: Column, b: Column) -> Column:
+    """Trimmed and in lower case: 1 for equal texts, the ratio of lengths where one contains the other, else similarity."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    part = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
+    return F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), part).otherwise(similarity(x, y))
+
+
 def similar_above(a: Column, b: Column, least: float) -> Column:
     """similarity(a, b) > least, without the distance where the lengths alone rule it out."""
     x, y = F.length(a), F.length(b)
@@ -63,7 +77,8 @@ def has_json_key(c: Column, words: list[str]) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return F.coalesce(F.lower(text).rlike("|".join(words)), F.lit(False))
+    """Whether the text, in lower case, contains one of the words as they are written."""
+    return F.coalesce(F.lower(text).rlike("|".join(re.escape(w) for w in words)), F.lit(False))
 
 
 def level(score: Column, high: float, medium: float) -> Column:

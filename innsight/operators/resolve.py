@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import geo_similarity, haversine_km, phone_similarity, present, similarity
+from ..functions.scalars import geo_similarity, haversine_km, phone_similarity, present, text_likeness
 from .violations import cells, pairs_within
 
-STOP = ["the", "a", "an", "and", "of", "in", "at", "on", "for", "by", "to"]
+# fixed values
+STOP = ["the", "and", "in", "of", "for", "a", "an", "on", "at", "to", "by"]
+HOTEL_TERMS = ["hotel", "inn", "suites", "lodge", "resort", "apartments", "hostel", "motel", "residence", "فندق", "نزل", "شقق", "أجنحة"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -19,7 +21,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="innsight-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir: executors must share the checkpoint folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="innsight-"))
     return df.checkpoint()
 
 
@@ -30,25 +35,29 @@ def conflicts(rows: DataFrame, km: float = 0.05) -> DataFrame:
     return near
 
 
-def _greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id): the first row stays, and each later one that conflicts with none that stays. In rounds: what has no open smaller neighbour stays, its neighbours go."""
+def greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id): the first row stays, and each later one that conflicts with none that stays. nodes: (id, key); rows of one key that is not null conflict, as do those of edges (a, b), a < b.
+
+    In rounds: what has no open smaller neighbour stays, its neighbours go. Of a key only the smallest open id counts, so rows of one key never meet pairwise.
+    """
     open_, kept = checkpointed(nodes), None
     edges = checkpointed(edges)
     while True:
         live = edges.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi")
-        stays = checkpointed(open_.join(live.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-        kept = stays if kept is None else kept.unionByName(stays)
-        gone = live.join(stays.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        open_ = checkpointed(open_.join(stays, "id", "left_anti").join(gone, "id", "left_anti"))
+        later = open_.join(open_.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first")), "key").where("id > first").select("id")
+        stays = checkpointed(open_.join(live.select(F.col("b").alias("id")).unionByName(later).distinct(), "id", "left_anti"))
+        kept = stays.select("id") if kept is None else kept.unionByName(stays.select("id"))
+        near = live.join(stays.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        alike = open_.join(stays.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi").select("id")
+        open_ = checkpointed(open_.join(stays.select("id").unionByName(near).unionByName(alike).distinct(), "id", "left_anti").select("id", "key"))
         if open_.isEmpty():
             return kept
 
 
 def dedupe(rows: DataFrame, km: float = 0.05) -> DataFrame:
     """rows without those that repeat an earlier kept one (by id): the same name in lower case, or closer than km. Names are decided with places: a row goes if a kept row has its name."""
-    whole = rows.where(present("name") & present("latitude") & present("longitude")).withColumn("_n", F.lower("name"))
-    names = whole.select("_n", F.col("id").alias("a")).join(whole.select("_n", F.col("id").alias("b")), "_n").where("a < b").select("a", "b")
-    kept = _greedy(rows.select("id"), conflicts(rows, km).unionByName(names).distinct())
+    whole = present("name") & present("latitude") & present("longitude")
+    kept = greedy(rows.select("id", F.when(whole, F.lower("name")).alias("key")), conflicts(rows, km).distinct())
     return rows.join(kept, "id", "left_semi")
 
 
@@ -77,13 +86,18 @@ def dbscan(points: DataFrame, km: float, least: int) -> DataFrame:
     root = components(core, near.join(is_core("a"), "a", "left_semi").join(is_core("b"), "b", "left_semi"))
     border = both.join(root.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
     label = p.select("id").join(root, "id", "left").join(border, "id", "left").select("id", F.coalesce("root", "near").alias("root"))
-    from pyspark.sql import Window
-
-    number = root.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("long").alias("label"))
+    # numbered by ranges of roots, so no task holds all clusters: the clusters of the ranges before, and the place in the own one
+    ranged = checkpointed(root.select("root").distinct().repartitionByRange(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root").withColumn("part", F.spark_partition_id()))
+    before = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    offset, total = {}, 0
+    for k in sorted(before):
+        offset[k], total = total, total + before[k]
+    start = F.create_map(*[F.lit(x) for kv in offset.items() for x in kv])[F.col("part")] if offset else F.lit(0)
+    number = ranged.select("root", (F.row_number().over(Window.partitionBy("part").orderBy("root")) - 1 + start).cast("long").alias("label"))
     return label.join(number, "root", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-def property_similarity(text=similarity) -> Column:
+def property_similarity(text=text_likeness) -> Column:
     """Of columns a_* and b_*: name 0.4, address 0.3, place 0.3, phone 0.4 where alike at all, owner 0.4; over the weights at hand. text: the likeness of two texts, or a bound of it."""
     both = lambda *cs: reduce(lambda x, y: x & y, [present(f"{x}_{c}") for x in "ab" for c in cs])
     like = lambda c: F.when(both(c), text(F.trim(f"a_{c}"), F.trim(f"b_{c}")))
@@ -93,19 +107,33 @@ def property_similarity(text=similarity) -> Column:
     return reduce(lambda x, y: x + y, [F.coalesce(w * t, F.lit(0.0)) for w, t in terms]) / F.nullif(reduce(lambda x, y: x + y, [F.when(t.isNotNull(), w).otherwise(0.0) for w, t in terms]), F.lit(0.0))
 
 
-def _most_alike(a: Column, b: Column) -> Column:
-    """What similarity(a, b) is at most, by the lengths alone."""
-    x, y = F.length(F.lower(a)), F.length(F.lower(b))
-    return F.when(F.greatest(x, y) == 0, 1.0).otherwise(F.least(x, y) / F.greatest(x, y))
+def _alike_rows(p: DataFrame, c: str, least: float) -> DataFrame:
+    """(a, b), a < b: rows whose texts of column c have a likeness of least or more. Only distinct texts are compared, and only those whose lengths leave it open; the likeness is at most the ratio of lengths."""
+    rows = p.where(present(c)).select(F.lower(F.trim(c)).alias("t"), "id")
+    size = F.length("t")
+    t = rows.select("t").distinct()
+    x = t.select(F.col("t").alias("x"), size.alias("size"))
+    y = t.select(F.col("t").alias("y"), F.explode(F.sequence(F.ceil(size * least).cast("int"), F.floor(size / least).cast("int"))).alias("size"))
+    like = x.join(y, "size").where((F.col("x") <= F.col("y")) & (text_likeness(F.col("x"), F.col("y")) >= least)).select("x", "y")
+    pairs = like.join(rows.select(F.col("t").alias("x"), F.col("id").alias("i")), "x").join(rows.select(F.col("t").alias("y"), F.col("id").alias("j")), "y")
+    return pairs.where("i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
 def property_pairs(hotels: DataFrame, owner: Column, least: float = 0.7) -> DataFrame:
-    """(a, b), a < b: all pairs of properties with likeness of at least `least`, wherever they lie. Every pair is met, as no single term decides; edit distances are taken only where the lengths leave it open."""
-    p = hotels.withColumn("owner", owner).select("id", "name", "address", "latitude", "longitude", "phone", "owner")
+    """(a, b), a < b: all pairs of properties with likeness of at least `least`, wherever they lie.
+
+    A weighted mean reaches least only where one of its terms does. So those pairs meet that have like names, addresses or owners, phones with the same last four digits, or places near enough, and no others.
+    """
+    p = checkpointed(hotels.withColumn("owner", owner).select("id", "name", "address", "latitude", "longitude", "phone", "owner"))
+    low = least - 1e-9
+    d = F.regexp_replace("phone", r"\D", "")
+    phones = p.where(present("phone")).select("id", F.when(F.length(d) >= 6, F.right(d, F.lit(4))).otherwise(d).alias("d")).where("d != ''")
+    same = phones.select("d", F.col("id").alias("a")).join(phones.select("d", F.col("id").alias("b")), "d").where("a < b").select("a", "b")
+    met = [_alike_rows(p, c, low) for c in ("name", "address", "owner")] + [same, pairs_within(p, 2 * (1 - low)).select("a", "b")]
+    candidates = reduce(lambda x, y: x.unionByName(y), met).distinct()
     named = lambda x: p.select([F.col(c).alias(f"{x}_{c}") for c in p.columns])
-    n = int(hotels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = named("a").repartition(n, "a_id").join(named("b"), F.col("a_id") < F.col("b_id"))
-    return pairs.where(property_similarity(_most_alike) >= least - 1e-9).where(property_similarity() >= least).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    pairs = candidates.join(named("a"), F.col("a") == F.col("a_id")).join(named("b"), F.col("b") == F.col("b_id"))
+    return pairs.where(property_similarity() >= least).select("a", "b")
 
 
 def property_groups(hotels: DataFrame, owner: Column, least: float = 0.7) -> DataFrame:
@@ -130,9 +158,32 @@ def naming_patterns(hotels: DataFrame) -> DataFrame:
     return n.join(F.broadcast(hotels.agg(F.count("*").alias("total")))).select("pattern", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 
+def naming_terms(hotels: DataFrame) -> DataFrame:
+    """(term, n) of words in names that say lodging."""
+    words = hotels.select(F.explode(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("term"))
+    return words.where(F.col("term").isin(HOTEL_TERMS)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def group_details(hotels: DataFrame, groups: DataFrame, owner: Column) -> DataFrame:
+    """Per group of (id, root): n, centre, largest distance to it in km, the five words found most (twice at least), the three owners with most (two at least), sources, and whether there are several."""
+    h = groups.join(hotels.withColumn("owner", owner), "id").withColumn("placed", present("latitude") & present("longitude"))
+    own = lambda c: F.when(F.col("placed"), F.col(c))
+    g = h.groupBy("root").agg(F.count("*").alias("n"), F.avg(own("latitude")).alias("latitude"), F.avg(own("longitude")).alias("longitude"), F.array_sort(F.collect_set("data_source")).alias("sources"))
+    far = h.where("placed").select("root", F.col("latitude").alias("y"), F.col("longitude").alias("x")).join(g, "root").groupBy("root").agg(F.max(haversine_km(F.col("y"), F.col("x"), F.col("latitude"), F.col("longitude"))).alias("radius_km"))
+
+    def most(df: DataFrame, c: str, top: int, name: str) -> DataFrame:
+        n = df.groupBy("root", c).agg(F.count("*").alias("k")).where("k > 1")
+        rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("k"), c))
+        return n.withColumn("r", rank).where(F.col("r") <= top).groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c]), ",").alias(name))
+
+    words = h.select("root", F.explode(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("word"))
+    out = g.join(far, "root", "left").join(most(words, "word", 5, "words"), "root", "left").join(most(h.where(present("owner")), "owner", 3, "owners"), "root", "left")
+    return out.select("root", "n", "latitude", "longitude", "radius_km", "words", "owners", F.array_join("sources", ",").alias("sources"), (F.size("sources") > 1).alias("several"))
+
+
 def within_boxes(points: DataFrame, zones: DataFrame, km: float) -> DataFrame:
     """Pairs (zone, id, km) of points at most km from a zone's centre (zone, z_lat, z_lon), by grid cells."""
-    j = cells(points, km).join(cells(zones, km, "z_lat", "z_lon", around=True), ["cx", "cy"])
+    j = cells(points, km).join(cells(zones, km, "z_lat", "z_lon", around=True), ["cx", "cy", "cz"])
     return j.withColumn("km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("z_lat"), F.col("z_lon"))).where(F.col("km") <= km)
 
 

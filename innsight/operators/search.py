@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import geo_similarity, haversine_km, owner, present, similarity
@@ -17,7 +17,7 @@ def advanced_search(hotels: DataFrame, criteria: dict, listings: DataFrame | Non
     if criteria.get("name"):
         tests.append(F.lower("name").contains(criteria["name"].lower()))
     tests += [F.col(c) == criteria[c] for c in ("city", "country", "operation_status", "risk_level", "data_source") if criteria.get(c) and criteria[c] != "all"]
-    tests += [op(F.col("last_updated"), F.expr(f"try_cast('{criteria[k]}' AS timestamp_ntz)")) for k, op in (("date_from", lambda a, b: b.isNull() | (a >= b)), ("date_to", lambda a, b: b.isNull() | (a <= b))) if criteria.get(k)]
+    tests += [op(F.col("last_updated"), F.lit(criteria[k]).try_cast("timestamp_ntz")) for k, op in (("date_from", lambda a, b: b.isNull() | (a >= b)), ("date_to", lambda a, b: b.isNull() | (a <= b))) if criteria.get(k)]
     if criteria.get("min_stars"):
         tests.append(F.col("stars") >= float(criteria["min_stars"]))
     contact = present("phone") | present("email")
@@ -31,6 +31,11 @@ def advanced_search(hotels: DataFrame, criteria: dict, listings: DataFrame | Non
     return out
 
 
+def by_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], **values) -> DataFrame:
+    """Any SQL over tables given by name ({name} in it), with values for its :markers."""
+    return spark.sql(sql, args=values, **tables)
+
+
 def by_name(hotels: DataFrame, name: str, exact: bool = False) -> DataFrame:
     return hotels.where(F.col("name") == name if exact else F.lower("name").contains(name.lower()))
 
@@ -38,7 +43,7 @@ def by_name(hotels: DataFrame, name: str, exact: bool = False) -> DataFrame:
 def sparse(hotels: DataFrame, below: float = 0.3, fields=ESSENTIAL) -> DataFrame:
     """Hotels of whose fields a smaller share than `below` is present, with that share and the missing fields."""
     missing = missing_fields(fields)
-    return hotels.withColumns({"share": 1 - F.size(missing) / max(len(fields), 1), "missing": missing}).where(F.col("share") < below)
+    return hotels.withColumns({"share": 1 - F.size(missing) / max(len(fields), 1), "missing": missing}).where(F.col("share") < below).orderBy("share", "id")
 
 
 def same_owner(hotels: DataFrame, hotel_id: int) -> DataFrame:
@@ -53,28 +58,29 @@ def nearby(hotels: DataFrame, latitude: float, longitude: float, metres: float =
     d = metres / 111000 * 1.01
     box = F.col("latitude").between(latitude - d, latitude + d)
     m = haversine_km(F.lit(latitude), F.lit(longitude), F.col("latitude"), F.col("longitude")) * 1000
-    return hotels.where(box & present("latitude") & present("longitude")).withColumn("metres", m).where(F.col("metres") <= metres).withColumn("metres", F.round("metres", 1))
+    return hotels.where(box & present("latitude") & present("longitude")).withColumn("metres", m).where(F.col("metres") <= metres).withColumn("metres", F.round("metres", 1)).orderBy("metres", "id")
 
 
 def similar(hotels: DataFrame, hotel_id: int, least: float = 0.7, normalised: bool = False) -> DataFrame:
-    """Hotels like one: name counts 3, address 2, place 2, stars 1, price 1 or 0.5. The score is the sum over the number of terms; normalised: over their weights."""
-    a = hotels.where(F.col("id") == hotel_id).select(*[F.col(c).alias(f"a_{c}") for c in ("name", "address", "latitude", "longitude", "stars", "price_range")]).limit(1)
+    """Hotels like one: name counts 3, address 2, place 2, stars 1, price 1 or 0.5, facilities 1. The score is the sum over the number of terms; normalised: over their weights."""
+    a = hotels.where(F.col("id") == hotel_id).select(*[F.col(c).alias(f"a_{c}") for c in ("name", "address", "latitude", "longitude", "stars", "price_range", "facilities")]).limit(1)
     j = hotels.where(F.col("id") != hotel_id).join(F.broadcast(a))
     both = lambda c: present(c) & present(f"a_{c}")
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("a_latitude"), F.col("a_longitude"))
     terms = [
         (3.0, F.when(both("name"), similarity(F.col("name"), F.col("a_name")))), (2.0, F.when(both("address"), similarity(F.col("address"), F.col("a_address")))),
         (2.0, F.when(both("latitude") & both("longitude"), geo_similarity(km))), (1.0, F.when(both("stars"), 1 - F.abs(F.col("stars") - F.col("a_stars")) / 5)),
+        (1.0, F.when(both("facilities"), similarity(F.col("facilities"), F.col("a_facilities")))),
         (1.0, F.when(both("price_range"), F.when(F.col("price_range") == F.col("a_price_range"), 1.0).otherwise(0.5))),
     ]
     total = reduce(lambda x, y: x + y, [F.coalesce(w * t, F.lit(0.0)) for w, t in terms])
     parts = reduce(lambda x, y: x + y, [F.when(t.isNotNull(), w if normalised else 1.0).otherwise(0.0) for w, t in terms])
-    return j.withColumn("score", F.try_divide(total, parts)).where(F.col("score") >= least).drop(*[c for c in a.columns])
+    return j.withColumn("score", F.try_divide(total, parts)).where(F.col("score") >= least).drop(*[c for c in a.columns]).orderBy(F.desc("score"), "id")
 
 
 def unverified(hotels: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
-    return hotels.where((F.col("verification_status") == "unverified") | F.col("last_verification_date").isNull() | (F.col("last_verification_date") < cutoff))
+    return hotels.where((F.col("verification_status") == "unverified") | F.col("last_verification_date").isNull() | (F.col("last_verification_date") < cutoff)).orderBy(F.asc_nulls_first("last_verification_date"), "id")
 
 
 def recent_changes(history: DataFrame, as_of: str, days: int = 7, per_hotel: int = 5) -> DataFrame:
@@ -84,11 +90,15 @@ def recent_changes(history: DataFrame, as_of: str, days: int = 7, per_hotel: int
     return history.where(F.col("event_date") >= cutoff).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_hotel)
 
 
-def details(hotels: DataFrame, history: DataFrame, listings: DataFrame, hotel_id: int) -> DataFrame:
-    """One row: the hotel with its history and listings as sorted arrays."""
+def details(hotels: DataFrame, history: DataFrame, listings: DataFrame, hotel_id: int, relationships: DataFrame | None = None, risk: DataFrame | None = None) -> DataFrame:
+    """One row: the hotel with its history and listings as sorted arrays, and where these tables are given the hotels related to it and its risk score."""
     key = F.col("hotel_id") == hotel_id
     pack = lambda df, name, *c: df.where(key).groupBy().agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
-    return hotels.where(F.col("id") == hotel_id).join(pack(history, "history", "event_date", "history_id", "event_type", "old_value", "new_value")).join(pack(listings, "listings", "first_seen_date", "listing_id", "platform_id"))
+    out = hotels.where(F.col("id") == hotel_id).join(pack(history, "history", "event_date", "history_id", "event_type", "old_value", "new_value")).join(pack(listings, "listings", "first_seen_date", "listing_id", "platform_id"))
+    if relationships is not None:
+        a, b = F.col("hotel_id_a"), F.col("hotel_id_b")
+        out = out.join(relationships.where((a == hotel_id) | (b == hotel_id)).agg(F.array_sort(F.collect_set(F.when(a == hotel_id, b).otherwise(a))).alias("related")))
+    return out if risk is None else out.join(risk.select("id", F.col("score").alias("computed_risk")), "id", "left")
 
 
 def formatted(hotels: DataFrame, kind: str = "summary") -> DataFrame:
@@ -98,5 +108,5 @@ def formatted(hotels: DataFrame, kind: str = "summary") -> DataFrame:
     if kind == "contacts":
         return hotels.select("id", or_("name", "Unknown"), *[or_(c, "N/A") for c in ("phone", "email", "website")])
     if kind == "detailed":
-        return hotels
+        return hotels.withColumns({c: F.when(present(c), F.col(c)).otherwise("N/A") for c in ("address", "phone", "email", "website")})
     return hotels.select("id", or_("name", "Unknown"), *[or_(c, "N/A") for c in ("city", "country", "stars")])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import contains_any
+from ..functions.scalars import contains_any, digits, likeness, owner, present
+from .search import nearby
 
 # fixed values
 CLASSES = (("name", "name"), ("owner", "owner"), ("status", "status"), ("listing|platform", "platform"), ("location|address", "location"))
-OFFICIAL, PRIVATE = "booking.com|expedia|tripadvisor", "airbnb|private|rental"
+OFFICIAL, PRIVATE = r"booking\.com|expedia|tripadvisor", "airbnb|private|rental"
 REPORT_TYPES = ("name", "owner", "status", "license", "platform")
 PERMIT_WORDS = ["permit", "license", "classification", "approval", "certificate"]
 DOWNGRADES = {"hotel": ("motel", "guesthouse", "residence", "apartment"), "commercial": ("residential",)}
@@ -31,6 +32,37 @@ def class_counts(history: DataFrame) -> DataFrame:
     return classified(history).groupBy("hotel_id", "class").agg(F.count("*").alias("n"), F.min("event_date").alias("first"), F.max("event_date").alias("last"))
 
 
+def history_analysis(history: DataFrame) -> DataFrame:
+    """Per hotel: events of each class, first and last, score of its temporal patterns (high 3, medium 2, low 1) and level."""
+    n = classified(history).groupBy("hotel_id").agg(F.count("*").alias("events"), *[F.count_if(F.col("class") == c).alias(c) for c in ("name", "owner", "status", "platform", "location", "other")])
+    points = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
+    s = temporal_patterns(history).groupBy("hotel_id").agg(F.sum(points * F.col("n")).alias("score"))
+    return n.join(s, "hotel_id", "left").fillna(0, ["score"]).withColumn("level", F.when(F.col("score") >= 5, "high").when(F.col("score") >= 2, "medium").otherwise("low"))
+
+
+def timeline(history: DataFrame) -> DataFrame:
+    """Events of each hotel in order of their dates, those without one first, with their place and the side of the line where a chart shows them."""
+    w = Window.partitionBy("hotel_id").orderBy(F.asc_nulls_first("event_date"), "history_id")
+    i = F.row_number().over(w) - 1
+    return classified(history).withColumn("place", i).withColumn("side", F.when(F.col("place") % 2 == 0, "left").otherwise("right"))
+
+
+def change_examples(history: DataFrame, types=REPORT_TYPES, top: int = 5) -> DataFrame:
+    """(type, rank, hotel_id, history_id): the latest `top` changes of each type of the report."""
+    kind, out = F.lower("event_type"), F.lit(None).cast("string")
+    for t in reversed(types):
+        out = F.when(kind.contains(t), t).otherwise(out)
+    w = Window.partitionBy("type").orderBy(F.desc("event_date"), F.desc("history_id"))
+    return history.withColumn("type", out).where("type IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("type", "rank", "hotel_id", "history_id")
+
+
+def findings_json(history: DataFrame, transitions: DataFrame, as_of: str) -> DataFrame:
+    """(hotel_id, temporal_data): what the history of a hotel shows, as the JSON text that the registry keeps."""
+    a = history_analysis(history).select("hotel_id", F.struct("events", "name", "owner", "status", "platform", "location", "score", "level").alias("history"))
+    t = transitions.groupBy("hotel_id").agg(F.array_sort(F.collect_list(F.struct("date", "was", "now"))).alias("transitions"))
+    return a.join(t, "hotel_id", "left").select("hotel_id", F.to_json(F.struct("history", "transitions", F.lit(as_of).alias("as_of"))).alias("temporal_data"))
+
+
 def temporal_patterns(history: DataFrame) -> DataFrame:
     """(hotel_id, pattern, severity, n): quick successions of names and owners, status downgrades, turns from official to private platforms, moves after a change of owner, new names near a new status."""
     day = F.to_date("event_date")
@@ -98,17 +130,53 @@ def same_day_events(history: DataFrame) -> DataFrame:
     return history.groupBy(day).agg(F.countDistinct("hotel_id").alias("hotels"), F.count("*").alias("events")).where("hotels >= 2")
 
 
-def close_events(history: DataFrame, days: int = 30) -> DataFrame:
-    """(event_type, a, b, n): pairs of events of one type at different hotels at most `days` apart, both ways. A join on the type and a bucket of days, with its neighbours."""
-    e = history.select("hotel_id", "event_type", F.to_date("event_date").alias("day")).withColumn("bucket", F.floor(F.unix_date("day") / days))
+def close_events(timeline: DataFrame, days: int = 30) -> DataFrame:
+    """(event_type, a, b, n): pairs of events of one type at different hotels at most `days` apart, each pair of hotels once, a < b. timeline: the events of a few hotels, as of compared() or near_place(). A join on the type and a bucket of days, with its neighbours."""
+    e = timeline.select("hotel_id", "event_type", F.to_date("event_date").alias("day")).withColumn("bucket", F.floor(F.unix_date("day") / days))
     e = e.groupBy("hotel_id", "event_type", "day", "bucket").agg(F.count("*").alias("k"))
     a = e.select("event_type", "bucket", F.col("hotel_id").alias("a"), F.col("day").alias("d"), F.col("k").alias("i"))
     b = e.select("event_type", F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)])).alias("bucket"), F.col("hotel_id").alias("b"), F.col("day").alias("f"), F.col("k").alias("j"))
-    return a.join(b, ["event_type", "bucket"]).where((F.col("a") != F.col("b")) & (F.abs(F.datediff("d", "f")) <= days)).groupBy("event_type", "a", "b").agg(F.sum(F.col("i") * F.col("j")).alias("n"))
+    return a.join(b, ["event_type", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("d", "f")) <= days)).groupBy("event_type", "a", "b").agg(F.sum(F.col("i") * F.col("j")).alias("n"))
+
+
+def near_place(hotels: DataFrame, history: DataFrame, latitude: float, longitude: float, metres: float, as_of: str, days: int = 5 * 365) -> DataFrame:
+    """The events of hotels at most `metres` from a place in the days before as_of, oldest first."""
+    inside = nearby(hotels, latitude, longitude, metres).select(F.col("id").alias("hotel_id"))
+    day = F.to_date("event_date")
+    return history.where((day >= F.date_sub(F.lit(as_of).cast("date"), days)) & (day <= F.lit(as_of).cast("date"))).join(inside, "hotel_id", "left_semi").orderBy(F.asc_nulls_first("event_date"), "history_id")
+
+
+def place_summary(hotels: DataFrame, history: DataFrame, latitude: float, longitude: float, metres: float, as_of: str, days: int = 5 * 365) -> DataFrame:
+    """One row: hotels at a place, hotels with events, events, closures followed by openings elsewhere at the place, and whether several hotels changed."""
+    events = near_place(hotels, history, latitude, longitude, metres, as_of, days)
+    e = events.agg(F.countDistinct("hotel_id").alias("with_history"), F.count("*").alias("events"))
+    pairs = closure_opening(events).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("closure_openings"))
+    n = nearby(hotels, latitude, longitude, metres).agg(F.count("*").alias("hotels"))
+    return n.join(e).join(pairs).withColumn("several_changed", F.col("with_history") > 1)
+
+
+def compared(history: DataFrame, first: int, second: int) -> DataFrame:
+    """The events of two hotels as one timeline, oldest first."""
+    return history.where(F.col("hotel_id").isin(first, second)).orderBy(F.asc_nulls_first("event_date"), "history_id")
+
+
+def likenesses(hotels: DataFrame, first: int, second: int, least: float = 0.7) -> DataFrame:
+    """(type, score, value1, value2) of what two hotels have alike: addresses and owners above `least`, equal phones by their digits, equal e-mails."""
+    h = hotels.withColumn("owner", owner(F.col("ownership_info"), F.col("additional_info"))).select("id", "address", "phone", "email", "owner")
+    a, b = (h.where(F.col("id") == i).limit(1).select([F.col(c).alias(f"{c}{k}") for c in h.columns]) for k, i in ((1, first), (2, second)))
+    equal = {"phone": digits, "email": F.lower}
+
+    def entry(c: str):
+        x, y = F.col(f"{c}1"), F.col(f"{c}2")
+        score = F.when(equal[c](x) == equal[c](y), 1.0).otherwise(0.0) if c in equal else likeness(x, y)
+        return F.when(present(x) & present(y), F.struct(F.lit(c).alias("type"), score.alias("score"), x.alias("value1"), y.alias("value2")))
+
+    rows = a.join(b).select(F.explode(F.array_compact(F.array(*[entry(c) for c in ("address", "phone", "email", "owner")]))).alias("x")).select("x.*")
+    return rows.where(F.col("score") > least)
 
 
 def closure_opening(history: DataFrame, days: int = 180) -> DataFrame:
-    """(closed, opened, n): closures followed by an opening at another hotel within days."""
+    """(closed, opened, n): closures followed by an opening at another hotel within days. history: the events of one place, as of near_place()."""
     kind, value, day = F.lower("event_type"), F.lower(F.coalesce("new_value", F.lit(""))), F.to_date("event_date")
     closed = history.where(kind.contains("closure") | (kind.contains("status") & value.contains("closed"))).groupBy(F.col("hotel_id").alias("closed"), day.alias("c")).agg(F.count("*").alias("i"))
     opened = history.where(kind.contains("opening") | (kind.contains("status") & value.contains("open"))).groupBy(F.col("hotel_id").alias("opened"), day.alias("o")).agg(F.count("*").alias("j"))
@@ -151,6 +219,13 @@ def change_buckets(history: DataFrame) -> DataFrame:
     return n.groupBy(F.when(F.col("n") >= 10, "10+").otherwise(F.col("n").cast("string")).alias("bucket")).agg(F.count("*").alias("hotels"))
 
 
+def captures(index: DataFrame) -> DataFrame:
+    """(url, timestamp, digest, archive_path) of an archive's index with columns url, timestamp (14 digits), original, statuscode and digest: good ones alone, of adjacent equal digests the first."""
+    w = Window.partitionBy("url").orderBy("timestamp")
+    good = index.where(F.col("statuscode").cast("string") == "200").withColumn("_was", F.lag("digest").over(w))
+    return good.where(~F.col("digest").eqNullSafe(F.col("_was"))).select("url", "timestamp", F.try_to_timestamp("timestamp", F.lit("yyyyMMddHHmmss")).alias("date"), "digest", F.concat_ws("/", F.lit("web"), "timestamp", "original").alias("archive_path"))
+
+
 def snapshot_sample(snapshots: DataFrame, key: str = "url", order: str = "timestamp") -> DataFrame:
     """Of each key's snapshots: all of two, first, middle and last of up to five, else first, last and each quarter from the first quarter on."""
     i, n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, F.count("*").over(Window.partitionBy(key))

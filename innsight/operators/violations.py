@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import contains_any, has_json_key, haversine_km, level, owner, present, similar_above
+from ..functions.scalars import EARTH_KM, contains_any, has_json_key, haversine_km, level, owner, present, similar_above
 
 # fixed values
 ESSENTIAL = ("name", "address", "phone", "email", "website", "stars")
@@ -78,15 +78,25 @@ def factor_counts(risk: DataFrame, least: int = 3) -> DataFrame:
 
 
 def inconsistencies(hotels: DataFrame, listings: DataFrame, platforms: DataFrame) -> DataFrame:
-    """Hotels with two sources or more whose names or stars disagree. The registry is a source; listings of one platform count once, the last by listing_id."""
+    """Hotels with two sources or more whose names, addresses, phones, e-mails, websites or stars disagree. The registry is a source; listings of one platform count once, the last by listing_id.
+
+    names, addresses, phones, emails and websites count the distinct values, in lower case; values has each field's values with their sources. Fields that listings lack are the registry's alone.
+    """
+    texts = ("name", "address", "phone", "email", "website")
     last = F.row_number().over(Window.partitionBy("hotel_id", "platform_name").orderBy(F.desc("listing_id")))
-    named = listings.select("hotel_id", "listing_id", "platform_id", "name", "stars").join(platforms.select(F.col("id").alias("platform_id"), "platform_name"), "platform_id")
-    listed = named.withColumn("r", last).where("r = 1").select(F.col("hotel_id").alias("id"), "name", "stars")
-    sources = hotels.select("id", "name", "stars").unionByName(listed)
-    g = sources.groupBy("id").agg(F.count("*").alias("sources"), F.countDistinct(F.when(present("name"), F.lower("name"))).alias("names"), (F.max(F.when(present("stars"), F.col("stars"))) - F.min(F.when(present("stars"), F.col("stars")))).alias("spread"))
-    score = F.when(F.col("names") >= 3, 3).when(F.col("names") == 2, 2).otherwise(0) + F.when(F.col("spread") >= 2, 3).when(F.col("spread") > 1, 2).otherwise(0)
+    field = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("double" if c == "stars" else "string").alias(c)
+    named = listings.select("hotel_id", "listing_id", "platform_id", *[field(listings, c) for c in (*texts, "stars")]).join(platforms.select(F.col("id").alias("platform_id"), "platform_name"), "platform_id")
+    listed = named.withColumn("r", last).where("r = 1").select(F.col("hotel_id").alias("id"), F.col("platform_name").alias("source"), *texts, "stars")
+    sources = hotels.select("id", F.lit("registry").alias("source"), *texts, "stars").unionByName(listed)
+    counts = [F.countDistinct(F.when(present(c), F.lower(c))).alias("addresses" if c == "address" else f"{c}s") for c in texts]
+    stars = F.when(present("stars"), F.col("stars"))
+    values = [F.array_sort(F.collect_set(F.when(present(c), F.struct(F.lower(c).alias("value"), "source")))).alias(c) for c in texts]
+    g = sources.groupBy("id").agg(F.count("*").alias("sources"), *counts, (F.max(stars) - F.min(stars)).alias("spread"), *values).withColumn("values", F.struct(*texts)).drop(*texts)
+    score = F.when(F.col("names") >= 3, 3).when(F.col("names") == 2, 2).otherwise(0) + F.when(F.col("addresses") >= 2, 3).otherwise(0) + F.when(F.col("spread") >= 2, 3).when(F.col("spread") > 1, 2).otherwise(0)
+    for c in ("phones", "emails", "websites"):
+        score = score + F.when(F.col(c) >= 2, 2).otherwise(0)
     out = g.where("sources >= 2").withColumn("score", score).where("score > 0")
-    return out.select("id", "sources", "names", "spread", "score", level(F.col("score"), 6, 3).alias("level"))
+    return out.withColumn("level", level(F.col("score"), 6, 3))
 
 
 def dual_activity(hotels: DataFrame, history: DataFrame, listings: DataFrame, platforms: DataFrame) -> DataFrame:
@@ -149,28 +159,64 @@ def unregistered_chains(hotels: DataFrame, least: float = 0.8) -> DataFrame:
     return j.where("others >= 2 AND n >= 2").select("id", "others", F.col("n").alias("unregistered"), (0.7 + (F.least(F.col("n"), F.lit(5)) - 1) * 0.05).alias("confidence"))
 
 
-def platform_switching(listings: DataFrame, platforms: DataFrame, as_of: str, days: int = 180) -> DataFrame:
+def platform_switching(listings: DataFrame, platforms: DataFrame, as_of: str, days: int = 180, recent: int = 3) -> DataFrame:
+    """Hotels that are on a platform both before and after the cutoff, which they left and joined again, or that came to `recent` platforms or more since."""
     named = listings.join(platforms.select(F.col("id").alias("platform_id"), "platform_name"), "platform_id").withColumn("recent", F.col("first_seen_date") >= _days_before(as_of, days))
-    g = named.groupBy(F.col("hotel_id").alias("id")).agg(F.array_sort(F.collect_set(F.when(~F.col("recent"), F.col("platform_name")))).alias("before"), F.array_sort(F.collect_set(F.when(F.col("recent"), F.col("platform_name")))).alias("after"), F.count_if("recent").alias("n_recent"))
-    both = F.size(F.array_intersect("before", "after")).alias("both")
-    return g.where((F.size("after") > 0) & (F.size("before") > 0)).select("id", both, F.col("n_recent"), (0.6 + 0.1 * F.least(F.size(F.array_intersect("before", "after")), F.lit(3))).alias("confidence"))
+    g = named.groupBy(F.col("hotel_id").alias("id")).agg(F.collect_set(F.when(~F.col("recent"), F.col("platform_name"))).alias("before"), F.collect_set(F.when(F.col("recent"), F.col("platform_name"))).alias("after"), F.count_if("recent").alias("n_recent"))
+    both = F.size(F.array_intersect("before", "after"))
+    return g.select("id", both.alias("both"), "n_recent", (0.6 + 0.1 * F.least(both, F.lit(3))).alias("confidence")).where((F.col("both") > 0) | (F.col("n_recent") >= recent))
+
+
+# fixed values
+EVASION = {"name_hotel_without_license": "high", "residential_with_high_turnover": "high", "unregistered_chain_operation": "high", "split_property_listings": "medium", "platform_switching": "medium"}
+
+
+def evasion_patterns(hotels: DataFrame, listings: DataFrame, platforms: DataFrame, as_of: str, least: float = 0.7, inactive: bool = False, limit: int | None = 100) -> DataFrame:
+    """(id, patterns, confidence, score, level): hotels with evasion patterns of at least this confidence; a high one scores 3, a medium one 2. Highest first."""
+    h = hotels if inactive else hotels.where(F.coalesce("operation_status", F.lit("")) != "inactive")
+    found = [name_without_license(h), residential_turnover(h, listings, platforms), unregistered_chains(h), split_properties(h), platform_switching(listings, platforms, as_of)]
+    whole = None
+    for (name, severity), df in zip(EVASION.items(), found):
+        own = df.select("id", F.lit(name).alias("pattern"), F.col("confidence").cast("double").alias("confidence"), F.lit(3 if severity == "high" else 2).alias("points"))
+        whole = own if whole is None else whole.unionByName(own)
+    g = whole.where(F.col("confidence") >= least).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("patterns"), F.max("confidence").alias("confidence"), F.sum("points").alias("score"))
+    out = g.join(h.select("id"), "id", "left_semi").withColumn("level", level(F.col("score"), 5, 3)).orderBy(F.desc("score"), "id")
+    return out.limit(limit) if limit else out
+
+
+def scored_clusters(hotels: DataFrame, members: DataFrame, metres: float = 100, smallest: int = 3, least: int = 3) -> DataFrame:
+    """Per cluster of members (id, label): hotels, centre, owners, verified, common words, score and level of those that look unusual.
+
+    Several owners score 2, verified beside other hotels 3, five hotels or more within 100 m 2, and words of four letters or more that stand as often as half the hotels 2.
+    """
+    h = members.where("label >= 0").join(hotels, "id").withColumn("owner", owner(F.col("ownership_info"), F.col("additional_info")))
+    words = h.select("label", F.explode(F.split(F.lower("name"), r"\s+")).alias("word")).where(F.length("word") >= 4).groupBy("label", "word").agg(F.count("*").alias("k"))
+    g = h.groupBy("label").agg(F.count("*").alias("hotels"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.countDistinct(F.when(present("owner"), F.col("owner"))).alias("owners"), F.count_if(F.col("verification_status") == "verified").alias("verified"))
+    common = words.join(g.select("label", "hotels"), "label").where(F.col("k") >= F.col("hotels") / 2).groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
+    c = g.where(F.col("hotels") >= smallest).join(common, "label", "left").fillna("", ["words"])
+    score = F.when(F.col("owners") > 1, 2).otherwise(0) + F.when((F.col("verified") > 0) & (F.col("verified") < F.col("hotels")), 3).otherwise(0) + F.when((F.col("hotels") >= 5) & F.lit(metres <= 100), 2).otherwise(0) + F.when(F.col("words") != "", 2).otherwise(0)
+    return c.withColumn("score", score).where(F.col("score") >= least).withColumn("level", level(F.col("score"), 6, 3))
 
 
 def cells(df: DataFrame, km: float, lat: str = "latitude", lon: str = "longitude", around: bool = False) -> DataFrame:
-    """df with the grid cell (cx, cy) of each point; with around, a row for each of the nine cells about it. Points within km lie in neighbouring cells up to 60 degrees of latitude."""
-    d = km / 111.0
-    own = df.withColumns({"cx": F.floor(F.col(lat) / d).cast("long"), "cy": F.floor(F.col(lon) / (2 * d)).cast("long")})
+    """df with the cell (cx, cy, cz) of each point in a grid over space, in which the globe's points lie; with around, a row for each of the 27 cells about it.
+
+    Points at most km apart on the globe are no farther apart through it, so they lie in neighbouring cells at every latitude and on both sides of 180 degrees.
+    """
+    d, r = km * (1 + 1e-9) + 1e-12, EARTH_KM
+    a, o = F.radians(lat), F.radians(lon)
+    own = df.withColumns({"cx": F.floor(r * F.cos(a) * F.cos(o) / d).cast("long"), "cy": F.floor(r * F.cos(a) * F.sin(o) / d).cast("long"), "cz": F.floor(r * F.sin(a) / d).cast("long")})
     if not around:
         return own
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return own.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
+    near = F.expr("transform(sequence(0, 26), i -> named_struct('x', i div 9 - 1, 'y', (i div 3) % 3 - 1, 'z', i % 3 - 1))")
+    return own.withColumn("_near", F.explode(near)).withColumns({c: F.col(c) + F.col(f"_near.{c[1]}") for c in ("cx", "cy", "cz")}).drop("_near")
 
 
 def pairs_within(points: DataFrame, km: float, keep: list[str] = ()) -> DataFrame:
     """(a, b, km) of points (id, latitude, longitude) with a < b at most km apart, by an equi-join on grid cells; keep: columns to carry, as a_x and b_x."""
     p = points.where(present("latitude") & present("longitude")).select("id", "latitude", "longitude", *keep)
-    named = lambda df, x: df.select("cx", "cy", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "latitude", "longitude", *keep)])
-    j = named(cells(p, km), "a").join(named(cells(p, km, around=True), "b"), ["cx", "cy"]).where("a_id < b_id")
+    named = lambda df, x: df.select("cx", "cy", "cz", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "latitude", "longitude", *keep)])
+    j = named(cells(p, km), "a").join(named(cells(p, km, around=True), "b"), ["cx", "cy", "cz"]).where("a_id < b_id")
     j = j.withColumn("km", haversine_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")))
     return j.where(F.col("km") <= km).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "km", *[f"{x}_{c}" for x in "ab" for c in keep])
 

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import owner, phone_similarity, present, similarity
+from ..operators import classify as C
+from ..operators import discovery as D
 from ..operators import resolve as R
 from ..operators import reviews as V
 from ..operators import search as S
 from ..operators import temporal as T
 from ..operators import violations as X
+from ..operators import zones as Z
+from ..sources import reports, tables
 from .views import frame, with_views
 
 AS_OF, LONG_AS_OF = "2024-02-01", "2001-08-01"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+ORACLE_BODY: dict[str, str] = {}
 
 
 def _query(name: str, views: str, sql: str | None):
@@ -24,14 +29,22 @@ def _query(name: str, views: str, sql: str | None):
         names = views.split()
         QUERIES[name] = lambda spark, sf_dir: f(*[frame(spark, sf_dir, v) for v in names])
         if sql:
-            ORACLE_SQL[name] = with_views(sql, *names)
+            ORACLE_SQL[name], ORACLE_BODY[name] = with_views(sql, *names), sql
         return f
 
     return register
 
 
 def _any(c: str, words) -> str:
-    return f"coalesce(regexp_matches(lower({c}), '{'|'.join(words)}'), false)"
+    return f"coalesce(regexp_matches(lower({c}), '{'|'.join(w.replace('.', '[.]') for w in words)}'), false)"
+
+
+_OWNER = "CASE WHEN ownership_info LIKE '{%' THEN json_extract_string(ownership_info, '$.owner_name') WHEN additional_info LIKE '{%' THEN json_extract_string(additional_info, '$.operator') END"
+
+
+def _of(name: str) -> str:
+    """The SQL of another query as a subquery, over the views of this one."""
+    return f"({ORACLE_BODY[name]})"
 
 
 _MISSING = " + ".join(f"(CASE WHEN {c} IS NULL OR CAST({c} AS VARCHAR) IN ('', '0', '0.0') THEN 1 ELSE 0 END)" for c in X.ESSENTIAL)
@@ -78,13 +91,14 @@ def _(*a):
     return X.factor_counts(_risk(*a))
 
 
-@_query("inconsistencies", "hotels hotel_listings platforms", """WITH l AS (SELECT l.hotel_id AS id, l.name, l.stars, row_number() OVER (PARTITION BY l.hotel_id, p.platform_name ORDER BY l.listing_id DESC) AS r FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id),
-s AS (SELECT id, name, stars FROM hotels UNION ALL SELECT id, name, stars FROM l WHERE r = 1),
-g AS (SELECT id, count(*) AS sources, count(DISTINCT CASE WHEN name <> '' THEN lower(name) END) AS names, max(nullif(stars, 0)) - min(nullif(stars, 0)) AS spread FROM s GROUP BY 1),
-c AS (SELECT *, (CASE WHEN names >= 3 THEN 3 WHEN names = 2 THEN 2 ELSE 0 END + CASE WHEN spread >= 2 THEN 3 WHEN spread > 1 THEN 2 ELSE 0 END)::INT AS score FROM g WHERE sources >= 2)
-SELECT id, sources, names, spread, score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM c WHERE score > 0""")
+@_query("inconsistencies", "hotels hotel_listings platforms", """WITH l AS (SELECT l.*, row_number() OVER (PARTITION BY l.hotel_id, p.platform_name ORDER BY l.listing_id DESC) AS r FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id),
+s AS (SELECT id, name, address, phone, email, website, stars FROM hotels UNION ALL SELECT hotel_id, name, address, phone, email, website, stars FROM l WHERE r = 1),
+g AS (SELECT id, count(*) AS sources, count(DISTINCT lower(nullif(name, ''))) AS names, count(DISTINCT lower(nullif(address, ''))) AS addresses, count(DISTINCT lower(nullif(phone, ''))) AS phones, count(DISTINCT lower(nullif(email, ''))) AS emails, count(DISTINCT lower(nullif(website, ''))) AS websites,
+  max(nullif(stars, 0)) - min(nullif(stars, 0)) AS spread FROM s GROUP BY 1),
+c AS (SELECT *, (CASE WHEN names >= 3 THEN 3 WHEN names = 2 THEN 2 ELSE 0 END + CASE WHEN addresses >= 2 THEN 3 ELSE 0 END + CASE WHEN phones >= 2 THEN 2 ELSE 0 END + CASE WHEN emails >= 2 THEN 2 ELSE 0 END + CASE WHEN websites >= 2 THEN 2 ELSE 0 END + CASE WHEN spread >= 2 THEN 3 WHEN spread > 1 THEN 2 ELSE 0 END)::INT AS score FROM g WHERE sources >= 2)
+SELECT id, sources, names, addresses, phones, emails, websites, spread, score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM c WHERE score > 0""")
 def _(h, li, p):
-    return X.inconsistencies(h, li, p)
+    return X.inconsistencies(h, li, p).drop("values")
 
 
 @_query("dual_activity", _RISK_VIEWS, f"""WITH k AS (SELECT l.hotel_id AS id, bool_or(platform_name IN ('booking.com', 'expedia', 'hotels.com', 'tripadvisor') OR platform_type LIKE '%hotel%') AS h, bool_or(platform_name IN ('airbnb', 'vrbo', 'booking_apartments') OR regexp_matches(platform_type, 'rental|apartment')) AS r FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id GROUP BY 1),
@@ -117,7 +131,6 @@ def _(*a):
     return X.residential_turnover(*a)
 
 
-_OWNER = "CASE WHEN ownership_info LIKE '{%' THEN json_extract_string(ownership_info, '$.owner_name') WHEN additional_info LIKE '{%' THEN json_extract_string(additional_info, '$.operator') END"
 _OK = "(coalesce(regexp_matches(lower(legal_status), '(^|[^a-z])(registered|licensed)'), false) OR verification_status = 'verified' OR coalesce(additional_info LIKE '%license_no%', false))"
 
 
@@ -140,11 +153,21 @@ def _(h):
 
 @_query("evasion_switching", "hotel_listings platforms", f"""WITH j AS (SELECT hotel_id AS id, platform_name AS p, first_seen_date >= TIMESTAMP '{LONG_AS_OF} 00:00:00' - INTERVAL 180 DAY AS r FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id),
 g AS (SELECT id, list_distinct(list(p) FILTER (NOT r)) AS b, list_distinct(list(p) FILTER (r)) AS a, count(*) FILTER (r) AS n FROM j GROUP BY 1)
-SELECT id, len(list_intersect(a, b))::INT AS "both", n AS n_recent, 0.6 + 0.1 * least(len(list_intersect(a, b)), 3) AS confidence FROM g WHERE len(a) > 0 AND len(b) > 0""")
+SELECT id, coalesce(len(list_intersect(a, b)), 0)::INT AS "both", n AS n_recent, 0.6 + 0.1 * least(coalesce(len(list_intersect(a, b)), 0), 3) AS confidence FROM g WHERE coalesce(len(list_intersect(a, b)), 0) > 0 OR n >= 3""")
 def _(li, p):
     return X.platform_switching(li, p, LONG_AS_OF)
 
 
+_EVASION = "hotels hotel_listings platforms"
+_EVASION_SQL = " UNION ALL ".join(f"SELECT id, '{name}' AS pattern, confidence, {3 if severity == 'high' else 2} AS points FROM {_of(q)}" for (name, severity), q in zip(X.EVASION.items(), ("evasion_name_license", "evasion_turnover", "evasion_chain", "evasion_split", "evasion_switching")))
+
+
+@_query("evasion_patterns", _EVASION, f"""WITH e AS ({_EVASION_SQL}), g AS (SELECT id, array_to_string(list_sort(list(DISTINCT pattern)), ',') AS patterns, max(confidence) AS confidence, sum(points)::BIGINT AS score FROM e WHERE confidence >= 0.7 GROUP BY 1)
+SELECT id, patterns, round(confidence, 6) AS confidence, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM g""")
+def _(h, li, p):
+    return X.evasion_patterns(h, li, p, LONG_AS_OF, inactive=True, limit=None).withColumn("confidence", F.round("confidence", 6))
+
+
 @_query("advanced_search", "hotels hotel_listings platforms", "SELECT id FROM hotels WHERE lower(name) LIKE '%hotel%' AND operation_status = 'active' AND last_updated >= TIMESTAMP '2023-12-01 00:00:00' AND stars >= 3 AND (phone <> '' OR email <> '') AND id IN (SELECT hotel_id FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id WHERE is_official)")
 def _(h, li, p):
     return S.advanced_search(h, {"name": "Hotel", "city": "all", "operation_status": "active", "date_from": "2023-12-01", "min_stars": "3", "has_contact": "yes", "official": "yes"}, li, p).select("id")
@@ -171,8 +194,8 @@ def _(h):
 
 
 @_query("similar", "hotels", f"""WITH a AS (SELECT * FROM hotels WHERE id = 6), t AS (SELECT h.id, {_SIM('h.name', 'a.name')} AS n, CASE WHEN h.address <> '' AND a.address <> '' THEN {_SIM('h.address', 'a.address')} END AS d, CASE WHEN h.latitude <> 0 AND a.latitude <> 0 THEN greatest(0, 1 - {_KM('h', 'a')} / 2) END AS g,
-CASE WHEN h.stars <> 0 AND a.stars <> 0 THEN 1 - abs(h.stars - a.stars) / 5 END AS s, CASE WHEN h.price_range = a.price_range THEN 1.0 ELSE 0.5 END AS p FROM hotels h, a WHERE h.id <> 6),
-u AS (SELECT id, (3 * n + coalesce(2 * d, 0) + coalesce(2 * g, 0) + coalesce(s, 0) + p) / (2 + (d IS NOT NULL)::INT + (g IS NOT NULL)::INT + (s IS NOT NULL)::INT) AS score FROM t) SELECT id, round(score, 6) AS score FROM u WHERE score >= 0.7""")
+CASE WHEN h.stars <> 0 AND a.stars <> 0 THEN 1 - abs(h.stars - a.stars) / 5 END AS s, CASE WHEN h.price_range = a.price_range THEN 1.0 ELSE 0.5 END AS p, CASE WHEN h.facilities <> '' AND a.facilities <> '' THEN {_SIM('h.facilities', 'a.facilities')} END AS f FROM hotels h, a WHERE h.id <> 6),
+u AS (SELECT id, (3 * n + coalesce(2 * d, 0) + coalesce(2 * g, 0) + coalesce(s, 0) + coalesce(f, 0) + p) / (2 + (d IS NOT NULL)::INT + (g IS NOT NULL)::INT + (s IS NOT NULL)::INT + (f IS NOT NULL)::INT) AS score FROM t) SELECT id, round(score, 6) AS score FROM u WHERE score >= 0.7""")
 def _(h):
     return S.similar(h, 6).select("id", F.round("score", 6).alias("score"))
 
@@ -208,6 +231,11 @@ def _(e):
     return T.temporal_patterns(e)
 
 
+@_query("official_to_private", "hotel_history", "WITH l AS (SELECT hotel_id, lag(lower(new_value)) OVER (PARTITION BY hotel_id ORDER BY event_date, history_id) AS was, lower(new_value) AS now FROM hotel_history WHERE event_type LIKE '%platform%' OR event_type LIKE '%listing%') SELECT hotel_id, count(*) AS n FROM l WHERE regexp_matches(was, 'booking[.]com|expedia|tripadvisor') AND regexp_matches(now, 'airbnb|private|rental') GROUP BY 1")
+def _(e):
+    return T.temporal_patterns(e).where("pattern = 'official_to_private'").select("hotel_id", "n")
+
+
 @_query("historical_search", "hotel_history_long", "SELECT hotel_id, count(*) AS events FROM hotel_history_long GROUP BY 1 HAVING bool_or(event_type LIKE '%license%') AND bool_or(CAST(event_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-12-31') AND bool_or(source LIKE '%registry%')")
 def _(e):
     return T.historical_search(e, "license", "2000-01-01", "2000-12-31", "registry")
@@ -228,14 +256,75 @@ def _(e):
     return T.same_day_events(e)
 
 
-@_query("close_events", "hotel_history_long", "WITH e AS (SELECT hotel_id, event_type, CAST(event_date AS DATE) AS d FROM hotel_history_long) SELECT a.event_type, a.hotel_id AS a, b.hotel_id AS b, count(*) AS n FROM e a JOIN e b ON a.event_type = b.event_type AND a.hotel_id <> b.hotel_id AND abs(date_diff('day', a.d, b.d)) <= 30 GROUP BY 1, 2, 3")
+_PLACE = (24.0105, 46.0135, 1000)
+_NEAR_SQL = f"""WITH q AS (SELECT 24.0105::DOUBLE AS latitude, 46.0135::DOUBLE AS longitude), x AS (SELECT h.id FROM hotels h, q WHERE h.latitude <> 0 AND {_KM('q', 'h')} * 1000 <= 1000),
+e AS (SELECT hotel_id, event_type, CAST(event_date AS DATE) AS d, new_value AS v FROM hotel_history_long WHERE hotel_id IN (SELECT id FROM x) AND CAST(event_date AS DATE) BETWEEN DATE '{LONG_AS_OF}' - INTERVAL 1825 DAY AND DATE '{LONG_AS_OF}')"""
+
+
+@_query("close_events", "hotels hotel_history_long", _NEAR_SQL + " SELECT a.event_type, a.hotel_id AS a, b.hotel_id AS b, count(*) AS n FROM e a JOIN e b ON a.event_type = b.event_type AND a.hotel_id < b.hotel_id AND abs(date_diff('day', a.d, b.d)) <= 30 GROUP BY 1, 2, 3")
+def _(h, e):
+    return T.close_events(T.near_place(h, e, *_PLACE, LONG_AS_OF))
+
+
+_CLOSED_SQL = _NEAR_SQL + ", s AS (SELECT * FROM e WHERE event_type LIKE '%status%') SELECT a.hotel_id AS closed, b.hotel_id AS opened, count(*) AS n FROM s a JOIN s b ON a.v LIKE '%closed%' AND b.v LIKE '%open%' AND a.hotel_id <> b.hotel_id AND b.d > a.d AND date_diff('day', a.d, b.d) <= 180 GROUP BY 1, 2"
+
+
+@_query("closure_opening", "hotels hotel_history_long", _CLOSED_SQL)
+def _(h, e):
+    return T.closure_opening(T.near_place(h, e, *_PLACE, LONG_AS_OF))
+
+
+@_query("place_summary", "hotels hotel_history_long", _NEAR_SQL + f", c AS ({_CLOSED_SQL}) SELECT (SELECT count(*) FROM x) AS hotels, count(DISTINCT hotel_id) AS with_history, count(*) AS events, (SELECT coalesce(sum(n), 0) FROM c)::BIGINT AS closure_openings, count(DISTINCT hotel_id) > 1 AS several_changed FROM e")
+def _(h, e):
+    return T.place_summary(h, e, *_PLACE, LONG_AS_OF)
+
+
+_PAIR = "WITH p AS (SELECT * FROM hotel_history_long WHERE hotel_id IN (6, 11))"
+
+
+@_query("compare_timeline", "hotel_history_long", _PAIR + " SELECT history_id, hotel_id, event_type, strftime(event_date, '%Y-%m-%d') AS day FROM p")
+def _(e):
+    return T.compared(e, 6, 11).select("history_id", "hotel_id", "event_type", F.to_date("event_date").cast("string").alias("day"))
+
+
+@_query("compare_likeness", "hotels", f"""WITH a AS (SELECT *, {_OWNER} AS owner FROM hotels WHERE id = 10), b AS (SELECT *, {_OWNER} AS owner FROM hotels WHERE id = 510),
+t AS (SELECT 'address' AS type, {_SIM('a.address', 'b.address')} AS score, a.address AS value1, b.address AS value2 FROM a, b UNION ALL SELECT 'phone', (regexp_replace(a.phone, '[^0-9]', '', 'g') = regexp_replace(b.phone, '[^0-9]', '', 'g'))::INT, a.phone, b.phone FROM a, b
+  UNION ALL SELECT 'email', (lower(a.email) = lower(b.email))::INT, a.email, b.email FROM a, b UNION ALL SELECT 'owner', {_SIM('a.owner', 'b.owner')}, a.owner, b.owner FROM a, b)
+SELECT type, score::DOUBLE AS score, value1, value2 FROM t WHERE value1 <> '' AND value2 <> '' AND score > 0.7""")
+def _(h):
+    return T.likenesses(h, 10, 510)
+
+
+@_query("compare_events", "hotel_history_long", _PAIR + ", e AS (SELECT hotel_id, event_type, CAST(event_date AS DATE) AS d FROM p) SELECT a.event_type, a.hotel_id AS a, b.hotel_id AS b, count(*) AS n FROM e a JOIN e b ON a.event_type = b.event_type AND a.hotel_id < b.hotel_id AND abs(date_diff('day', a.d, b.d)) <= 365 GROUP BY 1, 2, 3")
+def _(e):
+    return T.close_events(T.compared(e, 6, 11), 365)
+
+
+@_query("history_analysis", "hotel_history_long", f"""WITH n AS (SELECT hotel_id, sum(n)::BIGINT AS events, {', '.join(f"coalesce(sum(n) FILTER (class = '{c}'), 0)::BIGINT AS {c}" for c in ('name', 'owner', 'status', 'platform', 'location', 'other'))} FROM {_of('history_classified')} GROUP BY 1),
+s AS (SELECT hotel_id, sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END * n)::BIGINT AS score FROM {_of('temporal_patterns')} GROUP BY 1), c AS (SELECT n.*, coalesce(score, 0) AS score FROM n LEFT JOIN s USING (hotel_id))
+SELECT *, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM c""")
+def _(e):
+    return T.history_analysis(e)
+
+
+@_query("timeline", "hotel_history_long", "WITH t AS (SELECT history_id, hotel_id, row_number() OVER (PARTITION BY hotel_id ORDER BY event_date, history_id) - 1 AS i FROM hotel_history_long) SELECT history_id, hotel_id, i::INT AS place, CASE WHEN i % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM t")
 def _(e):
-    return T.close_events(e)
+    return T.timeline(e).select("history_id", "hotel_id", "place", "side")
 
 
-@_query("closure_opening", "hotel_history_long", "WITH e AS (SELECT hotel_id, CAST(event_date AS DATE) AS d, new_value AS v FROM hotel_history_long WHERE event_type LIKE '%status%') SELECT a.hotel_id AS closed, b.hotel_id AS opened, count(*) AS n FROM e a JOIN e b ON a.v LIKE '%closed%' AND b.v LIKE '%open%' AND a.hotel_id <> b.hotel_id AND b.d > a.d AND date_diff('day', a.d, b.d) <= 180 GROUP BY 1, 2")
+@_query("change_examples", "hotel_history_long", "WITH t AS (SELECT *, CASE WHEN event_type LIKE '%name%' THEN 'name' WHEN event_type LIKE '%owner%' THEN 'owner' WHEN event_type LIKE '%status%' THEN 'status' WHEN event_type LIKE '%license%' THEN 'license' WHEN event_type LIKE '%platform%' THEN 'platform' END AS type FROM hotel_history_long), r AS (SELECT type, row_number() OVER (PARTITION BY type ORDER BY event_date DESC, history_id DESC) AS rank, hotel_id, history_id FROM t WHERE type IS NOT NULL) SELECT type, rank::INT AS rank, hotel_id, history_id FROM r WHERE rank <= 5")
 def _(e):
-    return T.closure_opening(e)
+    return T.change_examples(e)
+
+
+@_query("findings_json", "hotel_history_long hotel_listings platforms", None)
+def _(e, li, p):
+    return T.findings_json(e, T.platform_transitions(li, p), LONG_AS_OF)
+
+
+@_query("archive_captures", "archive_index", "WITH g AS (SELECT *, lag(digest) OVER (PARTITION BY url ORDER BY timestamp) AS was FROM archive_index WHERE statuscode = '200') SELECT url, timestamp, digest, 'web/' || timestamp || '/' || original AS archive_path FROM g WHERE digest IS DISTINCT FROM was")
+def _(i):
+    return T.captures(i).drop("date")
 
 
 @_query("permits", "hotel_history_long", """WITH h AS (SELECT *, event_type LIKE '%classification%' AS c, TRY_CAST(regexp_extract(old_value, '([0-9])', 1) AS INT) AS so, TRY_CAST(regexp_extract(new_value, '([0-9])', 1) AS INT) AS sn FROM hotel_history_long WHERE regexp_matches(lower(event_type || ' ' || notes), 'permit|license|classification|approval|certificate')),
@@ -301,47 +390,105 @@ def _(h):
     return R.dbscan(h, 0.1, 6).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@_query("osm_classify", "osm_elements", """SELECT osm_id, CASE WHEN tourism IN ('hotel', 'guest_house') THEN tourism WHEN building = 'hotel' THEN 'hotel_building' WHEN tourism = 'apartment' THEN 'tourist_apartment' WHEN building = 'apartments' THEN 'residential_building' ELSE 'other' END AS kind,
-CASE WHEN tourism IN ('hotel', 'guest_house') THEN 0.9 WHEN building = 'hotel' THEN 0.8 WHEN tourism = 'apartment' THEN 0.7 WHEN building = 'apartments' THEN 0.6 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN landuse = 'commercial' THEN 'commercial' WHEN shop IS NOT NULL THEN 'shopping' END AS zone, (CASE WHEN landuse = 'commercial' THEN 300 WHEN shop = 'mall' THEN 200 END)::INT AS radius FROM osm_elements""")
+_KIND = "CASE WHEN tourism IN ('hotel', 'apartment', 'guest_house', 'hostel') THEN tourism WHEN tourism IS NULL AND building = 'hotel' THEN 'hotel' WHEN tourism IS NULL AND building = 'apartments' THEN 'apartment_building' WHEN tourism IS NULL AND building IS NULL AND amenity = 'hotel' THEN 'hotel' ELSE 'unknown' END"
+_SURE = "CASE WHEN tourism = 'hotel' THEN 0.9 WHEN tourism = 'apartment' THEN 0.8 WHEN tourism IN ('guest_house', 'hostel') THEN 0.7 WHEN tourism IS NULL AND building = 'hotel' THEN 0.9 WHEN tourism IS NULL AND building = 'apartments' THEN 0.6 WHEN tourism IS NULL AND building IS NULL AND amenity = 'hotel' THEN 0.9 ELSE 0.5 END::DOUBLE"
+
+
+@_query("osm_classify", "osm_elements", f"""SELECT osm_id, {_KIND} AS kind, {_SURE} AS confidence, CASE WHEN landuse = 'commercial' THEN 'commercial_area' WHEN shop IS NOT NULL THEN 'shopping_area' WHEN amenity = 'marketplace' THEN 'marketplace' ELSE 'unknown' END AS zone,
+(CASE WHEN landuse = 'commercial' THEN 300 WHEN shop IN ('mall', 'supermarket', 'department_store') THEN 200 WHEN shop IS NOT NULL THEN 100 WHEN amenity = 'marketplace' THEN 200 ELSE 100 END)::INT AS radius, CASE WHEN house_number IS NOT NULL OR street IS NOT NULL THEN concat_ws(', ', house_number, street, place) ELSE '' END AS address FROM osm_elements""")
 def _(o):
-    return V.osm_classified(o).drop("lat", "lon")
+    return Z.osm_classified(o)
 
 
 @_query("zone_merge", "osm_elements", None)
 def _(o):
-    z = o.where("landuse = 'commercial'").select(F.col("osm_id").alias("id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
-    return R.components(z.select("id"), X.pairs_within(z, 0.2).select("a", "b")).join(z, "id").groupBy("root").agg(F.count("*").alias("n"), F.round(F.avg("latitude"), 6).alias("latitude"), F.round(F.avg("longitude"), 6).alias("longitude"))
+    return Z.commercial_zones(o)
+
+
+@_query("commercial_areas", "osm_elements", None)
+def _(o):
+    return Z.commercial_areas(o)
+
+
+_SIGHTS = "SELECT osm_id, coalesce(name, 'Unnamed') AS name, CASE WHEN tourism = 'attraction' THEN 'tourist_attraction' WHEN historic IS NOT NULL THEN 'historic_site' WHEN leisure = 'park' THEN 'park' END AS type, round(least(1.0, 0.5 + 0.3 * (coalesce(wikipedia, wikidata) IS NOT NULL)::INT + 0.1 * (description IS NOT NULL)::INT + 0.1 * (website IS NOT NULL)::INT), 6)::DOUBLE AS importance, latitude, longitude FROM osm_elements WHERE tourism = 'attraction' OR historic IS NOT NULL OR leisure = 'park'"
+
+
+@_query("attractions", "osm_elements", _SIGHTS)
+def _(o):
+    return Z.attractions(o).withColumn("importance", F.round("importance", 6))
+
+
+_LODGING_NEAR = f"WITH s AS ({_SIGHTS}), b AS (SELECT osm_id AS id, latitude, longitude, {_KIND} AS type, {_SURE} AS confidence FROM osm_elements WHERE {_KIND} <> 'unknown'), n AS (SELECT s.osm_id AS attraction, b.id, round({_KM('s', 'b')} * 1000, 1) AS metres, b.type, confidence FROM s JOIN b ON abs(s.latitude - b.latitude) < 0.01 AND {_KM('s', 'b')} <= 0.5)"
+
+
+@_query("lodging_near", "osm_elements", _LODGING_NEAR + " SELECT * FROM n")
+def _(o):
+    return Z.lodging_near(o, Z.attractions(o))
 
 
-@_query("review_language", "place_reviews", "SELECT review_id, 'en' AS language FROM place_reviews")
+@_query("tourist_areas", "osm_elements", _LODGING_NEAR + ", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, attraction) AS r FROM n) SELECT id, attraction, metres, type, confidence FROM r WHERE r = 1")
+def _(o):
+    return Z.tourist_areas(o)
+
+
+_LETTERS = lambda c, chars: f"length(regexp_replace({c}, '[^{chars}]', '', 'g'))"
+_ARABIC, _LATIN = _LETTERS("review", r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}"), _LETTERS("review", "a-zA-Z")
+
+
+@_query("review_language", "stay_reviews", f"SELECT review_id, CASE WHEN {_ARABIC} > {_LATIN} THEN 'ar' ELSE 'en' END AS language FROM stay_reviews")
 def _(r):
     return r.select("review_id", V.language(F.col("review")).alias("language"))
 
 
-_WORDS = ", ".join(f"('{c}', '{w}')" for c, ws in V.INDICATORS.items() for w in ws)
-_HITS = f"WITH w AS (SELECT place_id, unnest(regexp_extract_all(lower(review), '[a-z0-9]+(?:-[a-z0-9]+)*')) AS word FROM place_reviews), i(category, word) AS (VALUES {_WORDS}), n AS (SELECT place_id, category, word, count(*) AS n FROM w JOIN i USING (word) GROUP BY 1, 2, 3) "
+_WORDS = ", ".join(f"('{k}', '{c}', '{w}')" for k, lists in V.KEYWORDS.items() for c, ws in lists.items() for w in ws)
 
 
-@_query("review_indicators", "place_reviews", _HITS + "SELECT * FROM n")
+def _hits(view: str) -> str:
+    return rf"""WITH g AS (SELECT place_id, CASE WHEN sum({_ARABIC}) > sum({_LATIN}) THEN 'ar' ELSE 'en' END AS language, count(*) AS reviews, sum(CASE WHEN trim(review) = '' THEN 0 ELSE len(regexp_split_to_array(trim(review), '\s+')) END)::BIGINT AS words FROM {view} GROUP BY 1),
+w AS (SELECT place_id, unnest(regexp_extract_all(lower(review), '{V.WORD}')) AS word FROM {view}), i(language, category, word) AS (VALUES {_WORDS}), n AS (SELECT place_id, category, word, count(*) AS n FROM w JOIN g USING (place_id) JOIN i USING (language, word) GROUP BY 1, 2, 3),
+s AS (SELECT place_id, sum(n)::BIGINT AS k FROM n GROUP BY 1), t AS (SELECT place_id, reviews, words, coalesce(k, 0) AS indicators, least(1.0, coalesce(k, 0) / greatest(10.0, words / 5)) AS confidence FROM g LEFT JOIN s USING (place_id) WHERE reviews >= 3) """
+
+
+@_query("review_indicators", "place_reviews", _hits("place_reviews") + "SELECT * FROM n")
 def _(r):
     return V.indicators(r)
 
 
-@_query("place_confidence", "place_reviews", _HITS + r", r AS (SELECT place_id, count(*) AS reviews, sum(len(regexp_split_to_array(trim(review), '\s+')))::BIGINT AS words FROM place_reviews GROUP BY 1 HAVING count(*) >= 3), s AS (SELECT place_id, sum(n)::BIGINT AS k FROM n GROUP BY 1), t AS (SELECT place_id, reviews, words, coalesce(k, 0) AS indicators, least(1.0, coalesce(k, 0) / greatest(10.0, words / 5)) AS confidence FROM r LEFT JOIN s USING (place_id)) SELECT *, confidence >= 0.4 AS likely FROM t")
+@_query("stay_indicators", "stay_reviews", _hits("stay_reviews") + "SELECT * FROM n")
+def _(r):
+    return V.indicators(r)
+
+
+@_query("place_confidence", "place_reviews", _hits("place_reviews") + "SELECT *, confidence >= 0.4 AS likely FROM t")
 def _(r):
     return V.place_confidence(r)
 
 
-@_query("hidden_hotels", "hotels", "SELECT id FROM hotels WHERE NOT regexp_matches(lower(name), 'hotel|motel|hostel|inn|resort|lodge|guest|apartment|suite|accommodation|residence|villa')")
-def _(h):
-    return V.hidden_hotels(h, "name", "area_type").select("id")
+@_query("hidden_hotels", "places stay_reviews", _hits("stay_reviews") + f"SELECT place_id, name, confidence, t.reviews FROM places JOIN t USING (place_id) WHERE confidence >= 0.4 AND NOT {_any('name', V.LODGING)} AND NOT {_any('category', V.LODGING)}")
+def _(p, r):
+    return V.hidden_hotels(p, r).select("place_id", "name", "confidence", "reviews")
+
+
+@_query("potential_hotels", "places", f"SELECT place_id FROM places WHERE {_any('category', V.CATEGORIES)} OR {_any('name', V.NAME_WORDS)}")
+def _(p):
+    return p.where(V.potential_hotel(F.col("name"), F.col("category"))).select("place_id")
+
 
+_COUNT = lambda c, ps: " + ".join(f"(length(lower({c})) - length(replace(lower({c}), '{p}', ''))) / {len(p)}" for p in ps)
 
-@_query("indicator_score", "place_reviews", None)
+
+@_query("indicator_score", "stay_reviews", rf"WITH n AS (SELECT review_id, {_COUNT('review', V.PHRASES)} AS a, {_COUNT('review', V.OTHER_PHRASES)} AS b, CASE WHEN trim(review) = '' THEN 0 ELSE len(regexp_split_to_array(trim(review), '\s+')) END AS w FROM stay_reviews) SELECT review_id, round(least(1.0, greatest(0.0, 100.0 * (a - b) / greatest(w, 1) / 10)), 6)::DOUBLE AS score FROM n")
 def _(r):
     return r.select("review_id", F.round(V.indicator_score(F.col("review")), 6).alias("score"))
 
 
+@_query("indicator_ranking", "stay_reviews", rf"""WITH p(i, phrase) AS (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(V.PHRASES))}), n AS (SELECT place_id, i, phrase, sum((length(lower(review)) - length(replace(lower(review), phrase, ''))) / length(phrase))::BIGINT AS occurrences FROM stay_reviews, p GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY occurrences DESC, i) AS rank, sum(occurrences) OVER (PARTITION BY place_id) AS total FROM n WHERE occurrences > 0), w AS (SELECT place_id, sum(CASE WHEN trim(review) = '' THEN 0 ELSE len(regexp_split_to_array(trim(review), '\s+')) END) AS words FROM stay_reviews GROUP BY 1)
+SELECT place_id, rank::INT AS rank, phrase, occurrences, least(1.0, total / greatest(1.0, words / 10))::DOUBLE AS score FROM r JOIN w USING (place_id) WHERE rank <= 10""")
+def _(r):
+    return V.indicator_ranking(r)
+
+
 @_query("format_summary", "hotels", "SELECT id, name, coalesce(city, 'N/A') AS city, country, coalesce(stars::VARCHAR, 'N/A') AS stars FROM hotels")
 def _(h):
     return S.formatted(h)
@@ -359,5 +506,148 @@ def _(h):
     return j.where(phone_similarity(F.col("a.phone"), F.col("b.phone")) == 1).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+@_query("incremental", "hotels", f"""WITH f AS (SELECT * FROM hotels WHERE data_source = 'Imported Data'), x AS (SELECT * FROM hotels WHERE data_source <> 'Imported Data')
+SELECT id FROM f WHERE name IS NULL OR coalesce(latitude, 0) = 0 OR coalesce(longitude, 0) = 0 OR NOT (lower(name) IN (SELECT lower(name) FROM x) OR EXISTS (SELECT 1 FROM x WHERE abs(x.latitude - f.latitude) < 0.001 AND {_KM('x', 'f')} < 0.05))""")
+def _(h):
+    imported = F.col("data_source") == "Imported Data"
+    return D.incremental(h.where(imported), h.where(~imported)).select("id")
+
+
+@_query("scraped_places", "scraped", None)
+def _(r):
+    return D.places(r).select("id")
+
+
+@_query("scraped_listings", "scraped", None)
+def _(r):
+    return D.listings(r).select("id", F.size(F.coalesce("other_platforms", F.array())).alias("n_other"))
+
+
+@_query("map_elements", "scraped", "WITH k AS (SELECT id, CASE WHEN place_id <> '' THEN 'i' || place_id WHEN latitude <> 0 AND longitude <> 0 THEN 'c' || round(latitude, 6)::VARCHAR || ',' || round(longitude, 6)::VARCHAR ELSE 'r' || id::VARCHAR END AS k FROM scraped) SELECT min(id) AS id FROM k GROUP BY k")
+def _(r):
+    return D.map_elements(r.withColumnRenamed("place_id", "osm_id")).select("id")
+
+
+@_query("search_points", "hotels", f"WITH v(latitude, longitude) AS (VALUES (24.01::DOUBLE, 46.01::DOUBLE), (24.05, 46.06)) SELECT DISTINCT latitude, longitude FROM hotels h WHERE latitude <> 0 AND longitude <> 0 AND NOT EXISTS (SELECT 1 FROM v WHERE {_KM('v', 'h')} < 1.0)")
+def _(h):
+    return D.search_points(h, h.sparkSession.createDataFrame([(24.01, 46.01), (24.05, 46.06)], "latitude double, longitude double"))
+
+
+@_query("discovery_by_location", "hotels", None)
+def _(h):
+    google = F.col("data_source") == "Google Places"
+    return D.by_location({"google": h.where(google), "other": h.where(~google)}, 24.03, 46.03, 2000).select("id", "data_source", "metres")
+
+
+@_query("discovery_by_name", "hotels", None)
+def _(h):
+    return D.by_name({"registry": h}, "Residence", 24.03, 46.03).select("id")
+
+
+@_query("smart_discovery", "hotels", None)
+def _(h):
+    return D.smart_discovery(h, 24.0105, 46.0135, most_points=4).select("id")
+
+
+@_query("city_scan", "hotels", None)
+def _(h):
+    return D.city_scan(h, 24.03, 46.04, 5000).select("id")
+
+
+@_query("rental_listings", "hotels", f"WITH q AS (SELECT * FROM hotels WHERE id = 6) SELECT h.id, round({_KM('q', 'h')} * 1000, 1) AS distance, {_SIM('h.name', 'q.name')} AS name_similarity FROM hotels h, q WHERE h.latitude <> 0 AND h.longitude <> 0 AND round({_KM('q', 'h')} * 1000, 1) <= 100")
+def _(h):
+    return D.rental_listings(h.where("id = 6"), h).select("id", "distance", "name_similarity")
+
+
+@_query("enriched", "hotels hotel_listings", "WITH l AS (SELECT hotel_id AS id, max(name) AS name, max(stars) AS stars, max(price) AS price FROM hotel_listings GROUP BY 1) SELECT h.id, coalesce(nullif(h.name, ''), l.name) AS name, coalesce(nullif(h.stars, 0), l.stars) AS stars, l.price, CASE WHEN l.id IS NULL THEN '' ELSE 'listings' END AS sources_checked FROM hotels h LEFT JOIN l USING (id)")
+def _(h, li):
+    own = li.groupBy(F.col("hotel_id").alias("id")).agg(F.max("name").alias("name"), F.max("stars").alias("stars"), F.max("price").alias("price"))
+    return D.filled(h.select("id", "name", "stars"), {"listings": own})
+
+
+@_query("neighbours", "relationships", "SELECT DISTINCT CASE WHEN hotel_id_a = 10 THEN hotel_id_b ELSE hotel_id_a END AS other FROM relationships WHERE hotel_id_a = 10 OR hotel_id_b = 10")
+def _(r):
+    return D.neighbours(r, 10)
+
+
+@_query("alias_import", "scraped", "SELECT name, latitude, longitude, url AS website, price::VARCHAR IS NOT NULL AS priced, coalesce('Imported Data') AS data_source FROM scraped")
+def _(r):
+    out = tables.normalised(r.withColumnsRenamed({"latitude": "lat", "longitude": "LNG"}), LONG_AS_OF)
+    return out.select("name", "latitude", "longitude", "website", F.col("price_range").isNotNull().alias("priced"), "data_source")
+
+
+@_query("naming_terms", "hotels", f"WITH w AS (SELECT unnest(regexp_extract_all(lower(name), '[a-z0-9_]+')) AS term FROM hotels) SELECT term, count(*) AS n FROM w WHERE term IN ({', '.join(repr(t) for t in R.HOTEL_TERMS)}) GROUP BY 1")
+def _(h):
+    return R.naming_terms(h)
+
+
+@_query("group_details", "hotels", None)
+def _(h):
+    own = owner(F.col("ownership_info"), F.col("additional_info"))
+    groups = h.select("id", F.lower(F.trim(own)).alias("owner")).where("owner IS NOT NULL").withColumn("root", F.xxhash64("owner")).select("id", "root")
+    return R.group_details(h, groups, own)
+
+
+@_query("cluster_risk", "hotels", None)
+def _(h):
+    return X.scored_clusters(h, R.dbscan(h, 0.1, 3)).select("label", "hotels", "owners", "verified", "words", "score", "level")
+
+
+@_query("map_points", "hotels", "SELECT id, name, latitude, longitude, CASE WHEN id % 8 = 0 AND risk_score >= 7 THEN 'red' WHEN risk_score >= 4 THEN 'orange' WHEN risk_score IS NOT NULL THEN 'green' ELSE 'blue' END AS colour, CASE WHEN stars >= 4 THEN 'star' ELSE 'home' END AS icon FROM hotels WHERE latitude <> 0 AND longitude <> 0")
+def _(h):
+    level = F.when(F.col("risk_score") >= 7, "high").when(F.col("risk_score") >= 4, "medium").when(F.col("risk_score").isNotNull(), "low")
+    return reports.map_points(h.withColumn("risk_level", level))
+
+
+@_query("recommendations", _RISK_VIEWS, f"WITH c AS (SELECT factor, n FROM {_of('risk_factor_counts')} ORDER BY n DESC, factor LIMIT 3), a(factor, advice, priority) AS (VALUES {', '.join(f'({k!r}, {v[0]!r}, {v[1]!r})' for k, v in reports.ADVICE.items())}) SELECT factor, n, advice, priority FROM c JOIN a USING (factor)")
+def _(*a):
+    return reports.recommendations(X.factor_counts(_risk(*a)))
+
+
+@_query("private_search", "hotels hotel_listings platforms", "SELECT id FROM hotels WHERE city <> '' AND id NOT IN (SELECT hotel_id FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id WHERE NOT is_official) AND website <> ''")
+def _(h, li, p):
+    return S.advanced_search(h, {"private": "no", "has_website": "yes"}, li, p).select("id")
+
+
+@_query("raw_sql", "hotel_history_long", "SELECT DISTINCT hotel_id FROM hotel_history_long WHERE event_date >= TIMESTAMP '2001-01-01 00:00:00'")
+def _(e):
+    return S.by_sql(e.sparkSession, "SELECT DISTINCT hotel_id FROM {history} WHERE event_date >= CAST(:since AS TIMESTAMP_NTZ)", {"history": e}, since="2001-01-01")
+
+
+@_query("format_contacts", "hotels", "SELECT id, name, coalesce(phone, 'N/A') AS phone, coalesce(nullif(email, ''), 'N/A') AS email, coalesce(website, 'N/A') AS website FROM hotels")
+def _(h):
+    return S.formatted(h, "contacts")
+
+
+@_query("format_coordinates", "hotels", "SELECT id, name, latitude, longitude FROM hotels WHERE latitude <> 0 AND longitude <> 0")
+def _(h):
+    return S.formatted(h, "coordinates")
+
+
+@_query("classify_features", "training_samples", r"SELECT doc_id, rating_numeric, has_price, hotel_in_category, has_website, name_length FROM (SELECT doc_id, rating AS rating_numeric, 0.0::DOUBLE AS has_price, CASE WHEN regexp_matches(lower(category), 'hotel|accommodation|lodging|guest.house|motel|inn|rental|furnished') THEN 1.0 ELSE 0.0 END::DOUBLE AS hotel_in_category, 0.0::DOUBLE AS has_website, length(name)::DOUBLE AS name_length FROM training_samples)")
+def _(t):
+    return C.features(t).select("doc_id", *C.NUMBERS)
+
+
+@_query("rf_classifier", "training_samples", None)
+def _(t):
+    learn, held = C.split(C.features(t), "doc_id")
+    return C.metrics(C.classified(C.train(learn, trees=20), held))
+
+
+@_query("kmeans_reviews", "stay_reviews", None)
+def _(r):
+    return C.review_clusters(r)
+
+
+@_query("upsert", "hotels", "SELECT id, name, CASE WHEN id % 2 = 0 THEN city ELSE country END AS place FROM hotels")
+def _(h):
+    base = h.select("id", "name", F.col("city").alias("place"))
+    return T.upsert(base, h.where("id % 2 <> 0").select("id", "name", F.col("country").alias("place")))
+
+
 QUERIES["page_extract"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", *[c.alias(k) for k, c in V.page_fields(F.col("html")).items()])
-ORACLE_SQL["page_extract"] = r"""SELECT page_id, trim(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')) AS title, nullif(regexp_extract(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), '') AS email, nullif(regexp_extract(html, '\+[0-9][0-9 -]{7,14}[0-9]'), '') AS phone FROM pages"""
+_FIRST = lambda *ps: f"coalesce({', '.join(f"nullif(trim(regexp_extract(html, '{p}', {g})), '')" for p, g in ps)})"
+ORACLE_SQL["page_extract"] = f"""SELECT page_id, {_FIRST(('(?is)<title[^>]*>(.*?)</title>', 1))} AS title, {_FIRST(('[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 0))} AS email, {_FIRST(('[+][0-9][0-9 -]{7,14}[0-9]', 0))} AS phone,
+{_FIRST(('(?is)<address[^>]*>([^<]+)</address>', 1), (r'(?i)address:\s*([^<\n]{5,100})', 1))} AS address, {_FIRST((r'(?i)([1-5])[ -]?stars?\b', 1), (r'(?i)rating:\s*([0-9](?:[.][0-9])?)', 1), (r'([0-9](?:[.][0-9])?)\s*/\s*(?:5|10)\b', 1))} AS stars,
+{_FIRST((r'(?i)(?:facilities|amenities):\s*([^<\n]{3,200})', 1))} AS facilities, {_FIRST((r'(?i)(?:owned|operated|managed) by\s+([^<.\n]{2,80})', 1), (r'(?i)owner:\s*([^<\n]{2,80})', 1))} AS owner FROM pages"""

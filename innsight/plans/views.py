@@ -58,7 +58,8 @@ FROM @orders
     "hotel_listings": r"""
 SELECT o.o_orderkey AS listing_id, o.o_custkey AS hotel_id, o.o_orderpriority AS platform_id, o.o_orderdate AS first_seen_date, o.o_totalprice AS price,
   CASE WHEN o.o_orderstatus = 'F' THEN 'listing a' WHEN o.o_orderstatus = 'O' THEN 'listing b' ELSE NULL END AS name,
-  CAST(o.o_orderkey % 5 + 1 AS DOUBLE) AS stars
+  CASE WHEN o.o_orderkey % 3 = 0 THEN 'Listing street' ELSE NULL END AS address, CASE WHEN o.o_orderkey % 7 = 0 THEN '+966-12-' || CAST(o.o_orderkey % 4 AS VARCHAR(4)) ELSE NULL END AS phone,
+  CASE WHEN o.o_orderkey % 11 = 0 THEN 'Sales@Listing.example.com' ELSE '' END AS email, CASE WHEN o.o_orderkey % 13 = 0 THEN 'http://l.example.com' ELSE NULL END AS website, CAST(o.o_orderkey % 5 + 1 AS DOUBLE) AS stars
 FROM @orders o
 """,
     "place_reviews": r"""
@@ -69,11 +70,41 @@ FROM @documents
 """,
     "osm_elements": r"""
 SELECT p_partkey AS osm_id, CASE WHEN p_size % 3 = 0 THEN 'way' ELSE 'node' END AS osm_type,
-  CAST(24.0 AS DOUBLE) + (p_partkey % 101) * CAST(0.0006 AS DOUBLE) AS lat, CAST(46.0 AS DOUBLE) + (p_partkey % 83) * CAST(0.0008 AS DOUBLE) AS lon,
+  CAST(24.0 AS DOUBLE) + (p_partkey % 101) * CAST(0.0006 AS DOUBLE) AS latitude, CAST(46.0 AS DOUBLE) + (p_partkey % 83) * CAST(0.0008 AS DOUBLE) AS longitude,
   CASE WHEN p_size % 7 = 0 THEN 'hotel' WHEN p_size % 7 = 1 THEN 'apartment' WHEN p_size % 7 = 2 THEN 'guest_house' WHEN p_size % 7 = 3 THEN 'attraction' ELSE NULL END AS tourism,
   CASE WHEN p_size % 7 = 4 THEN 'apartments' WHEN p_size % 7 = 5 THEN 'hotel' ELSE NULL END AS building,
-  CASE WHEN p_size % 7 = 6 THEN 'mall' ELSE NULL END AS shop, CASE WHEN p_size % 5 = 0 THEN 'commercial' ELSE NULL END AS landuse, p_name AS name
+  CASE WHEN p_size % 7 = 6 THEN 'mall' ELSE NULL END AS shop, CASE WHEN p_size % 5 = 0 THEN 'commercial' ELSE NULL END AS landuse, p_name AS name,
+  CASE WHEN p_size % 11 = 0 THEN 'marketplace' WHEN p_size % 11 = 1 THEN 'museum' ELSE NULL END AS amenity, CASE WHEN p_size % 13 = 0 THEN 'castle' ELSE NULL END AS historic,
+  CASE WHEN p_size % 17 = 0 THEN 'park' ELSE NULL END AS leisure, CASE WHEN p_size % 2 = 0 THEN 'en:' || p_name ELSE NULL END AS wikipedia, CASE WHEN p_size % 10 = 1 THEN 'Q' || CAST(p_partkey AS VARCHAR(12)) ELSE NULL END AS wikidata,
+  CASE WHEN p_size % 4 = 1 THEN 'http://e.example.com' ELSE NULL END AS website, CASE WHEN p_size % 6 = 0 THEN p_type ELSE NULL END AS description,
+  CASE WHEN p_size % 3 = 1 THEN CAST(p_size AS VARCHAR(4)) ELSE NULL END AS house_number, CASE WHEN p_size % 4 < 2 THEN p_brand || ' street' ELSE NULL END AS street, 'Riyadh' AS place, CAST(NULL AS VARCHAR(5)) AS postcode
 FROM @part
+""",
+    "stay_reviews": r"""
+SELECT event_id AS review_id, user_id AS place_id,
+  CASE WHEN user_id % 7 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'غرفة نظيفة و سرير مريح' WHEN event_id % 3 = 1 THEN 'استقبال جيد و مفتاح و مسبح قرب الفندق' ELSE 'طلبت الطعام من المنيو' END
+    WHEN user_id % 7 < 4 THEN CASE WHEN event_id % 4 = 0 THEN 'Lovely room and bed, reception gave the key at night' WHEN event_id % 4 = 1 THEN 'We stay a week: towel, pillow, check-in and breakfast' WHEN event_id % 4 = 2 THEN 'Clean bathroom' ELSE '' END
+    ELSE CASE WHEN event_id % 2 = 0 THEN 'Ordered food from the menu and went shopping for hours with all of the family' ELSE 'A meal of ' || event_type || ' near the hotel' END END AS review
+FROM @events
+""",
+    "places": r"""
+SELECT DISTINCT user_id AS place_id, user_id AS id, CASE WHEN user_id % 5 = 0 THEN 'Grand Hotel ' WHEN user_id % 5 = 1 THEN 'Building ' WHEN user_id % 5 = 2 THEN 'عمارة ' WHEN user_id % 5 = 3 THEN 'شقق مفروشة ' ELSE 'House ' END || CAST(user_id AS VARCHAR(12)) AS name,
+  CASE WHEN user_id % 3 = 0 THEN 'restaurant' WHEN user_id % 3 = 1 THEN NULL ELSE 'building' END AS category
+FROM @events
+""",
+    "scraped": r"""
+SELECT o.o_orderkey AS id, CASE WHEN o.o_orderkey % 4 = 3 THEN NULL ELSE 'p' || CAST(o.o_custkey AS VARCHAR(12)) END AS place_id, CASE WHEN o.o_orderkey % 4 = 1 THEN NULL ELSE 'http://l.example.com/' || CAST(o.o_custkey AS VARCHAR(12)) END AS url,
+  CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE n.n_name || ' ' || r.r_name || ' house ' END AS name, CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN 'airbnb' ELSE 'booking' END AS platform, o.o_totalprice AS price,
+  CASE WHEN o.o_orderkey % 5 = 0 THEN NULL ELSE CAST(24.0 AS DOUBLE) + (o.o_custkey % 97) * CAST(0.0007 AS DOUBLE) END AS latitude, CASE WHEN o.o_orderkey % 5 = 0 THEN NULL ELSE CAST(46.0 AS DOUBLE) + (o.o_custkey % 89) * CAST(0.0009 AS DOUBLE) END AS longitude
+FROM @orders o JOIN @customer c ON c.c_custkey = o.o_custkey JOIN @nation n ON n.n_nationkey = c.c_nationkey JOIN @region r ON r.r_regionkey = n.n_regionkey
+""",
+    "archive_index": r"""
+SELECT 'http://h' || CAST(o_custkey AS VARCHAR(12)) || '.example.com' AS url, replace(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), '-', '') || '12' || substr(CAST(100 + o_orderkey % 59 AS VARCHAR(4)), 2, 2) || substr(CAST(100 + o_orderkey % 53 AS VARCHAR(4)), 2, 2) AS timestamp, 'http://h' || CAST(o_custkey AS VARCHAR(12)) || '.example.com/' AS original,
+  CASE WHEN o_orderkey % 10 = 0 THEN '404' ELSE '200' END AS statuscode, 'D' || CAST(o_orderkey % 3 AS VARCHAR(4)) AS digest
+FROM @orders
+""",
+    "relationships": r"""
+SELECT c_custkey AS hotel_id_a, CAST(c_custkey - c_custkey % 5 AS BIGINT) AS hotel_id_b FROM @customer WHERE c_custkey % 5 <> 0
 """,
     "training_samples": r"""
 SELECT d.doc_id, substr(d.text, 1, 60) AS name, d.text AS description, d.source AS category, CAST(d.n_chars % 50 AS DOUBLE) / 10 AS rating, l.quality AS is_hotel
@@ -92,13 +123,16 @@ FROM @orders
 }
 
 
+_TABLE = re.compile(r"@(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\b")
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", VIEWS[name])
+    sql = _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", VIEWS[name])
     return spark.sql(re.sub(r"TIMESTAMP '[^']+'", lambda m: f"CAST({m[0]} AS TIMESTAMP_NTZ)", sql))
 
 
 def with_views(sql: str, *names: str) -> str:
     """DuckDB's query: the views as common table expressions before sql, which may go on with more after WITH."""
-    parts = ", ".join(f"{n} AS ({VIEWS[n].replace('@', '').strip()})" for n in names)
+    parts = ", ".join(f"{n} AS ({_TABLE.sub(lambda m: m[1], VIEWS[n]).strip()})" for n in names)
     body = sql.strip()
     return f"WITH {parts}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {parts} {body}"

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .excel import SHEETS, read_excel
+
 # fixed values: field and the names that files give it, the first at hand wins
 ALIASES = {
     "name": ("name", "hotel_name", "title", "property_name"), "address": ("address", "location", "full_address", "street_address"), "city": ("city", "town"), "country": ("country",),
@@ -16,12 +18,14 @@ ALIASES = {
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or JSON (records or an array) by the extension."""
+    """CSV, JSON (records or an array), Excel or Parquet by the extension."""
     kind = os.path.splitext(path)[1].lower()
     if kind == ".csv":
         return spark.read.csv(path, header=True, inferSchema=True)
     if kind == ".json":
         return spark.read.json(path, multiLine=True)
+    if kind == ".xlsx":
+        return read_excel(spark, path)
     if kind == ".parquet":
         return spark.read.parquet(path)
     raise ValueError(f"no reader for files like {path!r}")
@@ -50,10 +54,15 @@ def federated(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def export_csv(df: DataFrame, path: str, detailed: bool = False) -> None:
-    """A CSV folder with a header; detailed: all columns by name."""
-    (df.select(*sorted(df.columns)) if detailed else df).write.mode("overwrite").csv(path, header=True)
+def export_csv(df: DataFrame, path: str, kind: str = "simple") -> None:
+    """A CSV folder with a header: simple (the columns as they are), detailed (all by name), or multiple, a folder each of basic and contact columns."""
+    if kind == "multiple":
+        for name in ("Basic Info", "Contact Info"):
+            df.select([c for c in SHEETS[name] if c in df.columns]).write.mode("overwrite").csv(f"{path.rstrip('/')}/{name.split()[0].lower()}", header=True)
+    else:
+        (df.select(*sorted(df.columns)) if kind == "detailed" else df).write.mode("overwrite").csv(path, header=True)
 
 
-def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def export_json(df: DataFrame, path: str, fields: list[str] | None = None) -> None:
+    """A folder of JSON lines, of the fields named or of all."""
+    (df.select(*fields) if fields else df).write.mode("overwrite").json(path)
