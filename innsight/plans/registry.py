@@ -435,11 +435,14 @@ _LETTERS = lambda c, chars: f"length(regexp_replace({c}, '[^{chars}]', '', 'g'))
 _ARABIC, _LATIN = _LETTERS("review", r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}"), _LETTERS("review", "a-zA-Z")
 
 
-@_query("review_language", "stay_reviews", f"SELECT review_id, CASE WHEN {_ARABIC} > {_LATIN} THEN 'ar' ELSE 'en' END AS language FROM stay_reviews")
-def _(r):
+def _language(r):
     return r.select("review_id", V.language(F.col("review")).alias("language"))
 
 
+for _name, _view in (("review_language", "place_reviews"), ("stay_language", "stay_reviews")):
+    _query(_name, _view, f"SELECT review_id, CASE WHEN {_ARABIC} > {_LATIN} THEN 'ar' ELSE 'en' END AS language FROM {_view}")(_language)
+
+
 _WORDS = ", ".join(f"('{k}', '{c}', '{w}')" for k, lists in V.KEYWORDS.items() for c, ws in lists.items() for w in ws)
 
 
@@ -477,11 +480,14 @@ def _(p):
 _COUNT = lambda c, ps: " + ".join(f"(length(lower({c})) - length(replace(lower({c}), '{p}', ''))) / {len(p)}" for p in ps)
 
 
-@_query("indicator_score", "stay_reviews", rf"WITH n AS (SELECT review_id, {_COUNT('review', V.PHRASES)} AS a, {_COUNT('review', V.OTHER_PHRASES)} AS b, CASE WHEN trim(review) = '' THEN 0 ELSE len(regexp_split_to_array(trim(review), '\s+')) END AS w FROM stay_reviews) SELECT review_id, round(least(1.0, greatest(0.0, 100.0 * (a - b) / greatest(w, 1) / 10)), 6)::DOUBLE AS score FROM n")
-def _(r):
+def _score(r):
     return r.select("review_id", F.round(V.indicator_score(F.col("review")), 6).alias("score"))
 
 
+for _name, _view in (("indicator_score", "place_reviews"), ("stay_score", "stay_reviews")):
+    _query(_name, _view, rf"WITH n AS (SELECT review_id, {_COUNT('review', V.PHRASES)} AS a, {_COUNT('review', V.OTHER_PHRASES)} AS b, CASE WHEN trim(review) = '' THEN 0 ELSE len(regexp_split_to_array(trim(review), '\s+')) END AS w FROM {_view}) SELECT review_id, round(least(1.0, greatest(0.0, 100.0 * (a - b) / greatest(w, 1) / 10)), 6)::DOUBLE AS score FROM n")(_score)
+
+
 @_query("indicator_ranking", "stay_reviews", rf"""WITH p(i, phrase) AS (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(V.PHRASES))}), n AS (SELECT place_id, i, phrase, sum((length(lower(review)) - length(replace(lower(review), phrase, ''))) / length(phrase))::BIGINT AS occurrences FROM stay_reviews, p GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY occurrences DESC, i) AS rank, sum(occurrences) OVER (PARTITION BY place_id) AS total FROM n WHERE occurrences > 0), w AS (SELECT place_id, sum(CASE WHEN trim(review) = '' THEN 0 ELSE len(regexp_split_to_array(trim(review), '\s+')) END) AS words FROM stay_reviews GROUP BY 1)
 SELECT place_id, rank::INT AS rank, phrase, occurrences, least(1.0, total / greatest(1.0, words / 10))::DOUBLE AS score FROM r JOIN w USING (place_id) WHERE rank <= 10""")
