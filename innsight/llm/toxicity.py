@@ -46,6 +46,18 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(out, -30, 30)))).mean(1)
 
 
+def gradient(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float, left: float) -> np.ndarray:
+    """The gradient of the risk at weights w (the bias last), of positives xp and unlabelled xu; where what the unlabelled add is negative, it is that of its opposite alone."""
+    sp, su = (1 / (1 + np.exp(-np.clip(a @ w[:-1] + w[-1], -30, 30))) for a in (xp, xu))  # the loss of g as 0; as 1 it is 1 less this
+    dp, du = sp * (1 - sp), su * (1 - su)
+    grad_p = np.append(dp @ xp, dp.sum()) / len(xp)
+    grad_u = np.append(du @ xu, du.sum()) / len(xu)
+    part = (1 - prior) / (1 - left)
+    if su.mean() >= left * sp.mean():
+        return -prior * grad_p + part * (grad_u - left * grad_p)
+    return -part * (grad_u - left * grad_p)
+
+
 def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, left: float, steps: int = 2000, rate: float = 0.1, decay: float = 0.0, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of one linear classifier, by Adam on the non-negative risk with the sigmoid loss. x: rows by features; positive: a mask, the other rows are unlabelled; left: the prior among these."""
     rng = np.random.default_rng(seed)
@@ -53,13 +65,7 @@ def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, left: float, s
     m, v = np.zeros_like(w), np.zeros_like(w)
     xp, xu = x[positive], x[~positive]
     for t in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(a @ w[:-1] + w[-1], -30, 30))) for a in (xp, xu))  # the loss of g as 0; as 1 it is 1 less this
-        dp, du = sp * (1 - sp), su * (1 - su)
-        grad_p = np.append(dp @ xp, dp.sum()) / len(xp)
-        grad_u = np.append(du @ xu, du.sum()) / len(xu)
-        part = (1 - prior) / (1 - left)
-        rest = su.mean() - left * sp.mean()
-        g = -prior * grad_p + part * (grad_u - left * grad_p) if rest >= 0 else -part * (grad_u - left * grad_p)
+        g = gradient(w, xp, xu, prior, left)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
