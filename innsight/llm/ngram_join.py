@@ -575,7 +575,7 @@ class Join:
             n = self._within(roots, True).groupBy("node").agg(F.sum("n_links").alias("others"))
             n = self.classes.join(n, "node", "left").select(F.col("node").alias("_c"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
             of = of.join(n, "_c")
-        # one join of the documents, the last step, so that Spark can split a class of very many copies
+        # one join of the documents for both columns; a class of very many copies is still one key of it
         out = self.sets.join(of, (self.sets["node"] == of["_c"]) & (self.sets["n"] > 0), "left")
         columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
         return out.select(*columns, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
