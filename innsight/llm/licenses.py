@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +116,13 @@ def template_matches(docs: DataFrame, order: dict[str, int], text: str = "text",
     return met.select("doc_id", "text_hash", "block", "wrapped", "template", "label", (F.size("shared") / F.size("words")).alias("containment"))
 
 
+def may_match(tokens: Column, templates=TEMPLATES, threshold: float = 0.9) -> Column:
+    """The length filter for whole texts: whether a text's words, of which its blocks' are a part, include `threshold` of some template's."""
+    sets, _ = _vocabulary(templates)
+    enough = [F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words]))) >= math.ceil(threshold * len(words) - 1e-9) for words in sets]
+    return reduce(lambda x, y: x | y, enough, F.lit(False))
+
+
 def _phrase_pattern() -> str:
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     return rf"(?i)(?<!{RAW_WORD})(?-i)(?:{'|'.join(gap.join(''.join(f'[{c}{c.upper()}]' for c in w) for w in p.split()) for p in PHRASES)})(?!{RAW_WORD})".replace("(?i)", "").replace("(?-i)", "")
@@ -144,15 +152,16 @@ def base(docs: DataFrame, text: str = "text", vocabulary: list[str] = ()) -> Dat
 def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """Per row of docs: doc_id, the base columns, labels and score; score is 1 where a phrase stands, else the largest containment met, else 0.
 
+    docs is read once: texts whose words, wherever they stand, are enough for a template go on with the base columns to the join of blocks.
     Rows that repeat doc_id and text share their result. Other columns are left out.
     """
     vocabulary = _vocabulary(templates)[1]
-    own = base(docs.select("doc_id", text).withColumn("text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), text, vocabulary).drop(text)
-    own = written(own, "license-base")
+    own = base(docs.select("doc_id", text).withColumn("text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), text, vocabulary)
+    own = written(own.withColumn(text, F.when(may_match(F.col("tokens"), templates, threshold), F.col(text))), "license-base")
     order = token_order(own, vocabulary)
-    met = template_matches(docs, order, text, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("set"), F.max("containment").alias("best"))
+    met = template_matches(own, order, text, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("set"), F.max("containment").alias("best"))
     met = met.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "set", "best")
-    j = own.join(met, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    j = own.drop(text).join(met, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     comma = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(c)))
     return j.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

@@ -2,6 +2,8 @@ import textwrap
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from innsight.llm import licenses
 
 
@@ -17,3 +19,20 @@ def test_wrapped_notices_meet_their_templates(spark, width):
     got = {r["doc_id"]: r for r in licenses.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i in range(3 * len(licenses.TEMPLATES)) if licenses.TEMPLATES[i // 3][0] not in got[i]["labels"].split(",")] == []
     assert all(got[i]["labels"] == "" and got[i]["score"] == 0.0 for i in range(900, 905))
+
+
+def test_the_filter_of_whole_texts_loses_nothing(spark):
+    notices = [t for _, t in licenses.TEMPLATES]
+    scattered = "\n\n".join(notices[1].split())  # its words all stand in the text, in no block
+    rows = [(i, f"before\n{t}\nafter") for i, t in enumerate(notices)] + [(90, scattered), (91, None), (92, ""), (93, "license"), (90, scattered)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = licenses.base(docs, vocabulary=licenses._vocabulary(licenses.TEMPLATES)[1])
+    passed = {r["doc_id"] for r in own.where(licenses.may_match(F.col("tokens"))).collect()}
+    assert passed == {*range(len(notices)), 90}
+    got = licenses.scan(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] < 90:
+            assert licenses.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",")
+        else:
+            assert (r["labels"], r["score"]) == ("", 0.0)
