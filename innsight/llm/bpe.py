@@ -41,21 +41,21 @@ class PairTable:
         #: Ranks whose product takes part in a merge of a lower rank: these merge one pair at a time, as that merge may come first.
         self.alone = lowest[self.made] < np.arange(self.none)
 
-    def ranks(self, a: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Rank of the pair that begins at each symbol; `none` where there is none."""
-        out = np.full(len(a), self.none)
-        if len(a) > 1:
-            k = a[:-1] * self.size + a[1:]
-            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-            out[:-1] = np.where((self.keys[at] == k) & (word[:-1] == word[1:]), self.rank[at], self.none)
-        return out
+    def ranks(self, a: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that begins at each of the given symbols, of which none is the last of a; `none` where there is none."""
+        k = a[at] * self.size + a[at + 1]
+        key = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        return np.where((self.keys[key] == k) & (word[at] == word[at + 1]), self.rank[key], self.none)
 
     def merge(self, a: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols that survive, word by word, and how many each word has. a: the symbols of all words end to end; word: the number of each symbol's word."""
         done_ids, done_words = [], []
         none = self.none
+        rank = np.full(len(a), none)
+        if len(a) > 1:
+            rank[:-1] = self.ranks(a, word, np.arange(len(a) - 1))
+        a = a.copy()
         while len(a):
-            rank = self.ranks(a, word)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             low = np.minimum.reduceat(rank, first)
             n = np.diff(np.r_[first, len(a)])
@@ -77,11 +77,16 @@ class PairTable:
             if lone.any():
                 take &= ~lone | np.r_[True, word[hit][1:] != word[hit][:-1]]
             hit = hit[take]
-            a = a.copy()
             a[hit] = self.made[rank[hit]]
             keep = np.ones(len(a), bool)
             keep[hit + 1] = False
-            a, word = a[keep], word[keep]
+            a, word, rank = a[keep], word[keep], rank[keep]
+            # only pairs with a symbol just made have another rank
+            new = hit - np.arange(len(hit))
+            at = np.concatenate([new[new > 0] - 1, new])
+            last = at == len(a) - 1
+            rank[at[last]] = none
+            rank[at[~last]] = self.ranks(a, word, at[~last])
         ids, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_ids, done_words))
         order = np.argsort(at, kind="stable")
         return ids[order], np.bincount(at, minlength=n_words)
@@ -146,7 +151,7 @@ class WordBpe:
         words = set(words)
         if len(self.cache) + len(words) > _CACHE:
             self.cache.clear()
-        fresh = [w for w in words if w not in self.cache]
+        fresh = list(words.difference(self.cache))
         while fresh:
             size = 0
             for n, w in enumerate(fresh, 1):
@@ -187,4 +192,5 @@ class WordBpe:
             return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
         for pieces in self._blocks(texts, kept):
-            yield np.frombuffer(b"".join(x for words, special in pieces for x in (*map(get, words), b"" if special is None else special.to_bytes(4, "little"))), "<u4")
+            parts = [b"".join(map(get, words)) + (b"" if special is None else special.to_bytes(4, "little")) for words, special in pieces]
+            yield np.frombuffer(parts[0] if len(parts) == 1 else b"".join(parts), "<u4")
