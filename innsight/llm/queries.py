@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, line_dedup, ngram_join, packing, piece_scan, quality_gbt, quality_rules, token_counts, toxicity
+from . import ann, kneser_ney, licenses, line_dedup, ngram_join, packing, piece_scan, prefix_trie, quality_gbt, quality_rules, spelling, token_counts, toxicity
 from .common import documents
 
 
@@ -25,6 +25,9 @@ QUERIES = {
     "op8_packing": _of_documents(packing.query),
     "op9_license_scan": _of_documents(licenses.query),
     "op10_ngram_jaccard": _of_documents(ngram_join.query),
+    "op11_prefix_trie": lambda spark, sf_dir: prefix_trie.query(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+    "op12_spelling_variants": _of_documents(spelling.query),
+    "op13_kneser_ney": _of_documents(kneser_ney.query),
 }
 
 ORACLE_SQL = {"op5_line_dedup": line_dedup.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL, "op9_license_scan": licenses.ORACLE_SQL}
