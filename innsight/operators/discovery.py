@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine_km, present, similar_above, similarity
+from ..functions.scalars import haversine_km, present, similarity
 from ..sources.tables import federated
-from .resolve import dedupe, greedy, grid_points, within_boxes
+from .graphs import checkpointed, greedy
+from .resolve import dedupe, grid_points, within_boxes
 from .reviews import potential_hotel
 from .search import nearby
-from .violations import pairs_within
+from .space import first_wins
+from .texts import like_pairs
 
 
 def coordinates(text: str) -> tuple[float, float] | None:
@@ -60,52 +62,50 @@ def _firsts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _alike(names: DataFrame, others: DataFrame, least: float) -> DataFrame:
-    """(a, b): distinct names, in lower case, of both sides that are more alike than `least`; only those meet whose lengths leave it open."""
-    size = F.length("name")
-    lows = F.explode(F.sequence(F.ceil(size * least).cast("int"), F.floor(size / least).cast("int")))
-    a = names.select(F.lower("name").alias("a"), size.alias("size")).distinct()
-    b = others.select(F.lower("name").alias("b"), lows.alias("size")).distinct()
-    return a.join(b, "size").where(similar_above(F.col("a"), F.col("b"), least)).select("a", "b")
+    """(a, b): distinct names, in lower case, of both sides that are more alike than `least`, equal ones among them."""
+    low = lambda df: df.where(present("name")).select(F.lower("name").alias("text")).distinct()
+    a, b = low(names), low(others)
+    return like_pairs(a, least, b, strict=True).unionByName(a.join(b, "text", "left_semi").select(F.col("text").alias("a"), F.col("text").alias("b")))
 
 
-def _without_alike(rest: DataFrame, kept: DataFrame, least: float) -> DataFrame:
-    """(id) of rows of rest, by id, whose names are alike to none of kept's and to none that stays before them."""
-    rest = rest.where(present("name")).select("id", "name")
-    known = _alike(rest, kept.where(present("name")).select("name"), least).select(F.col("a").alias("_a")).distinct()
-    open_ = rest.join(known, F.lower("name") == F.col("_a"), "left_anti")
-    first = open_.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id"))
-    pairs = _alike(first, first, least).where("a != b")
-    edges = pairs.join(first.select(F.col("name").alias("a"), F.col("id").alias("x")), "a").join(first.select(F.col("name").alias("b"), F.col("id").alias("y")), "b").where("x < y")
-    return greedy(first.select("id", F.lit(None).cast("string").alias("key")), edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+def _named_first(rows: DataFrame, least: float) -> DataFrame:
+    """(id) of the rows (id, name, fixed) that aren't fixed and, by id, have a name alike to none before them that is fixed or stays.
+
+    Of a name only its first row that isn't fixed can stay, and only its first fixed one counts, so the names are what is compared.
+    """
+    n = checkpointed(rows.where(present("name")).groupBy(F.lower("name").alias("name")).agg(F.min(F.when(F.col("fixed"), F.col("id"))).alias("f"), F.min(F.when(~F.col("fixed"), F.col("id"))).alias("c")))
+    pairs = checkpointed(_alike(n.select("name"), n.select("name"), least))
+    known = pairs.join(n.select(F.col("name").alias("a"), "f"), "a").where("f IS NOT NULL").groupBy(F.col("b").alias("name")).agg(F.min("f").alias("before"))
+    open_ = checkpointed(n.where("c IS NOT NULL").join(known, "name", "left").where("coalesce(c < before, true)").select("name", "c"))
+    edges = pairs.where("a != b").join(open_.select(F.col("name").alias("a"), F.col("c").alias("x")), "a").join(open_.select(F.col("name").alias("b"), F.col("c").alias("y")), "b").where("x < y")
+    return greedy(open_.select(F.col("c").alias("id"), F.lit(None).cast("string").alias("key")), edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def places(rows: DataFrame, km: float = 0.05, least: float = 0.8) -> DataFrame:
-    """Scraped places (id, place_id, name, latitude, longitude) without repeats, in three steps: the first of each place_id stays; of the others those with a place stay that are not
-    closer than km to one that stays; what is left stays by a name that is alike to none that stays."""
-    ids = _firsts(rows, "place_id")
-    base, rest = rows.join(ids, "id", "left_semi"), rows.join(ids, "id", "left_anti")
-    placed = lambda df: df.where(present("latitude") & present("longitude"))
-    centres = placed(base).select(F.col("id").alias("zone"), F.col("latitude").alias("z_lat"), F.col("longitude").alias("z_lon"))
-    taken = within_boxes(placed(rest).select("id", "latitude", "longitude"), centres, km).where(F.col("km") < km).select("id").distinct()
-    free = placed(rest).join(taken, "id", "left_anti")
-    by_place = greedy(free.select("id", F.lit(None).cast("string").alias("key")), pairs_within(free, km).where(F.col("km") < km).select("a", "b"))
-    kept = base.unionByName(rest.join(by_place, "id", "left_semi"))
-    by_name_ = _without_alike(rest.join(by_place, "id", "left_anti"), kept, least)
-    return kept.unionByName(rest.join(by_name_, "id", "left_semi"))
+    """Scraped places (id, place_id, name, latitude, longitude) without repeats, decided row by row in the order of id.
+
+    The first row of each place_id stays. Any other stays if it has a place and no row that stayed before it for its place_id or place is closer than km; failing that, if it has a name and
+    none that stayed before it has one more alike than `least`.
+    """
+    r = checkpointed(rows.select("id", "place_id", "name", "latitude", "longitude").join(_firsts(rows, "place_id").withColumn("fixed", F.lit(True)), "id", "left").fillna(False, ["fixed"]))
+    placed = r.where(present("latitude") & present("longitude")).select("id", F.lit(None).cast("string").alias("key"), "latitude", "longitude", "fixed")
+    stays = checkpointed(r.where("fixed").select("id").unionByName(first_wins(placed, km)).distinct())
+    named = r.drop("fixed").join(stays.withColumn("fixed", F.lit(True)), "id", "left").fillna(False, ["fixed"]).select("id", "name", "fixed")
+    return rows.join(stays.unionByName(_named_first(named, least)), "id", "left_semi")
 
 
 def listings(rows: DataFrame, least: float = 0.8) -> DataFrame:
-    """Scraped listings (id, platform, url, name, price) without repeats: the first of each url stays, and of the others those whose names are alike to none that stays. The first that stays
-    of a name has, as other_platforms, the repeats of it on other platforms. Listings without url and name go."""
-    ids = _firsts(rows, "url")
-    base, rest = rows.join(ids, "id", "left_semi"), rows.join(ids, "id", "left_anti")
-    new = _without_alike(rest, base, least)
-    kept = base.unionByName(rest.join(new, "id", "left_semi"))
-    gone = rest.join(new, "id", "left_anti").where(present("name"))
-    to = _alike(gone, kept.where(present("name")), least).join(kept.select(F.lower("name").alias("b"), F.col("id").alias("kept"), F.col("platform").alias("_p")), "b")
-    met = gone.join(to, F.lower("name") == F.col("a")).groupBy(gone["id"].alias("gone")).agg(F.min(F.struct("kept", "_p", "platform", "url", "price")).alias("x")).where("NOT x.platform <=> x._p")
+    """Scraped listings (id, platform, url, name, price) without repeats, decided row by row in the order of id: the first of each url stays, and any other whose name is not more alike than `least` to
+    one that stayed before it. A row that goes counts for the first that it is alike to: that one has it among its other_platforms, if it is on another. Listings without url and name go."""
+    r = checkpointed(rows.join(_firsts(rows, "url").withColumn("_first", F.lit(True)), "id", "left").fillna(False, ["_first"]))
+    new = _named_first(r.select("id", "name", F.col("_first").alias("fixed")), least)
+    kept = checkpointed(r.where("_first").select("id").unionByName(new))
+    base, gone = rows.join(kept, "id", "left_semi"), r.drop("_first").join(kept, "id", "left_anti").where(present("name"))
+    names = base.where(present("name")).select(F.lower("name").alias("b"), F.col("id").alias("kept"), F.col("platform").alias("_p"))
+    to = _alike(gone, base, least).join(names, "b")
+    met = gone.join(to, F.lower("name") == F.col("a")).where(F.col("kept") < F.col("id")).groupBy(F.col("id").alias("gone")).agg(F.min(F.struct("kept", "_p", "platform", "url", "price")).alias("x")).where("NOT x.platform <=> x._p")
     other = met.groupBy(F.col("x.kept").alias("id")).agg(F.array_sort(F.collect_list(F.struct("x.platform", "x.url", "x.price"))).alias("other_platforms"))
-    return kept.join(other, "id", "left")
+    return base.join(other, "id", "left")
 
 
 def map_elements(rows: DataFrame) -> DataFrame:
@@ -125,8 +125,6 @@ def search_points(hotels: DataFrame, visited: DataFrame, km: float = 1.0) -> Dat
 
 def smart_discovery(source: DataFrame, latitude: float, longitude: float, metres: float = 1000, most_metres: float = 5000, most_points: int = 20, most_hotels: int = 1000, per_point: int = 5) -> DataFrame:
     """Records found by spreading from a place: around each point those within its radius, of which the first per_point new places are searched next, half as far again. The points are at most most_points, so they are the driver's; records stay in Spark."""
-    from .resolve import checkpointed
-
     spark, queue, done, found = source.sparkSession, [(latitude, longitude, metres)], [], None
     while queue and len(done) < most_points:
         y, x, radius = queue.pop(0)

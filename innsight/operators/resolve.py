@@ -1,144 +1,25 @@
-"""Entity resolution, components, density clusters and patterns over a registry."""
+"""Entity resolution and patterns over a registry."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import geo_similarity, haversine_km, phone_similarity, present, text_likeness
-from .violations import cells, pairs_within
+from ..functions.scalars import haversine_km, present
+from .space import first_wins
+from .violations import cells
 
 # fixed values
 STOP = ["the", "and", "in", "of", "for", "a", "an", "on", "at", "to", "by"]
 HOTEL_TERMS = ["hotel", "inn", "suites", "lodge", "resort", "apartments", "hostel", "motel", "residence", "فندق", "نزل", "شقق", "أجنحة"]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared checkpoint folder; where the session names none, a folder of this process's own, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir: executors must share the checkpoint folder")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="innsight-"))
-    return df.checkpoint()
-
-
-def conflicts(rows: DataFrame, km: float = 0.05) -> DataFrame:
-    """(a, b), a < b: rows closer than km. Rows without a name or coordinates conflict with none."""
-    whole = rows.where(present("name") & present("latitude") & present("longitude"))
-    near = pairs_within(whole, km).where(F.col("km") < km).select("a", "b")
-    return near
-
-
-def greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id): the first row stays, and each later one that conflicts with none that stays. nodes: (id, key); rows of one key that is not null conflict, as do those of edges (a, b), a < b.
-
-    In rounds: what has no open smaller neighbour stays, its neighbours go. Of a key only the smallest open id counts, so rows of one key never meet pairwise.
-    """
-    open_, kept = checkpointed(nodes), None
-    edges = checkpointed(edges)
-    while True:
-        live = edges.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(open_.select(F.col("id").alias("b")), "b", "left_semi")
-        later = open_.join(open_.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first")), "key").where("id > first").select("id")
-        stays = checkpointed(open_.join(live.select(F.col("b").alias("id")).unionByName(later).distinct(), "id", "left_anti"))
-        kept = stays.select("id") if kept is None else kept.unionByName(stays.select("id"))
-        near = live.join(stays.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
-        alike = open_.join(stays.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi").select("id")
-        open_ = checkpointed(open_.join(stays.select("id").unionByName(near).unionByName(alike).distinct(), "id", "left_anti").select("id", "key"))
-        if open_.isEmpty():
-            return kept
-
-
 def dedupe(rows: DataFrame, km: float = 0.05) -> DataFrame:
-    """rows without those that repeat an earlier kept one (by id): the same name in lower case, or closer than km. Names are decided with places: a row goes if a kept row has its name."""
+    """rows without those that repeat an earlier kept one (by id): the same name in lower case, or closer than km. Rows without a name or a place repeat none and are repeated by none."""
     whole = present("name") & present("latitude") & present("longitude")
-    kept = greedy(rows.select("id", F.when(whole, F.lower("name")).alias("key")), conflicts(rows, km).distinct())
-    return rows.join(kept, "id", "left_semi")
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that each node reaches over edges (a, b). Labels spread and pointers jump until nothing changes."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpointed(nodes.select("id", F.col("id").alias("root")))
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
-        step = label.join(near, "id", "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("was"))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("r"))
-        fresh = checkpointed(step.join(jump, "root").select("id", F.col("r").alias("root"), "was"))
-        label = fresh.select("id", "root")
-        if fresh.where("root != was").isEmpty():
-            return label
-
-
-def dbscan(points: DataFrame, km: float, least: int) -> DataFrame:
-    """(id, label): density clusters, numbered by the smallest core id; -1 is noise. A border point takes the smallest label of its core neighbours."""
-    p = points.where(present("latitude") & present("longitude")).select("id", "latitude", "longitude")
-    near = checkpointed(pairs_within(p, km).select("a", "b"))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = p.select("id").join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left")
-    core = checkpointed(degree.where(F.coalesce("n", F.lit(0)) + 1 >= least).select("id"))
-    is_core = lambda c: core.select(F.col("id").alias(c))
-    root = components(core, near.join(is_core("a"), "a", "left_semi").join(is_core("b"), "b", "left_semi"))
-    border = both.join(root.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-    label = p.select("id").join(root, "id", "left").join(border, "id", "left").select("id", F.coalesce("root", "near").alias("root"))
-    # numbered by ranges of roots, so no task holds all clusters: the clusters of the ranges before, and the place in the own one
-    ranged = checkpointed(root.select("root").distinct().repartitionByRange(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root").withColumn("part", F.spark_partition_id()))
-    before = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    offset, total = {}, 0
-    for k in sorted(before):
-        offset[k], total = total, total + before[k]
-    start = F.create_map(*[F.lit(x) for kv in offset.items() for x in kv])[F.col("part")] if offset else F.lit(0)
-    number = ranged.select("root", (F.row_number().over(Window.partitionBy("part").orderBy("root")) - 1 + start).cast("long").alias("label"))
-    return label.join(number, "root", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
-
-
-def property_similarity(text=text_likeness) -> Column:
-    """Of columns a_* and b_*: name 0.4, address 0.3, place 0.3, phone 0.4 where alike at all, owner 0.4; over the weights at hand. text: the likeness of two texts, or a bound of it."""
-    both = lambda *cs: reduce(lambda x, y: x & y, [present(f"{x}_{c}") for x in "ab" for c in cs])
-    like = lambda c: F.when(both(c), text(F.trim(f"a_{c}"), F.trim(f"b_{c}")))
-    phone = phone_similarity(F.col("a_phone"), F.col("b_phone"))
-    km = haversine_km(*[F.col(f"{x}_{c}") for x in "ab" for c in ("latitude", "longitude")])
-    terms = [(0.4, like("name")), (0.3, like("address")), (0.3, F.when(both("latitude", "longitude"), geo_similarity(km))), (0.4, F.when(both("phone") & (phone > 0), phone)), (0.4, like("owner"))]
-    return reduce(lambda x, y: x + y, [F.coalesce(w * t, F.lit(0.0)) for w, t in terms]) / F.nullif(reduce(lambda x, y: x + y, [F.when(t.isNotNull(), w).otherwise(0.0) for w, t in terms]), F.lit(0.0))
-
-
-def _alike_rows(p: DataFrame, c: str, least: float) -> DataFrame:
-    """(a, b), a < b: rows whose texts of column c have a likeness of least or more. Only distinct texts are compared, and only those whose lengths leave it open; the likeness is at most the ratio of lengths."""
-    rows = p.where(present(c)).select(F.lower(F.trim(c)).alias("t"), "id")
-    size = F.length("t")
-    t = rows.select("t").distinct()
-    x = t.select(F.col("t").alias("x"), size.alias("size"))
-    y = t.select(F.col("t").alias("y"), F.explode(F.sequence(F.ceil(size * least).cast("int"), F.floor(size / least).cast("int"))).alias("size"))
-    like = x.join(y, "size").where((F.col("x") <= F.col("y")) & (text_likeness(F.col("x"), F.col("y")) >= least)).select("x", "y")
-    pairs = like.join(rows.select(F.col("t").alias("x"), F.col("id").alias("i")), "x").join(rows.select(F.col("t").alias("y"), F.col("id").alias("j")), "y")
-    return pairs.where("i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-
-
-def property_pairs(hotels: DataFrame, owner: Column, least: float = 0.7) -> DataFrame:
-    """(a, b), a < b: all pairs of properties with likeness of at least `least`, wherever they lie.
-
-    A weighted mean reaches least only where one of its terms does. So those pairs meet that have like names, addresses or owners, phones with the same last four digits, or places near enough, and no others.
-    """
-    p = checkpointed(hotels.withColumn("owner", owner).select("id", "name", "address", "latitude", "longitude", "phone", "owner"))
-    low = least - 1e-9
-    d = F.regexp_replace("phone", r"\D", "")
-    phones = p.where(present("phone")).select("id", F.when(F.length(d) >= 6, F.right(d, F.lit(4))).otherwise(d).alias("d")).where("d != ''")
-    same = phones.select("d", F.col("id").alias("a")).join(phones.select("d", F.col("id").alias("b")), "d").where("a < b").select("a", "b")
-    met = [_alike_rows(p, c, low) for c in ("name", "address", "owner")] + [same, pairs_within(p, 2 * (1 - low)).select("a", "b")]
-    candidates = reduce(lambda x, y: x.unionByName(y), met).distinct()
-    named = lambda x: p.select([F.col(c).alias(f"{x}_{c}") for c in p.columns])
-    pairs = candidates.join(named("a"), F.col("a") == F.col("a_id")).join(named("b"), F.col("b") == F.col("b_id"))
-    return pairs.where(property_similarity() >= least).select("a", "b")
-
-
-def property_groups(hotels: DataFrame, owner: Column, least: float = 0.7) -> DataFrame:
-    """(root, n): groups of two and more properties connected by likeness of at least `least`."""
-    return components(hotels.select("id"), property_pairs(hotels, owner, least)).groupBy("root").agg(F.count("*").alias("n")).where("n >= 2")
+    own = lambda c: F.when(whole, F.col(c))
+    spots = rows.select("id", F.when(whole, F.lower("name")).alias("key"), own("latitude").alias("latitude"), own("longitude").alias("longitude"), F.lit(False).alias("fixed"))
+    return rows.join(first_wins(spots, km), "id", "left_semi")
 
 
 def owner_groups(hotels: DataFrame, owner: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_KM, contains_any, has_json_key, haversine_km, level, owner, present, similar_above
+from .texts import like_pairs
 
 # fixed values
 ESSENTIAL = ("name", "address", "phone", "email", "website", "stars")
@@ -149,13 +150,12 @@ def registered() -> Column:
 def unregistered_chains(hotels: DataFrame, least: float = 0.8) -> DataFrame:
     """Hotels that share an owner, by names alike, with two others or more, two of them without registration. Only distinct owner names meet."""
     h = hotels.select("id", owner(F.col("ownership_info"), F.col("additional_info")).alias("owner"), registered().alias("ok")).where("owner IS NOT NULL")
-    n = h.groupBy("owner").agg(F.count("*").alias("hotels"), F.count_if(~F.col("ok")).alias("bad"))
-    size = F.length("owner")
-    a = n.select(F.col("owner").alias("a"), size.alias("size"))  # names whose lengths alone rule likeness out never meet
-    b = n.select(F.col("owner").alias("b"), "hotels", "bad", F.explode(F.sequence(F.ceil(size * least).cast("int"), F.floor(size / least).cast("int"))).alias("size"))
-    like = a.join(b, "size").where(similar_above(F.col("a"), F.col("b"), least))
-    total = like.groupBy(F.col("a").alias("owner")).agg(F.sum("hotels").alias("hotels"), F.sum("bad").alias("bad"))
-    j = h.join(total, "owner").withColumn("others", F.col("hotels") - 1).withColumn("n", F.col("bad") - F.when(F.col("ok"), 0).otherwise(1))
+    names = h.select(F.lower("owner").alias("text")).distinct()
+    pairs = like_pairs(names, least, strict=True)
+    like = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(names.select(F.col("text").alias("a"), F.col("text").alias("b")))
+    n = h.groupBy(F.lower("owner").alias("b")).agg(F.count("*").alias("hotels"), F.count_if(~F.col("ok")).alias("bad"))
+    total = like.join(n, "b").groupBy("a").agg(F.sum("hotels").alias("hotels"), F.sum("bad").alias("bad"))
+    j = h.join(total, F.lower("owner") == F.col("a")).withColumn("others", F.col("hotels") - 1).withColumn("n", F.col("bad") - F.when(F.col("ok"), 0).otherwise(1))
     return j.where("others >= 2 AND n >= 2").select("id", "others", F.col("n").alias("unregistered"), (0.7 + (F.least(F.col("n"), F.lit(5)) - 1) * 0.05).alias("confidence"))
 
 
@@ -225,7 +225,9 @@ def split_properties(hotels: DataFrame, km: float = 0.05, least: float = 0.7) ->
     """Hotels named like a unit that have neighbours within km whose names without the unit are alike."""
     base = F.trim(F.regexp_replace(F.lower("name"), UNIT, ""))
     h = hotels.select("id", "latitude", "longitude", base.alias("base"), (F.lower("name").rlike(UNIT) | contains_any(F.col("name"), PART_WORDS)).alias("unit"))
-    near = pairs_within(h, km, ["base", "unit"]).where(similar_above(F.col("a_base"), F.col("b_base"), least))
-    both = near.where("a_unit").select(F.col("a").alias("id")).unionAll(near.where("b_unit").select(F.col("b").alias("id")))
-    n = both.groupBy("id").agg(F.count("*").alias("parts"))
+    spots = h.where(present("latitude") & present("longitude")).groupBy("base", "latitude", "longitude").agg(F.min("id").alias("id"), F.count("*").alias("n"))  # equal names at one place are one
+    near = pairs_within(spots, km, ["base", "n"]).where(similar_above(F.col("a_base"), F.col("b_base"), least))
+    both = near.select(F.col("a").alias("spot"), F.col("b_n").alias("n")).unionAll(near.select(F.col("b").alias("spot"), F.col("a_n").alias("n"))).groupBy("spot").agg(F.sum("n").alias("beside"))
+    own = spots.select(F.col("id").alias("spot"), "base", "latitude", "longitude", (F.col("n") - 1).alias("here")).join(both, "spot", "left")
+    n = h.where("unit").select("id", "base", "latitude", "longitude").join(own, ["base", "latitude", "longitude"]).select("id", (F.col("here") + F.coalesce("beside", F.lit(0))).cast("long").alias("parts")).where("parts > 0")
     return n.select("id", "parts", (0.6 + 0.05 * F.least(F.col("parts"), F.lit(5))).alias("confidence"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import owner, phone_similarity, present, similarity
 from ..operators import classify as C
 from ..operators import discovery as D
+from ..operators import groups as G
 from ..operators import resolve as R
 from ..operators import reviews as V
 from ..operators import search as S
+from ..operators import space as P
 from ..operators import temporal as T
 from ..operators import violations as X
 from ..operators import zones as Z
@@ -362,7 +364,12 @@ def _(h):
 
 @_query("property_groups", "hotels", None)
 def _(h):
-    return R.property_groups(h, owner(F.col("ownership_info"), F.col("additional_info")))
+    return G.property_groups(h, owner(F.col("ownership_info"), F.col("additional_info")))
+
+
+@_query("related_properties", "properties", None)
+def _(p):
+    return G.property_links(p, F.col("owner"))
 
 
 @_query("owner_groups", "hotels", f"WITH h AS (SELECT *, lower(trim({_OWNER})) AS owner FROM hotels) SELECT owner, count(*) AS n, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude, count(DISTINCT data_source) AS sources FROM h WHERE owner <> '' GROUP BY 1 HAVING count(*) >= 2")
@@ -382,12 +389,12 @@ def _(h):
 
 @_query("geo_clusters", "hotels", None)
 def _(h):
-    return R.dbscan(h, 0.2, 3)
+    return P.dbscan(h, 0.2, 3)
 
 
 @_query("unusual_clusters", "hotels", None)
 def _(h):
-    return R.dbscan(h, 0.1, 6).groupBy("label").agg(F.count("*").alias("n"))
+    return P.dbscan(h, 0.1, 6).groupBy("label").agg(F.count("*").alias("n"))
 
 
 _KIND = "CASE WHEN tourism IN ('hotel', 'apartment', 'guest_house', 'hostel') THEN tourism WHEN tourism IS NULL AND building = 'hotel' THEN 'hotel' WHEN tourism IS NULL AND building = 'apartments' THEN 'apartment_building' WHEN tourism IS NULL AND building IS NULL AND amenity = 'hotel' THEN 'hotel' ELSE 'unknown' END"
@@ -596,7 +603,7 @@ def _(h):
 
 @_query("cluster_risk", "hotels", None)
 def _(h):
-    return X.scored_clusters(h, R.dbscan(h, 0.1, 3)).select("label", "hotels", "owners", "verified", "words", "score", "level")
+    return X.scored_clusters(h, P.dbscan(h, 0.1, 3)).select("label", "hotels", "owners", "verified", "words", "score", "level")
 
 
 @_query("map_points", "hotels", "SELECT id, name, latitude, longitude, CASE WHEN id % 8 = 0 AND risk_score >= 7 THEN 'red' WHEN risk_score >= 4 THEN 'orange' WHEN risk_score IS NOT NULL THEN 'green' ELSE 'blue' END AS colour, CASE WHEN stars >= 4 THEN 'star' ELSE 'home' END AS icon FROM hotels WHERE latitude <> 0 AND longitude <> 0")

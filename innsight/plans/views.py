@@ -105,6 +105,14 @@ FROM @orders
 """,
     "relationships": r"""
 SELECT c_custkey AS hotel_id_a, CAST(c_custkey - c_custkey % 5 AS BIGINT) AS hotel_id_b FROM @customer WHERE c_custkey % 5 <> 0
+""",
+    "properties": r"""
+SELECT c_custkey AS id, substr(md5('n' || CAST(c_custkey - c_custkey % 6 AS VARCHAR(12))), 1, 14) || CASE WHEN c_custkey % 3 = 0 THEN ' inn' WHEN c_custkey % 3 = 1 THEN ' in' ELSE ' Inn' END AS name,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE substr(md5('a' || CAST(c_custkey - c_custkey % 6 AS VARCHAR(12))), 1, 12) || ' street' END AS address,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(20.0 AS DOUBLE) + ((c_custkey - c_custkey % 6) % 1009) * CAST(0.01 AS DOUBLE) + (c_custkey % 6) * CAST(0.0001 AS DOUBLE) END AS latitude,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(46.0 AS DOUBLE) END AS longitude, CASE WHEN c_custkey % 5 = 0 THEN '+966-11-' || CAST(1000000 + c_custkey AS VARCHAR(12)) ELSE NULL END AS phone,
+  'House of ' || substr(md5('o' || CAST((c_custkey - c_custkey % 6) % 300 AS VARCHAR(12))), 1, 16) AS owner, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS data_source
+FROM @customer
 """,
     "training_samples": r"""
 SELECT d.doc_id, substr(d.text, 1, 60) AS name, d.text AS description, d.source AS category, CAST(d.n_chars % 50 AS DOUBLE) / 10 AS rating, l.quality AS is_hotel

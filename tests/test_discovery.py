@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from innsight.operators import classify, discovery, resolve, search, temporal, violations, zones
+from innsight.operators import classify, discovery, search, space, temporal, violations, zones
 from innsight.sources import excel, reports, tables
 
 
@@ -37,7 +37,7 @@ def test_dbscan_equals_sequential_model(spark):
                 if label.setdefault(j, n) == n and j in core:
                     stack += [k for k in near[j] if k not in label]
             n += 1
-    got = resolve.dbscan(spark.createDataFrame([(i, *p) for i, p in points.items()], "id long, latitude double, longitude double"), 0.2, 3)
+    got = space.dbscan(spark.createDataFrame([(i, *p) for i, p in points.items()], "id long, latitude double, longitude double"), 0.2, 3)
     assert {r["id"]: r["label"] for r in got.collect()} == {i: label.get(i, -1) for i in points}
 
 
@@ -57,11 +57,63 @@ def test_places_and_listings_without_repeats(spark):
     assert set(got) == {1, 4} and [x["platform"] for x in got[1]] == ["b"] and [x["platform"] for x in got[4]] == ["c"]
 
 
+def similarity(a, b):
+    a, b = a.lower(), b.lower()
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def random_names(rnd):
+    stem = rnd.choice(["Grand Hotel", "Blue House", "Sea View Flat", "نزل الرياض", "Corner"])
+    return rnd.choice([None, stem, stem + "s", stem.upper(), stem + " two", stem[1:] + "xx"])
+
+
+def test_places_equal_a_sequential_model(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([None, None, f"p{rnd.randint(1, 25)}"]), random_names(rnd), *((24 + rnd.random() * 0.004, 46 + rnd.random() * 0.004) if rnd.random() < 0.6 else (None, None))) for i in range(200)]
+    ids, spots, kept = set(), [], []
+    for r in rows:
+        if r[1] and r[1] not in ids:
+            ids.add(r[1])
+            kept.append(r)
+            if r[3]:
+                spots.append(r[3:])
+        elif r[3] and not any(km(r[3:], s) < 0.05 for s in spots):
+            spots.append(r[3:])
+            kept.append(r)
+        elif r[2] and not any(k[2] and similarity(r[2], k[2]) > 0.8 for k in kept):
+            kept.append(r)
+    got = discovery.places(spark.createDataFrame(rows, "id long, place_id string, name string, latitude double, longitude double"))
+    assert sorted(r["id"] for r in got.collect()) == [k[0] for k in kept]
+
+
+def test_listings_equal_a_sequential_model(spark):
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice("abc"), rnd.choice([None, None, f"u{rnd.randint(1, 25)}"]), random_names(rnd), float(i)) for i in range(200)]
+    urls, kept, others = set(), [], {}
+    for r in rows:
+        first = next((k for k in kept if r[3] and k[3] and similarity(r[3], k[3]) > 0.8), None)
+        if r[2] and r[2] not in urls:
+            urls.add(r[2])
+            kept.append(r)
+        elif r[3] and first is None:
+            kept.append(r)
+        elif r[3] and first[1] != r[1]:
+            others.setdefault(first[0], []).append((r[1], r[2], r[4]))
+    got = {r["id"]: r["other_platforms"] for r in discovery.listings(spark.createDataFrame(rows, "id long, platform string, url string, name string, price double")).collect()}
+    order = lambda x: sorted(x, key=lambda v: (v[0], v[1] is not None, v[1] or "", v[2]))
+    assert sorted(got) == [k[0] for k in kept] and {k: order(map(tuple, v)) for k, v in got.items() if v} == {k: order(v) for k, v in others.items()}
+
+
 def test_enrichment_coordinates_and_pages(spark):
     base = spark.createDataFrame([(1, "a", None), (2, "", "x"), (3, "c", "y")], "id long, name string, phone string")
     one, two = spark.createDataFrame([(1, "z", "11")], "id long, name string, phone string"), spark.createDataFrame([(1, "9", "m"), (2, "9", "n")], "id long, phone string, email string")
     got = {r["id"]: tuple(r)[1:] for r in discovery.filled(base, {"one": one, "two": two}).collect()}
-    assert got == {1: ("a", "11", "m", "one,two"), 2: ("", "x", "n", "two"), 3: ("c", "y", None, "")} or got[2][0] in ("", None)
+    assert got == {1: ("a", "11", "m", "one,two"), 2: (None, "x", "n", "two"), 3: ("c", "y", None, "")}
     assert discovery.coordinates(" 24.7 , 46.6") == (24.7, 46.6) and discovery.coordinates("Riyadh") is None
     url = spark.createDataFrame([("http://m/maps/@24.5,-46.25,17z?placeid=AB_c",), ("http://b/rooms/77?x=1;center=1.5,2",), (None,)], "u string")
     got = [tuple(r) for r in url.select(*[c.alias(k) for k, c in discovery.page_place(F.col("u")).items()]).collect()]
