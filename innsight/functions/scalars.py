@@ -11,10 +11,10 @@ EARTH_KM = 6371.0
 
 
 def present(c: Column | str) -> Column:
-    """Neither null, empty, nor zero."""
+    """Neither null nor empty, and of numbers not zero; a text of "0" is one."""
     c = F.col(c) if isinstance(c, str) else c
     text = c.cast("string")
-    return F.coalesce((text != "") & ~text.isin("0", "0.0"), F.lit(False))
+    return F.coalesce((text != "") & ((F.typeof(c) == "string") | ~text.isin("0", "0.0", "-0.0")), F.lit(False))
 
 
 def similarity(a: Column, b: Column) -> Column:

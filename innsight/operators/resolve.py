@@ -27,16 +27,21 @@ def owner_groups(hotels: DataFrame, owner: Column) -> DataFrame:
     return hotels.withColumn("owner", key).where(present("owner")).groupBy("owner").agg(F.count("*").alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.countDistinct("data_source").alias("sources")).where("n >= 2")
 
 
-def naming_words(hotels: DataFrame, top: int = 20) -> DataFrame:
+def naming_words(hotels: DataFrame, top: int = 20, of: int = 50) -> DataFrame:
+    """(word, n): of the `of` words found most in names, ties by word, the first `top` of three letters or more that are no stop words."""
     words = hotels.select(F.explode(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("word"))
-    return words.where((F.length("word") > 2) & ~F.col("word").isin(STOP)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
+    most = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(of)
+    return most.where((F.length("word") > 2) & ~F.col("word").isin(STOP)).orderBy(F.desc("n"), "word").limit(top)
 
 
 def naming_patterns(hotels: DataFrame) -> DataFrame:
-    tests = {"hotel": "hotel", "number": "[0-9]+", "apartment": "apartment"}
-    found = F.array_compact(F.array(*[F.when(F.lower("name").rlike(p), F.lit(k)) for k, p in tests.items()]))
-    n = hotels.select(F.explode(found).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(hotels.agg(F.count("*").alias("total")))).select("pattern", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
+    """(pattern, n, percent) of the patterns that names follow at all: a term of lodging after something, before something, and an article before something; percent of all names."""
+    term = "|".join(HOTEL_TERMS)
+    tests = {"<Name> Hotel/Inn/etc.": rf"(?U).+\s+({term})", "Hotel/Inn/etc. <Name>": rf"(?U)({term})\s+.+", "Al/The <Name>": r"(?U)(the|al)\s+.+"}
+    names = hotels.where(present("name")).select(F.lower("name").alias("name"))
+    counts = names.agg(F.count("*").alias("total"), *[F.count_if(F.col("name").rlike(p)).alias(k) for k, p in tests.items()])
+    rows = counts.select("total", F.explode(F.array(*[F.struct(F.lit(k).alias("pattern"), F.col(f"`{k}`").alias("n")) for k in tests])).alias("x"))
+    return rows.where("x.n > 0").select("x.pattern", "x.n", (100.0 * F.col("x.n") / F.col("total")).alias("percent"))
 
 
 def naming_terms(hotels: DataFrame) -> DataFrame:

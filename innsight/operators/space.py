@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_KM, haversine_km, present
-from .graphs import checkpointed, components
+from .graphs import checkpointed, components, settled
 
 _AXES = ("x", "y", "z")
 
@@ -145,10 +145,10 @@ def first_wins(rows: DataFrame, km: float, closed: bool = False) -> DataFrame:
         """open_ without what conflicts with earlier rows of stays, and without these."""
         first = lambda c: stays.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias(f"first_{c}"))
         left = open_.join(stays.select("id"), "id", "left_anti").join(first("key"), "key", "left").join(first("cell"), "cell", "left")
-        left = checkpointed(left.where("coalesce(id < first_key, true) AND coalesce(id < first_cell, true)").select("id", "key", "latitude", "longitude", "cell"))
+        left = settled(left.where("coalesce(id < first_key, true) AND coalesce(id < first_cell, true)").select("id", "key", "latitude", "longitude", "cell"))
         at = left.where("cell IS NOT NULL").select("id", "latitude", "longitude", "cell")
         near = _near(stays.where("cell IS NOT NULL").select("id", "latitude", "longitude", "cell"), adjacent, at, km, closed).where("a_id < b_id").select(F.col("b_id").alias("id"))
-        return checkpointed(left.join(near.distinct(), "id", "left_anti"))
+        return settled(left.join(near.distinct(), "id", "left_anti"))
 
     kept = [all_.where("fixed").select("id")]
     open_ = without(all_.where("NOT fixed"), all_.where("fixed"))
@@ -157,10 +157,10 @@ def first_wins(rows: DataFrame, km: float, closed: bool = False) -> DataFrame:
         for c in ("key", "cell"):
             least = open_.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias("least"))
             firsts = firsts.join(least, c, "left").where("coalesce(id = least, true)").drop("least")
-        firsts = checkpointed(firsts.select("id", "key", "latitude", "longitude", "cell"))
+        firsts = settled(firsts.select("id", "key", "latitude", "longitude", "cell"))
         some = firsts.where("cell IS NOT NULL").select("id", "latitude", "longitude", "cell")
         blocked = _near(some, adjacent, open_.where("cell IS NOT NULL").select("id", "latitude", "longitude", "cell"), km, closed).where("b_id < a_id").select(F.col("a_id").alias("id")).distinct()
-        stays = checkpointed(firsts.join(blocked, "id", "left_anti"))
+        stays = settled(firsts.join(blocked, "id", "left_anti"))
         kept.append(stays.select("id"))
         open_ = without(open_, stays)
     out = kept[0]

@@ -81,9 +81,11 @@ def temporal_patterns(history: DataFrame) -> DataFrame:
     out.append(listed.where(low("was").rlike(OFFICIAL) & low("new_value").rlike(PRIVATE)).groupBy("hotel_id").agg(F.count("*").alias("n")).select("hotel_id", F.lit("official_to_private").alias("pattern"), F.lit("high").alias("severity"), "n"))
     moved = h.groupBy("hotel_id").agg(F.max(F.when(F.col("kind").contains("owner"), F.col("event_date"))).alias("owner"), F.max(F.when(F.col("kind").rlike("location|address"), F.col("event_date"))).alias("move"))
     out.append(moved.where("move > owner").select("hotel_id", F.lit("move_after_owner").alias("pattern"), F.lit("medium").alias("severity"), F.lit(1).cast("long").alias("n")))
-    names = h.where(F.col("kind").contains("name")).select("hotel_id", F.col("history_id").alias("a"), F.col("day").alias("d"))
-    status = h.where(F.col("kind").contains("status")).select("hotel_id", F.col("day").alias("e")).distinct()
-    near = names.join(status, "hotel_id").where(F.abs(F.datediff("d", "e")) < 30).select("hotel_id", "a").distinct()
+    status = F.when(F.col("kind").contains("status"), F.col("day"))  # the nearest days with a new status before and after each event, in one pass over a hotel's events
+    before = F.last(status, ignorenulls=True).over(Window.partitionBy("hotel_id").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(status, ignorenulls=True).over(Window.partitionBy("hotel_id").orderBy("day").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    close = (F.datediff("day", "before") < 30) | (F.datediff("after", "day") < 30)
+    near = h.withColumns({"before": before, "after": after}).where(F.col("kind").contains("name") & close).select("hotel_id", "history_id")
     out.append(near.groupBy("hotel_id").agg(F.count("*").alias("n")).select("hotel_id", F.lit("name_with_status").alias("pattern"), F.lit("high").alias("severity"), "n"))
     whole = out[0]
     for o in out[1:]:
@@ -118,11 +120,21 @@ def owner_changes(history: DataFrame, as_of: str, days: int = 365) -> DataFrame:
     return historical_search(history, "ownership", (date.fromisoformat(as_of) - timedelta(days=days)).isoformat())
 
 
-def platform_transitions(listings: DataFrame, platforms: DataFrame) -> DataFrame:
-    """Consecutive listings of a hotel on different platforms, by the date they were first seen."""
-    j = listings.join(platforms.select(F.col("id").alias("platform_id"), "platform_name"), "platform_id")
+def platform_transitions(listings: DataFrame, platforms: DataFrame, history: DataFrame, as_of: str, days: int = 3 * 365, archive: DataFrame | None = None) -> DataFrame:
+    """(hotel_id, date, was, now, source) of changes of platform in the days before as_of: events about listings or platforms, neighbouring listings of a hotel by the date they were first seen
+    (one of the two dates in the range; also on one platform), and what an archive (hotel_id, date, was, now) has."""
+    low, high = F.date_sub(F.lit(as_of).cast("date"), days), F.lit(as_of).cast("date")
+    inside = lambda c: F.to_date(c).between(low, high)
+    told = history.where(contains_any(F.col("event_type"), ["listing", "platform"]) & inside("event_date"))
+    out = told.select("hotel_id", F.col("event_date").alias("date"), F.col("old_value").alias("was"), F.col("new_value").alias("now"), F.coalesce("source", F.lit("Database History")).alias("source"))
+    j = listings.join(platforms.select(F.col("id").alias("platform_id"), "platform_name"), "platform_id", "left")
+    name = F.coalesce("platform_name", F.col("platform_id").cast("string"))
     w = Window.partitionBy("hotel_id").orderBy("first_seen_date", "listing_id")
-    return j.select("hotel_id", F.col("platform_name").alias("was"), F.lead("platform_name").over(w).alias("now"), F.lead("first_seen_date").over(w).alias("date")).where("was != now")
+    pairs = j.select("hotel_id", F.col("first_seen_date").alias("d"), name.alias("was"), F.lead(name).over(w).alias("now"), F.lead("first_seen_date").over(w).alias("date")).where("now IS NOT NULL")
+    out = out.unionByName(pairs.where(inside("d") | inside("date")).select("hotel_id", "date", "was", "now", F.lit("Listing Timeline").alias("source")))
+    if archive is not None:
+        out = out.unionByName(archive.where(inside("date")).select("hotel_id", "date", "was", "now", F.lit("Archive").alias("source")))
+    return out
 
 
 def same_day_events(history: DataFrame) -> DataFrame:
@@ -214,6 +226,16 @@ def change_report(history: DataFrame, types=REPORT_TYPES) -> DataFrame:
     return history.withColumn("type", out).where("type IS NOT NULL").groupBy("type").agg(F.count("*").alias("changes"), F.countDistinct("hotel_id").alias("hotels"))
 
 
+def change_summary(history: DataFrame, hotels: DataFrame, as_of: str, days: int = 365, least: int = 1, types=REPORT_TYPES) -> DataFrame:
+    """One row: hotels at all, hotels with `least` changes of the report's types or more in the days before as_of, changes of these types, and changes a hotel with changes to two decimals."""
+    kind = F.lower("event_type")
+    recent = history.where((F.to_date("event_date") >= F.date_sub(F.lit(as_of).cast("date"), days)) & contains_any(kind, list(types)))
+    per = recent.join(hotels.select(F.col("id").alias("hotel_id")), "hotel_id", "left_semi").groupBy("hotel_id").agg(F.count("*").alias("n"))
+    g = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_changes"), F.count_if(F.col("n") >= least).alias("hotels_with_changes"))
+    average = F.when(F.col("hotels_with_changes") > 0, F.round(F.col("total_changes") / F.col("hotels_with_changes"), 2)).otherwise(0.0)
+    return hotels.agg(F.count("*").alias("total_hotels")).join(g).select("total_hotels", "hotels_with_changes", "total_changes", average.alias("average"))  # one row each
+
+
 def change_buckets(history: DataFrame) -> DataFrame:
     n = history.groupBy("hotel_id").agg(F.count("*").alias("n"))
     return n.groupBy(F.when(F.col("n") >= 10, "10+").otherwise(F.col("n").cast("string")).alias("bucket")).agg(F.count("*").alias("hotels"))

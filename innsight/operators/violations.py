@@ -101,31 +101,43 @@ def inconsistencies(hotels: DataFrame, listings: DataFrame, platforms: DataFrame
 
 
 def dual_activity(hotels: DataFrame, history: DataFrame, listings: DataFrame, platforms: DataFrame) -> DataFrame:
+    """(id, score, level) of hotels that look like lodging and homes at once: listed as both (3), terms of both in name and description (2), three stars or more in a residential area (3), a turn from one to the other (3)."""
     kinds = listings.join(platforms.select(F.col("id").alias("platform_id"), "platform_name", "platform_type"), "platform_id").groupBy(F.col("hotel_id").alias("id")).agg(
         F.bool_or(F.col("platform_name").isin(HOTEL_PLATFORMS) | F.col("platform_type").contains("hotel")).alias("as_hotel"),
         F.bool_or(F.col("platform_name").isin(RENTAL_PLATFORMS) | F.col("platform_type").rlike("rental|apartment")).alias("as_rental"),
     )
     turned = lambda a, b: contains_any(F.col("old_value"), a) & contains_any(F.col("new_value"), b)
     switch = history.where(contains_any(F.col("event_type"), ["classification", "status"])).groupBy(F.col("hotel_id").alias("id")).agg(F.bool_or(turned(HOTEL_TERMS, RESIDENTIAL_TERMS) | turned(RESIDENTIAL_TERMS, HOTEL_TERMS)).alias("switched"))
-    h = hotels.select("id", "name", "stars").join(kinds, "id", "left").join(switch, "id", "left").fillna(False, ["as_hotel", "as_rental", "switched"])
-    lodging, home = contains_any(F.col("name"), HOTEL_TERMS), contains_any(F.col("name"), RESIDENTIAL_TERMS)
-    score = F.when(F.col("as_hotel") & F.col("as_rental"), 3).otherwise(0) + F.when(lodging & home, 2).otherwise(0) + F.when(home & F.coalesce(F.col("stars") >= 3, F.lit(False)), 3).otherwise(0) + F.when(F.col("switched"), 3).otherwise(0)
+    said = F.concat_ws(" ", "name", F.get_json_object("additional_info", "$.description"))
+    at_home = present("latitude") & present("longitude") & F.coalesce(F.col("area_type") == "residential", F.lit(False)) & F.coalesce(F.col("stars") >= 3, F.lit(False))
+    h = hotels.select("id", (contains_any(said, HOTEL_TERMS) & contains_any(said, RESIDENTIAL_TERMS)).alias("mixed"), at_home.alias("at_home")).join(kinds, "id", "left").join(switch, "id", "left").fillna(False, ["as_hotel", "as_rental", "switched"])
+    score = F.when(F.col("as_hotel") & F.col("as_rental"), 3).otherwise(0) + F.when(F.col("mixed"), 2).otherwise(0) + F.when(F.col("at_home"), 3).otherwise(0) + F.when(F.col("switched"), 3).otherwise(0)
     return h.select("id", score.alias("score")).where("score > 0").withColumn("level", level(F.col("score"), 5, 2))
 
 
-def unofficial_only(hotels: DataFrame, listings: DataFrame, platforms: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+def _by_level(df: DataFrame, *then) -> DataFrame:
+    """df with the high ones first, then the medium ones."""
+    return df.orderBy(F.when(F.col("level") == "high", 0).when(F.col("level") == "medium", 1).otherwise(2), *then)
+
+
+def unofficial_only(hotels: DataFrame, listings: DataFrame, platforms: DataFrame, as_of: str, days: int = 30, inactive: bool = False, limit: int | None = None) -> DataFrame:
+    """Hotels that only unofficial platforms list, the oldest listing `days` old or more: all at high risk; by level and id, the first `limit`."""
     counts = listing_counts(listings, platforms).where("official = 0 AND unofficial > 0")
     oldest = listings.groupBy("hotel_id").agg(F.min("first_seen_date").alias("oldest"))
-    j = hotels.join(counts.join(oldest, "hotel_id").withColumnRenamed("hotel_id", "id"), "id").where("operation_status != 'inactive'")
-    return j.where(F.col("oldest").isNull() | (F.col("oldest") <= _days_before(as_of, days))).select("id", "unofficial", F.to_date("oldest").cast("string").alias("oldest"))
+    j = hotels.join(counts.join(oldest, "hotel_id").withColumnRenamed("hotel_id", "id"), "id")
+    j = j if inactive else j.where("operation_status IS NULL OR operation_status != 'inactive'")
+    rows = j.where(F.col("oldest").isNull() | (F.col("oldest") <= _days_before(as_of, days))).select("id", "unofficial", F.to_date("oldest").cast("string").alias("oldest"), F.lit("high").alias("level"))
+    out = _by_level(rows, "id")
+    return out.limit(limit) if limit else out
 
 
-def residential_hotels(hotels: DataFrame) -> DataFrame:
-    """Hotels with coordinates in a residential area that have three stars or more, or none given."""
+def residential_hotels(hotels: DataFrame, least: float = 3, limit: int | None = None) -> DataFrame:
+    """Hotels with coordinates in a residential area that have `least` stars or more, or none given; by stars, highest first, the first `limit`."""
     area = F.concat_ws(" ", "area_type", *[F.get_json_object("additional_info", f"$.{k}") for k in ("area_type", "location_type", "zone_type")])
     s = F.when(present("stars"), F.col("stars"))
-    rows = hotels.where(present("latitude") & present("longitude") & contains_any(area, ["residential"]) & (s.isNull() | (s >= 3)))
-    return rows.select("id", F.when(s >= 4, "high").otherwise("medium").alias("level"))
+    rows = hotels.where(present("latitude") & present("longitude") & contains_any(area, ["residential"]) & (s.isNull() | (s >= least)))
+    out = rows.select("id", "stars", F.when(s >= 4, "high").when(s.isNull() | (s >= 3), "medium").otherwise("low").alias("level")).orderBy(F.coalesce(s, F.lit(0.0)).desc(), "id")
+    return out.limit(limit) if limit else out
 
 
 def name_without_license(hotels: DataFrame) -> DataFrame:

@@ -103,23 +103,26 @@ def _(h, li, p):
     return X.inconsistencies(h, li, p).drop("values")
 
 
+_SAID = "concat_ws(' ', name, CASE WHEN additional_info LIKE '{%' THEN json_extract_string(additional_info, '$.description') END)"
+
+
 @_query("dual_activity", _RISK_VIEWS, f"""WITH k AS (SELECT l.hotel_id AS id, bool_or(platform_name IN ('booking.com', 'expedia', 'hotels.com', 'tripadvisor') OR platform_type LIKE '%hotel%') AS h, bool_or(platform_name IN ('airbnb', 'vrbo', 'booking_apartments') OR regexp_matches(platform_type, 'rental|apartment')) AS r FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id GROUP BY 1),
 s AS (SELECT hotel_id AS id, bool_or(({_any('old_value', X.HOTEL_TERMS)} AND {_any('new_value', X.RESIDENTIAL_TERMS)}) OR ({_any('old_value', X.RESIDENTIAL_TERMS)} AND {_any('new_value', X.HOTEL_TERMS)})) AS s FROM hotel_history WHERE {_any('event_type', ['classification', 'status'])} GROUP BY 1),
-c AS (SELECT x.id, (CASE WHEN h AND r THEN 3 ELSE 0 END + CASE WHEN {_any('name', X.HOTEL_TERMS)} AND {_any('name', X.RESIDENTIAL_TERMS)} THEN 2 ELSE 0 END + CASE WHEN {_any('name', X.RESIDENTIAL_TERMS)} AND stars >= 3 THEN 3 ELSE 0 END + CASE WHEN s THEN 3 ELSE 0 END)::INT AS score FROM hotels x LEFT JOIN k USING (id) LEFT JOIN s USING (id))
+c AS (SELECT x.id, (CASE WHEN h AND r THEN 3 ELSE 0 END + CASE WHEN {_any(_SAID, X.HOTEL_TERMS)} AND {_any(_SAID, X.RESIDENTIAL_TERMS)} THEN 2 ELSE 0 END + CASE WHEN latitude <> 0 AND longitude <> 0 AND area_type = 'residential' AND stars >= 3 THEN 3 ELSE 0 END + CASE WHEN s THEN 3 ELSE 0 END)::INT AS score FROM hotels x LEFT JOIN k USING (id) LEFT JOIN s USING (id))
 SELECT id, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM c WHERE score > 0""")
 def _(*a):
     return X.dual_activity(*a)
 
 
 @_query("unofficial_only", "hotels hotel_listings platforms", f"""WITH li AS (SELECT hotel_id AS id, sum(is_official::INT) AS o, sum(1 - is_official::INT) AS u, min(first_seen_date) AS d FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id GROUP BY 1)
-SELECT id, u::BIGINT AS unofficial, strftime(d, '%Y-%m-%d') AS oldest FROM hotels JOIN li USING (id) WHERE o = 0 AND u > 0 AND operation_status <> 'inactive' AND (d IS NULL OR d <= TIMESTAMP '{LONG_AS_OF} 00:00:00' - INTERVAL 30 DAY)""")
+SELECT id, u::BIGINT AS unofficial, strftime(d, '%Y-%m-%d') AS oldest, 'high' AS level FROM hotels JOIN li USING (id) WHERE o = 0 AND u > 0 AND operation_status IS DISTINCT FROM 'inactive' AND (d IS NULL OR d <= TIMESTAMP '{LONG_AS_OF} 00:00:00' - INTERVAL 30 DAY)""")
 def _(h, li, p):
     return X.unofficial_only(h, li, p, LONG_AS_OF)
 
 
-@_query("residential_hotels", "hotels", "SELECT id, CASE WHEN stars >= 4 THEN 'high' ELSE 'medium' END AS level FROM hotels WHERE latitude <> 0 AND longitude <> 0 AND (area_type = 'residential' OR additional_info LIKE '%zone_type\": \"residential%') AND (stars IS NULL OR stars >= 3)")
+@_query("residential_hotels", "hotels", "SELECT id, stars, CASE WHEN stars >= 4 THEN 'high' WHEN stars < 3 THEN 'low' ELSE 'medium' END AS level FROM hotels WHERE latitude <> 0 AND longitude <> 0 AND (area_type = 'residential' OR additional_info LIKE '%zone_type\": \"residential%') AND (stars IS NULL OR stars >= 1) ORDER BY coalesce(stars, 0) DESC, id LIMIT 100")
 def _(h):
-    return X.residential_hotels(h)
+    return X.residential_hotels(h, 1, 100)
 
 
 @_query("evasion_name_license", "hotels", "SELECT id, 0.8::DOUBLE AS confidence FROM hotels WHERE name LIKE '%hotel%' AND NOT (lower(coalesce(legal_status, '')) LIKE '%hotel%' AND lower(coalesce(legal_status, '')) LIKE '%license%') AND NOT coalesce(additional_info LIKE '%license_no%', false)")
@@ -248,9 +251,14 @@ def _(e):
     return T.owner_changes(e, LONG_AS_OF)
 
 
-@_query("platform_transitions", "hotel_listings platforms", "WITH l AS (SELECT hotel_id, platform_name AS was, lead(platform_name) OVER w AS now, lead(first_seen_date) OVER w AS d FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id WINDOW w AS (PARTITION BY hotel_id ORDER BY first_seen_date, listing_id)) SELECT hotel_id, was, now, strftime(d, '%Y-%m-%d') AS day FROM l WHERE was <> now")
-def _(li, p):
-    return T.platform_transitions(li, p).select("hotel_id", "was", "now", F.to_date("date").cast("string").alias("day"))
+@_query("platform_transitions", "hotel_listings platforms hotel_history", "WITH l AS (SELECT hotel_id, platform_name AS was, lead(platform_name) OVER w AS now, CAST(first_seen_date AS DATE) AS d, CAST(lead(first_seen_date) OVER w AS DATE) AS day FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id WINDOW w AS (PARTITION BY hotel_id ORDER BY first_seen_date, listing_id)), r AS (SELECT DATE '2001-08-01' - INTERVAL 1095 DAY AS a, DATE '2001-08-01' AS b) SELECT hotel_id, was, now, strftime(day, '%Y-%m-%d') AS day, 'Listing Timeline' AS source FROM l, r WHERE now IS NOT NULL AND (d BETWEEN a AND b OR day BETWEEN a AND b)")
+def _(li, p, e):
+    return T.platform_transitions(li, p, e, LONG_AS_OF).select("hotel_id", "was", "now", F.to_date("date").cast("string").alias("day"), "source")
+
+
+@_query("platform_events", "hotel_listings platforms hotel_history", f"SELECT hotel_id, old_value AS was, new_value AS now, strftime(event_date, '%Y-%m-%d') AS day, source FROM hotel_history WHERE (event_type LIKE '%listing%' OR event_type LIKE '%platform%') AND CAST(event_date AS DATE) BETWEEN DATE '{AS_OF}' - INTERVAL 20 DAY AND DATE '{AS_OF}'")
+def _(li, p, e):
+    return T.platform_transitions(li, p, e, AS_OF, 20).select("hotel_id", "was", "now", F.to_date("date").cast("string").alias("day"), "source")
 
 
 @_query("same_day_events", "hotel_history_long", "SELECT strftime(event_date, '%Y-%m-%d') AS day, count(DISTINCT hotel_id) AS hotels, count(*) AS events FROM hotel_history_long GROUP BY 1 HAVING count(DISTINCT hotel_id) >= 2")
@@ -321,7 +329,7 @@ def _(e):
 
 @_query("findings_json", "hotel_history_long hotel_listings platforms", None)
 def _(e, li, p):
-    return T.findings_json(e, T.platform_transitions(li, p), LONG_AS_OF)
+    return T.findings_json(e, T.platform_transitions(li, p, e, LONG_AS_OF), LONG_AS_OF)
 
 
 @_query("archive_captures", "archive_index", "WITH g AS (SELECT *, lag(digest) OVER (PARTITION BY url ORDER BY timestamp) AS was FROM archive_index WHERE statuscode = '200') SELECT url, timestamp, digest, 'web/' || timestamp || '/' || original AS archive_path FROM g WHERE digest IS DISTINCT FROM was")
@@ -342,6 +350,11 @@ def _(e):
     return T.change_report(e)
 
 
+@_query("change_summary", "hotel_history_long hotels", f"WITH t AS (SELECT hotel_id, count(*) AS n FROM hotel_history_long WHERE regexp_matches(lower(event_type), 'name|owner|status|license|platform') AND CAST(event_date AS DATE) >= DATE '{LONG_AS_OF}' - INTERVAL 365 DAY AND hotel_id IN (SELECT id FROM hotels) GROUP BY 1) SELECT (SELECT count(*) FROM hotels) AS total_hotels, count(*) AS hotels_with_changes, sum(n)::BIGINT AS total_changes, round(sum(n) / count(*), 2)::DOUBLE AS average FROM t")
+def _(e, h):
+    return T.change_summary(e, h, LONG_AS_OF)
+
+
 @_query("change_buckets", "hotel_history_long", "WITH n AS (SELECT hotel_id, count(*) AS n FROM hotel_history_long GROUP BY 1) SELECT CASE WHEN n >= 10 THEN '10+' ELSE n::VARCHAR END AS bucket, count(*) AS hotels FROM n GROUP BY 1")
 def _(e):
     return T.change_buckets(e)
@@ -357,7 +370,21 @@ def _(h):
     return T.capture_changes(h, h.withColumns({"address": F.col("city"), "phone": F.concat(F.lit("x"), "phone")}), "id", ["address", "phone"])
 
 
-@_query("dedupe_hotels", "hotels", None)
+def _reach(nodes: str, edges: str) -> str:
+    """SQL tables r(id, root): the smallest id that each of nodes(id) reaches over edges(a, b), given both ways."""
+    return f"r AS (SELECT id, min(root) AS root FROM (WITH RECURSIVE c(id, root) USING KEY (id) AS (SELECT id, id FROM {nodes} UNION SELECT e.b, min(c.root) FROM c JOIN {edges} e ON e.a = c.id JOIN recurring.c AS o ON o.id = e.b WHERE c.root < o.root GROUP BY 1) SELECT * FROM c) GROUP BY 1)"
+
+
+def _dbscan_sql(km: float, least: int, view: str = "hotels") -> str:
+    """SQL tables up to l(id, label) by the rule: core points by their neighbours, components of core points, border points at their smallest."""
+    return f"""WITH p AS MATERIALIZED (SELECT id, latitude, longitude FROM {view} WHERE latitude <> 0 AND longitude <> 0), n AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM p x JOIN p y ON abs(x.latitude - y.latitude) < {km / 100} AND {_KM('x', 'y')} <= {km}),
+core AS MATERIALIZED (SELECT a AS id FROM n GROUP BY 1 HAVING count(*) >= {least}), e AS MATERIALIZED (SELECT a, b FROM n WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), {_reach('core', 'e')},
+m AS (SELECT p.id, coalesce(r.root, (SELECT min(q.root) FROM n JOIN r q ON q.id = n.b WHERE n.a = p.id)) AS root FROM p LEFT JOIN r USING (id)), l AS (SELECT id, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY root NULLS LAST) - 1 END AS label, root FROM m) """
+
+
+@_query("dedupe_hotels", "hotels", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT id, lower(name) AS name, latitude, longitude, row_number() OVER (ORDER BY id) AS i FROM hotels WHERE name <> '' AND latitude <> 0 AND longitude <> 0), n AS MATERIALIZED (SELECT y.i, list(x.id) AS near FROM p x JOIN p y ON x.i < y.i AND (x.name = y.name OR abs(x.latitude - y.latitude) < 0.001 AND {_KM('x', 'y')} < 0.05) GROUP BY 1),
+s(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT s.i + 1, CASE WHEN len(list_intersect(s.kept, coalesce(n.near, []))) > 0 THEN s.kept ELSE list_append(s.kept, p.id) END FROM s JOIN p ON p.i = s.i + 1 LEFT JOIN n ON n.i = p.i)
+SELECT unnest(kept) AS id FROM (SELECT kept FROM s ORDER BY i DESC LIMIT 1) UNION ALL SELECT id FROM hotels WHERE id NOT IN (SELECT id FROM p)""")
 def _(h):
     return R.dedupe(h).select("id")
 
@@ -367,7 +394,14 @@ def _(h):
     return G.property_groups(h, owner(F.col("ownership_info"), F.col("additional_info")))
 
 
-@_query("related_properties", "properties", None)
+_MEAN = " + ".join  # of terms and of weights
+_TERMS = [("0.4", "sn"), ("0.3", "sa"), ("0.3", "sg"), ("0.4", "sp"), ("0.4", "so")]
+
+
+@_query("related_properties", "properties", f"""WITH p AS MATERIALIZED (SELECT id, lower(trim(name)) AS name, lower(trim(address)) AS address, lower(trim(owner)) AS owner, latitude, longitude, nullif(regexp_replace(phone, '[^0-9]', '', 'g'), '') AS d FROM properties),
+t AS (SELECT x.id AS a, y.id AS b, {_SIM('x.name', 'y.name')} AS sn, CASE WHEN x.address IS NOT NULL AND y.address IS NOT NULL THEN {_SIM('x.address', 'y.address')} END AS sa, CASE WHEN x.latitude <> 0 AND y.latitude <> 0 THEN greatest(0, 1 - {_KM('x', 'y')} / 2) END AS sg,
+  CASE WHEN x.d = y.d THEN 1.0 WHEN right(x.d, 6) = right(y.d, 6) THEN 0.9 WHEN right(x.d, 4) = right(y.d, 4) THEN 0.7 END AS sp, {_SIM('x.owner', 'y.owner')} AS so FROM p x JOIN p y ON x.id < y.id),
+g AS MATERIALIZED (SELECT a, b FROM t WHERE ({_MEAN(f"coalesce({w} * {c}, 0)" for w, c in _TERMS)}) / ({_MEAN(f"CASE WHEN {c} IS NULL THEN 0 ELSE {w} END" for w, c in _TERMS)}) >= 0.7), e AS MATERIALIZED (SELECT a, b FROM g UNION ALL SELECT b, a FROM g), {_reach('p', 'e')} SELECT id, root FROM r""")
 def _(p):
     return G.property_links(p, F.col("owner"))
 
@@ -377,24 +411,41 @@ def _(h):
     return R.owner_groups(h, owner(F.col("ownership_info"), F.col("additional_info"))).withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
 
 
-@_query("naming_words", "hotels", "WITH w AS (SELECT unnest(regexp_extract_all(lower(name), '[a-z0-9_]+')) AS word FROM hotels) SELECT word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN ('the', 'and', 'for') GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
+@_query("naming_words", "hotels", "WITH w AS (SELECT unnest(regexp_extract_all(lower(name), '[a-z0-9_]+')) AS word FROM hotels), m AS (SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 50) SELECT word, n FROM m WHERE length(word) > 2 AND word NOT IN ('the', 'and', 'in', 'of', 'for', 'a', 'an', 'on', 'at', 'to', 'by') ORDER BY n DESC, word LIMIT 20")
 def _(h):
     return R.naming_words(h)
 
 
-@_query("naming_patterns", "hotels", "WITH p AS (SELECT unnest(list_filter([CASE WHEN name LIKE '%hotel%' THEN 'hotel' END, CASE WHEN regexp_matches(name, '[0-9]+') THEN 'number' END, CASE WHEN name LIKE '%apartment%' THEN 'apartment' END], lambda x: x IS NOT NULL)) AS pattern FROM hotels) SELECT pattern, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM hotels) AS percent FROM p GROUP BY 1")
+_TERM = "hotel|inn|suites|lodge|resort|apartments|hostel|motel|residence|فندق|نزل|شقق|أجنحة"
+
+
+@_query("naming_patterns", "hotels", rf"""WITH c AS (SELECT '<Name> Hotel/Inn/etc.' AS pattern, '(.+)\s+({_TERM})' AS p UNION ALL SELECT 'Hotel/Inn/etc. <Name>', '({_TERM})\s+(.+)' UNION ALL SELECT 'Al/The <Name>', '(the|al)\s+(.+)'), n AS (SELECT lower(name) AS name FROM hotels WHERE name <> '')
+SELECT pattern, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM n) AS percent FROM n JOIN c ON regexp_matches(n.name, c.p) GROUP BY 1""")
 def _(h):
     return R.naming_patterns(h)
 
 
-@_query("geo_clusters", "hotels", None)
+@_query("geo_clusters", "hotels", _dbscan_sql(0.2, 3) + "SELECT id, label FROM l")
 def _(h):
     return P.dbscan(h, 0.2, 3)
 
 
-@_query("unusual_clusters", "hotels", None)
+@_query("unusual_clusters", "hotels", _dbscan_sql(0.1, 3) + "SELECT label, count(*) AS n FROM l GROUP BY 1")
+def _(h):
+    return P.dbscan(h, 0.1, 3).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@_query("cluster_centres", "properties", _dbscan_sql(0.1, 2, "properties") + ", c AS (SELECT root AS cluster, count(*) AS n, count(*) FILTER (id IN (SELECT id FROM core)) AS cores, avg(latitude) AS y, avg(longitude) AS x FROM l JOIN p USING (id) GROUP BY 1) SELECT cluster, n, cores, CASE WHEN cluster IS NOT NULL THEN round(y, 6) END AS latitude, CASE WHEN cluster IS NOT NULL THEN round(x, 6) END AS longitude FROM c")
+def _(p):
+    c = P.cluster_centres(p, P.density(p, 0.1, 2))
+    return c.select("cluster", "n", "cores", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+
+
+@_query("radius_clusters", "hotels", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT id, latitude, longitude, row_number() OVER (ORDER BY id) AS i FROM hotels WHERE latitude <> 0 AND longitude <> 0), n AS MATERIALIZED (SELECT y.i, list(x.id) AS near, y.id FROM p x JOIN p y ON x.i < y.i AND abs(x.latitude - y.latitude) < 0.001 AND {_KM('x', 'y')} <= 0.1 GROUP BY 1, 3),
+s(i, seeds) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT s.i + 1, CASE WHEN len(list_intersect(s.seeds, coalesce(n.near, []))) > 0 THEN s.seeds ELSE list_append(s.seeds, p.id) END FROM s JOIN p ON p.i = s.i + 1 LEFT JOIN n ON n.i = p.i), f AS (SELECT seeds FROM s ORDER BY i DESC LIMIT 1),
+o AS (SELECT p.id, CASE WHEN list_contains(f.seeds, p.id) THEN p.id ELSE list_min(list_intersect(f.seeds, n.near)) END AS label FROM p CROSS JOIN f LEFT JOIN n ON n.i = p.i) SELECT id, label FROM o WHERE label IN (SELECT label FROM o GROUP BY 1 HAVING count(*) >= 3)""")
 def _(h):
-    return P.dbscan(h, 0.1, 6).groupBy("label").agg(F.count("*").alias("n"))
+    return P.radius_clusters(h, 0.1, 3)
 
 
 _KIND = "CASE WHEN tourism IN ('hotel', 'apartment', 'guest_house', 'hostel') THEN tourism WHEN tourism IS NULL AND building = 'hotel' THEN 'hotel' WHEN tourism IS NULL AND building = 'apartments' THEN 'apartment_building' WHEN tourism IS NULL AND building IS NULL AND amenity = 'hotel' THEN 'hotel' ELSE 'unknown' END"
@@ -402,7 +453,7 @@ _SURE = "CASE WHEN tourism = 'hotel' THEN 0.9 WHEN tourism = 'apartment' THEN 0.
 
 
 @_query("osm_classify", "osm_elements", f"""SELECT osm_id, {_KIND} AS kind, {_SURE} AS confidence, CASE WHEN landuse = 'commercial' THEN 'commercial_area' WHEN shop IS NOT NULL THEN 'shopping_area' WHEN amenity = 'marketplace' THEN 'marketplace' ELSE 'unknown' END AS zone,
-(CASE WHEN landuse = 'commercial' THEN 300 WHEN shop IN ('mall', 'supermarket', 'department_store') THEN 200 WHEN shop IS NOT NULL THEN 100 WHEN amenity = 'marketplace' THEN 200 ELSE 100 END)::INT AS radius, CASE WHEN house_number IS NOT NULL OR street IS NOT NULL THEN concat_ws(', ', house_number, street, place) ELSE '' END AS address FROM osm_elements""")
+(CASE WHEN landuse = 'commercial' THEN 300 WHEN shop IN ('mall', 'supermarket', 'department_store') THEN 200 WHEN shop IS NOT NULL THEN 100 WHEN amenity = 'marketplace' THEN 200 ELSE 100 END)::INT AS radius, CASE WHEN house_number IS NOT NULL OR street IS NOT NULL THEN concat_ws(', ', house_number, street, place, postcode) ELSE '' END AS address FROM osm_elements""")
 def _(o):
     return Z.osm_classified(o)
 
@@ -559,7 +610,7 @@ def _(h):
 
 @_query("smart_discovery", "hotels", None)
 def _(h):
-    return D.smart_discovery(h, 24.0105, 46.0135, most_points=4).select("id")
+    return D.smart_discovery(h, 24.0105, 46.0135).select("id")
 
 
 @_query("city_scan", "hotels", None)
@@ -612,9 +663,9 @@ def _(h):
     return reports.map_points(h.withColumn("risk_level", level))
 
 
-@_query("recommendations", _RISK_VIEWS, f"WITH c AS (SELECT factor, n FROM {_of('risk_factor_counts')} ORDER BY n DESC, factor LIMIT 3), a(factor, advice, priority) AS (VALUES {', '.join(f'({k!r}, {v[0]!r}, {v[1]!r})' for k, v in reports.ADVICE.items())}) SELECT factor, n, advice, priority FROM c JOIN a USING (factor)")
+@_query("recommendations", _RISK_VIEWS, f"WITH c AS (SELECT factor, n FROM {_of('risk_factor_counts')} ORDER BY n DESC, factor LIMIT 3), a(factor, advice, priority) AS (VALUES {', '.join(f'({k!r}, {v[0]!r}, {v[1]!r})' for k, v in reports.ADVICE.items())}) SELECT factor, n, advice, priority FROM c JOIN a USING (factor) UNION ALL SELECT 'high_risk', high, 'immediate_verification', 'high' FROM {_of('violations_summary')} WHERE high > 0 UNION ALL SELECT 'medium_risk', medium, 'scheduled_verification', 'medium' FROM {_of('violations_summary')} WHERE medium > 0")
 def _(*a):
-    return reports.recommendations(X.factor_counts(_risk(*a)))
+    return reports.recommendations(X.factor_counts(_risk(*a)), X.violations_summary(_risk(*a)))
 
 
 @_query("private_search", "hotels hotel_listings platforms", "SELECT id FROM hotels WHERE city <> '' AND id NOT IN (SELECT hotel_id FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id WHERE NOT is_official) AND website <> ''")
@@ -645,7 +696,7 @@ def _(t):
 @_query("rf_classifier", "training_samples", None)
 def _(t):
     learn, held = C.split(C.features(t), "doc_id")
-    return C.metrics(C.classified(C.train(learn, trees=20), held))
+    return C.metrics(C.classified(C.train(learn), held))
 
 
 @_query("kmeans_reviews", "stay_reviews", None)

@@ -77,7 +77,7 @@ SELECT p_partkey AS osm_id, CASE WHEN p_size % 3 = 0 THEN 'way' ELSE 'node' END
   CASE WHEN p_size % 11 = 0 THEN 'marketplace' WHEN p_size % 11 = 1 THEN 'museum' ELSE NULL END AS amenity, CASE WHEN p_size % 13 = 0 THEN 'castle' ELSE NULL END AS historic,
   CASE WHEN p_size % 17 = 0 THEN 'park' ELSE NULL END AS leisure, CASE WHEN p_size % 2 = 0 THEN 'en:' || p_name ELSE NULL END AS wikipedia, CASE WHEN p_size % 10 = 1 THEN 'Q' || CAST(p_partkey AS VARCHAR(12)) ELSE NULL END AS wikidata,
   CASE WHEN p_size % 4 = 1 THEN 'http://e.example.com' ELSE NULL END AS website, CASE WHEN p_size % 6 = 0 THEN p_type ELSE NULL END AS description,
-  CASE WHEN p_size % 3 = 1 THEN CAST(p_size AS VARCHAR(4)) ELSE NULL END AS house_number, CASE WHEN p_size % 4 < 2 THEN p_brand || ' street' ELSE NULL END AS street, 'Riyadh' AS place, CAST(NULL AS VARCHAR(5)) AS postcode
+  CASE WHEN p_size % 3 = 1 THEN CAST(p_size AS VARCHAR(4)) ELSE NULL END AS house_number, CASE WHEN p_size % 4 < 2 THEN p_brand || ' street' ELSE NULL END AS street, 'Riyadh' AS place, CASE WHEN p_size % 9 = 0 THEN CAST(11000 + p_size AS VARCHAR(8)) ELSE NULL END AS postcode
 FROM @part
 """,
     "stay_reviews": r"""
@@ -115,7 +115,7 @@ SELECT c_custkey AS id, substr(md5('n' || CAST(c_custkey - c_custkey % 6 AS VARC
 FROM @customer
 """,
     "training_samples": r"""
-SELECT d.doc_id, substr(d.text, 1, 60) AS name, d.text AS description, d.source AS category, CAST(d.n_chars % 50 AS DOUBLE) / 10 AS rating, l.quality AS is_hotel
+SELECT d.doc_id, d.text AS name, d.text AS description, d.source AS category, CAST(d.n_chars % 50 AS DOUBLE) / 10 AS rating, l.quality AS is_hotel
 FROM @documents d JOIN @labels l ON l.doc_id = d.doc_id
 """,
     "hotel_history_long": r"""
@@ -143,4 +143,6 @@ def with_views(sql: str, *names: str) -> str:
     """DuckDB's query: the views as common table expressions before sql, which may go on with more after WITH."""
     parts = ", ".join(f"{n} AS ({_TABLE.sub(lambda m: m[1], VIEWS[n]).strip()})" for n in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts}, {body[15:]}"
     return f"WITH {parts}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {parts} {body}"

@@ -49,14 +49,16 @@ def export_map(hotels: DataFrame, path: str, title: str = "Hotels") -> None:
         f.write(_page(title, f'<p>Centre: {c["y"]:.6f}, {c["x"]:.6f}</p><svg viewBox="-10 -10 820 620">{dots}</svg><script type="application/geo+json">{data}</script>'))
 
 
-def recommendations(factors: DataFrame, top: int = 3) -> DataFrame:
-    """(factor, n, advice, priority) of the `top` factors found most, of (factor, n)."""
+def recommendations(factors: DataFrame, levels: DataFrame, top: int = 3) -> DataFrame:
+    """(factor, n, advice, priority): verification of the high-risk and the medium-risk hotels, if there are any, and what the `top` factors found most call for. factors: (factor, n); levels: one row with high and medium."""
     known = factors.sparkSession.createDataFrame([(k, *v) for k, v in ADVICE.items()], "factor string, advice string, priority string")
-    return factors.orderBy(F.desc("n"), "factor").limit(top).join(F.broadcast(known), "factor")
+    own = factors.orderBy(F.desc("n"), "factor").limit(top).join(F.broadcast(known), "factor")
+    general = F.array(*[F.struct(F.lit(f"{c}_risk").alias("factor"), F.col(c).alias("n"), F.lit(a).alias("advice"), F.lit(c).alias("priority")) for c, a in (("high", "immediate_verification"), ("medium", "scheduled_verification"))])
+    return own.unionByName(levels.select(F.explode(general).alias("x")).select("x.*").where("n > 0"))
 
 
 def export_violations(summary: DataFrame, rows: DataFrame, factors: DataFrame, path: str, title: str = "Violations") -> None:
-    parts = [("Summary", summary), ("Factors", factors.orderBy(F.desc("n"), "factor")), ("Recommendations", recommendations(factors)), ("Hotels", rows)]
+    parts = [("Summary", summary), ("Factors", factors.orderBy(F.desc("n"), "factor")), ("Recommendations", recommendations(factors, summary)), ("Hotels", rows)]
     with open(path, "w", encoding="utf-8") as f:
         f.write(_page(title, "".join(f"<h2>{t}</h2>{_table(df)}" for t, df in parts)))
 
