@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_km, present, similarity
 from ..sources.tables import federated
-from .graphs import checkpointed, greedy
+from .graphs import checkpointed, greedy, settled
 from .resolve import dedupe, grid_points, within_boxes
 from .reviews import potential_hotel
 from .search import nearby
@@ -142,6 +142,40 @@ def smart_discovery(source: DataFrame, latitude: float, longitude: float, metres
     return found
 
 
+def frontier_discovery(source: DataFrame, latitude: float, longitude: float, metres: float = 1000, most_metres: float = 5000, most_points: int = 20, most_hotels: int = 1000, most_seconds: float = 3600, per_point: int | None = 5, apart_km: float = 1.0, km: float = 0.05) -> DataFrame:
+    """Records found by spreading from a place, a level at a time: all points of a level are searched together, and the places of new records, `apart_km` or more from all points searched
+    before, are the next level's, with radii half as large again up to most_metres. Repeats, by the registry's rule, are left out.
+
+    Budgets: of a point the first per_point new places by id (None: all) are searched, most_points points at all, in the order of level and id; after a level that brings the records to
+    most_hotels, or ends past most_seconds, none follows. Points and records stay in Spark; a round is a level, so there are about as many as the radius fits into what is found.
+    """
+    import time
+
+    spark, began = source.sparkSession, time.monotonic()
+    rows = checkpointed(source.where(present("latitude") & present("longitude")))
+    level = checkpointed(spark.createDataFrame([(0, float(latitude), float(longitude), float(metres))], "zone long, z_lat double, z_lon double, radius double"))
+    visited, found, points, reach = level, None, 1, float(metres)
+    while True:
+        near = within_boxes(rows.select("id", "latitude", "longitude"), level, reach / 1000).where(F.col("km") * 1000 <= F.col("radius"))
+        first = near.groupBy("id").agg(F.min("zone").alias("zone"))
+        here = rows.join(first.select("id"), "id", "left_semi") if found is None else rows.join(first.select("id"), "id", "left_semi").join(found.select("id"), "id", "left_anti")
+        new = settled(dedupe(here if found is None else incremental(here, found, km), km))
+        found = new if found is None else settled(found.unionByName(new))
+        if points >= most_points or new.isEmpty() or found.count() >= most_hotels or time.monotonic() - began > most_seconds:
+            return found
+        spots = new.join(first, "id").join(level.select("zone", "radius"), "zone").where(F.col("radius") <= most_metres).groupBy("latitude", "longitude").agg(F.min(F.struct("id", "zone", "radius")).alias("x")).select("latitude", "longitude", "x.*")
+        known = within_boxes(spots.select("id", "latitude", "longitude"), visited.select("zone", "z_lat", "z_lon"), apart_km).where(F.col("km") < apart_km).select("id").distinct()
+        spots = spots.join(known, "id", "left_anti")
+        if per_point is not None:
+            spots = spots.withColumn("_k", F.row_number().over(Window.partitionBy("zone").orderBy("id"))).where(F.col("_k") <= per_point)
+        wide = F.least(F.col("radius") * 1.5, F.lit(float(most_metres)))
+        level = settled(spots.select(F.col("id").alias("zone"), F.col("latitude").alias("z_lat"), F.col("longitude").alias("z_lon"), wide.alias("radius")).orderBy("zone").limit(most_points - points))
+        n = level.count()
+        if n == 0:
+            return found
+        points, reach, visited = points + n, min(reach * 1.5, float(most_metres)), settled(visited.unionByName(level))
+
+
 def city_scan(source: DataFrame, latitude: float, longitude: float, metres: float = 10000, most: int = 16) -> DataFrame:
     """Records within the circles of a square grid over a city, each once, without repeats."""
     g = grid_points(source.sparkSession, latitude, longitude, metres, most)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reviews import page_fields
-from .temporal import DOWNGRADES  # noqa: F401  (the rules over values live there)
 
 # fixed values
 PERMIT_KEYS = ["permit", "license", "certification"]
@@ -28,9 +27,8 @@ def paths(df: DataFrame, data: str, ids: list[str]) -> DataFrame:
         deeper = open_.where(inner)
         if deeper.isEmpty():
             return out
-        deeper.createOrReplaceTempView("_innsight_open")
         step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
-        exploded = deeper.sparkSession.sql("SELECT o.*, e.pos, e.key, e.value AS inner_v FROM _innsight_open o, LATERAL variant_explode(o.v) e")
+        exploded = deeper.sparkSession.sql("SELECT o.*, e.pos, e.key, e.value AS inner_v FROM {o} o, LATERAL variant_explode(o.v) e", o=deeper)
         open_ = exploded.select(*ids, F.concat("path", step).alias("path"), F.col("inner_v").alias("v"))
     raise ValueError(f"texts are nested deeper than {_MOST_DEPTH} levels")
 
@@ -66,6 +64,6 @@ def snapshot_changes(snapshots: DataFrame, html: str = "html", key: str = "url",
 
 def listed_permits(hotels: DataFrame, data: str = "additional_info") -> DataFrame:
     """(id, type, value, source): permits that a hotel's own JSON tells of, by the names of its fields at the top; nested values as JSON."""
-    hotels.select("id", F.try_parse_json(data).alias("v")).where("v IS NOT NULL AND startswith(schema_of_variant(v), 'OBJECT<')").createOrReplaceTempView("_innsight_info")
-    rows = hotels.sparkSession.sql("SELECT i.id, e.key AS type, coalesce(try_variant_get(e.value, '$', 'string'), to_json(e.value)) AS value FROM _innsight_info i, LATERAL variant_explode(i.v) e")
+    info = hotels.select("id", F.try_parse_json(data).alias("v")).where("v IS NOT NULL AND startswith(schema_of_variant(v), 'OBJECT<')")
+    rows = hotels.sparkSession.sql("SELECT i.id, e.key AS type, coalesce(try_variant_get(e.value, '$', 'string'), to_json(e.value)) AS value FROM {i} i, LATERAL variant_explode(i.v) e", i=info)
     return rows.where(F.lower("type").rlike("|".join(PERMIT_KEYS))).withColumn("source", F.lit("Hotel Data"))

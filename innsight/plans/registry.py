@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import owner, phone_similarity, present, similarity
 from ..operators import classify as C
 from ..operators import discovery as D
+from ..operators import graphs
 from ..operators import groups as G
+from ..operators import nested as N
 from ..operators import resolve as R
 from ..operators import reviews as V
 from ..operators import search as S
@@ -15,7 +19,7 @@ from ..operators import space as P
 from ..operators import temporal as T
 from ..operators import violations as X
 from ..operators import zones as Z
-from ..sources import reports, tables
+from ..sources import cards, reports, tables, versions
 from .views import frame, with_views
 
 AS_OF, LONG_AS_OF = "2024-02-01", "2001-08-01"
@@ -613,6 +617,26 @@ def _(h):
     return D.smart_discovery(h, 24.0105, 46.0135).select("id")
 
 
+@_query("frontier_discovery", "hotels", None)
+def _(h):
+    return D.frontier_discovery(h, 24.0105, 46.0135).select("id")
+
+
+@_query("listed_permits", "hotels", """WITH j AS (SELECT id, additional_info AS a, unnest(json_keys(additional_info)) AS k FROM hotels WHERE json_valid(additional_info)) SELECT id, k AS type, json_extract_string(a, '$."' || k || '"') AS value, 'Hotel Data' AS source FROM j WHERE regexp_matches(lower(k), 'permit|license|certification')""")
+def _(h):
+    return N.listed_permits(h)
+
+
+@_query("stored_upsert", "hotels", "SELECT id, CASE WHEN id % 50 = 0 THEN 'renamed' ELSE name END AS name, city, 'hotels' AS kind FROM hotels WHERE id % 7 <> 0 OR id % 50 = 0 UNION ALL SELECT id, 'name_change', CASE WHEN id % 7 <> 0 THEN name END, 'change' FROM hotels WHERE id % 50 = 0 AND id % 7 <> 0 UNION ALL SELECT id, 'created', NULL, 'change' FROM hotels WHERE id % 50 = 0 AND id % 7 = 0")
+def _(h):
+    path = f"{graphs.shared_dir(h.sparkSession)}/stored-{uuid.uuid4().hex}"
+    rows = h.select("id", "name", "city")
+    versions.create(rows.where("id % 7 != 0"), path)
+    versions.merge(rows.where("id % 50 = 0").withColumn("name", F.lit("renamed")), path)
+    changes = versions.history(h.sparkSession, path).select("id", F.col("event_type").alias("name"), F.col("old_value").alias("city"), F.lit("change").alias("kind"))
+    return versions.read(h.sparkSession, path).withColumn("kind", F.lit("hotels")).unionByName(changes)
+
+
 @_query("city_scan", "hotels", None)
 def _(h):
     return D.city_scan(h, 24.03, 46.04, 5000).select("id")
@@ -715,3 +739,21 @@ _FIRST = lambda *ps: f"coalesce({', '.join(f"nullif(trim(regexp_extract(html, '{
 ORACLE_SQL["page_extract"] = f"""SELECT page_id, {_FIRST(('(?is)<title[^>]*>(.*?)</title>', 1))} AS title, {_FIRST(('[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 0))} AS email, {_FIRST(('[+][0-9][0-9 -]{7,14}[0-9]', 0))} AS phone,
 {_FIRST(('(?is)<address[^>]*>([^<]+)</address>', 1), (r'(?i)address:\s*([^<\n]{5,100})', 1))} AS address, {_FIRST((r'(?i)([1-5])[ -]?stars?\b', 1), (r'(?i)rating:\s*([0-9](?:[.][0-9])?)', 1), (r'([0-9](?:[.][0-9])?)\s*/\s*(?:5|10)\b', 1))} AS stars,
 {_FIRST((r'(?i)(?:facilities|amenities):\s*([^<\n]{3,200})', 1))} AS facilities, {_FIRST((r'(?i)(?:owned|operated|managed) by\s+([^<.\n]{2,80})', 1), (r'(?i)owner:\s*([^<\n]{2,80})', 1))} AS owner FROM pages"""
+
+
+QUERIES["page_links"] = lambda spark, sf_dir: cards.link_cards(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")).select("page_id", "place", "name", "url")
+ORACLE_SQL["page_links"] = r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS li, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), 1) AS i FROM pages)
+SELECT page_id, (i - 1)::INT AS place, nullif(trim(replace(regexp_extract(li, '>([^<>]*)</a>', 1), '&amp;', '&')), '') AS name, replace(regexp_extract(li, 'href="([^"]*)"', 1), '&amp;', '&') AS url FROM l"""
+
+
+def _page_changes(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") % 20).alias("site"), "page_id", "html")
+    return N.snapshot_changes(T.snapshot_sample(pages, "site", "page_id"), "html", "site", "page_id")
+
+
+QUERIES["page_changes"] = _page_changes
+ORACLE_SQL["page_changes"] = f"""WITH s AS (SELECT page_id % 20 AS site, page_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY page_id % 20) AS n FROM pages WINDOW w AS (PARTITION BY page_id % 20 ORDER BY page_id)),
+k AS (SELECT site, page_id FROM s WHERE n <= 2 OR i = 0 OR i = n - 1 OR (n <= 5 AND i = n // 2) OR (n > 5 AND i >= n // 4 AND i % greatest(n // 4, 1) = 0)),
+f AS (SELECT site, k.page_id, title, phone AS contact_phone, email AS contact_email, address AS contact_address, stars AS hotel_stars, facilities AS hotel_facilities, owner AS hotel_owner FROM k JOIN ({ORACLE_SQL['page_extract']}) x USING (page_id)),
+x AS (SELECT site, page_id, dense_rank() OVER (PARTITION BY site ORDER BY page_id) AS j, unnest(['title', 'contact_phone', 'contact_email', 'contact_address', 'hotel_stars', 'hotel_facilities', 'hotel_owner']) AS field, unnest([title, contact_phone, contact_email, contact_address, hotel_stars, hotel_facilities, hotel_owner]) AS value FROM f), u AS (SELECT * FROM x)
+SELECT b.site, b.page_id, b.field || '_change' AS type, a.value AS old, b.value AS new FROM u a JOIN u b ON a.site = b.site AND a.field = b.field AND b.j = a.j + 1 WHERE a.value IS DISTINCT FROM b.value"""

@@ -162,8 +162,10 @@ def test_reports_escape_texts(spark, tmp_path):
     reports.export_timeline(temporal.timeline(events), str(tmp_path / "t.html"))
     assert "a&lt;b" in (tmp_path / "t.html").read_text(encoding="utf-8")
     n = spark.createDataFrame([("missing_fields", 3)], "factor string, n long")
-    reports.export_violations(spark.range(1), hotels, n, str(tmp_path / "v.html"))
-    assert "data_collection" in (tmp_path / "v.html").read_text(encoding="utf-8")
+    summary = spark.createDataFrame([(5, 2, 0, 3)], "total long, high long, medium long, low long")
+    reports.export_violations(summary, hotels, n, str(tmp_path / "v.html"))
+    page = (tmp_path / "v.html").read_text(encoding="utf-8")
+    assert "data_collection" in page and "immediate_verification" in page and "scheduled_verification" not in page
 
 
 def test_classifier_learns_saves_and_loads(spark, tmp_path):
@@ -194,3 +196,52 @@ def test_settings_keep_their_file(tmp_path):
     assert Settings(str(tmp_path / "s.json")).get("search", "max_results") == 5
     s.reset("search")
     assert Settings(str(tmp_path / "s.json")).get("search", "max_results") == 100
+
+
+def test_frontier_reaches_what_the_queue_reaches(spark):
+    """Without budgets both find all of a grid that can be reached, and none of what lies beyond."""
+    d = 0.8 / 111.0
+    rows = [(i * 25 + j, f"h{i}_{j}", 24 + i * d, 46 + j * d) for i in range(20) for j in range(25) if not (i == 12 and j != 3)] + [(9000 + k, f"far{k}", 26 + k * d, 46.0) for k in range(5)]
+    place = {r[0]: r[2:] for r in rows}
+    queue, visited, want = [((24.0, 46.0), 5.0)], [], set()
+    while queue:
+        at, radius = queue.pop(0)
+        if at in visited:
+            continue
+        visited.append(at)
+        new = [i for i, p in place.items() if i not in want and km(at, p) <= radius]
+        want |= set(new)
+        queue += [(place[i], min(radius * 1.5, 5.0)) for i in new if all(km(place[i], v) >= 0.5 for v in visited)]
+    df = spark.createDataFrame(rows, "id long, name string, latitude double, longitude double")
+    found = discovery.frontier_discovery(df, 24.0, 46.0, 5000, 5000, 10**6, 10**6, per_point=None, apart_km=0.5)
+    assert {r["id"] for r in found.collect()} == want and 400 < len(want) < len(rows)
+    assert discovery.frontier_discovery(df, 24.0, 46.0, 1000, most_seconds=-1).count() == 3 and discovery.frontier_discovery(df, 10.0, 10.0).count() == 0
+
+
+def test_plan_and_fan_out(spark):
+    schema = "id long, place_id string, name string, category string, latitude double, longitude double"
+    official = spark.createDataFrame([(1, "a", "Grand Hotel", "hotel", 24.0, 46.0)], schema)
+    lodging = spark.createDataFrame([(2, "a", "Grand Hotel", "hotel", 24.0, 46.0), (3, "b", "Inn", "hotel", 24.1, 46.0)], schema)
+    buildings = spark.createDataFrame([(4, "c", "Furnished apartments", "building", 24.2, 46.0), (5, "d", "Bakery", "shop", 24.3, 46.0)], schema)
+    details = spark.createDataFrame([("a", "Grand Hotel Riyadh", "1"), ("c", "Apartments", "2")], "place_id string, name string, phone string")
+    got = {r["place_id"]: (r["id"], r["name"], r["phone"]) for r in discovery.place_scan(official, lodging, buildings, details).collect()}
+    assert got == {"a": (1, "Grand Hotel Riyadh", "1"), "c": (4, "Apartments", "2")}
+    both = discovery.fan_out(spark, {"x": spark.range(2), "y": spark.range(3).withColumn("price", F.lit(1.0))})
+    assert {(r["platform"], r["n"]) for r in both.groupBy("platform").agg(F.count("*").alias("n")).collect()} == {("x", 2), ("y", 3)} and both.where("platform = 'x' AND price IS NULL").count() == 2
+
+
+def test_dual_activity_by_description_and_place(spark):
+    hotels = spark.createDataFrame([(1, "Grand", '{"description": "A HOTEL with flat rooms"}', None, None, None, 5.0), (2, "x", "not json", "residential", 24.0, 46.0, 3.0), (3, "Hotel apartment", None, "residential", None, None, 5.0), (4, "apartment", None, "commercial", 24.0, 46.0, 5.0)], "id long, name string, additional_info string, area_type string, latitude double, longitude double, stars double")
+    history = spark.createDataFrame([(2, "status_change", "hotel", "Home")], "hotel_id long, event_type string, old_value string, new_value string")
+    listed = spark.createDataFrame([(4, "b"), (4, "a")], "hotel_id long, platform_id string")
+    platforms = spark.createDataFrame([("a", "airbnb", "rental"), ("b", "booking.com", "hotel")], "id string, platform_name string, platform_type string")
+    got = {r["id"]: (r["score"], r["level"]) for r in violations.dual_activity(hotels, history, listed, platforms).collect()}
+    assert got == {1: (2, "medium"), 2: (6, "high"), 3: (2, "medium"), 4: (3, "medium")}
+
+
+def test_present_goes_by_type(spark):
+    from innsight.functions.scalars import present
+
+    df = spark.createDataFrame([("0", 0.0, 0, None), ("", 0.5, 1, "x"), ("0.0", None, None, "")], "a string, b double, c long, d string")
+    got = [tuple(r) for r in df.select(*[present(c).alias(c) for c in "abcd"]).collect()]
+    assert got == [(True, False, False, False), (False, True, True, True), (True, False, False, False)]
