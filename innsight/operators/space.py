@@ -157,7 +157,7 @@ def first_wins(rows: DataFrame, km: float, closed: bool = False) -> DataFrame:
         for c in ("key", "cell"):
             least = open_.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias("least"))
             firsts = firsts.join(least, c, "left").where("coalesce(id = least, true)").drop("least")
-        firsts = settled(firsts.select("id", "key", "latitude", "longitude", "cell"))
+        firsts = firsts.select("id", "key", "latitude", "longitude", "cell")
         some = firsts.where("cell IS NOT NULL").select("id", "latitude", "longitude", "cell")
         blocked = _near(some, adjacent, open_.where("cell IS NOT NULL").select("id", "latitude", "longitude", "cell"), km, closed).where("b_id < a_id").select(F.col("a_id").alias("id")).distinct()
         stays = settled(firsts.join(blocked, "id", "left_anti"))
