@@ -110,6 +110,19 @@ def _(h, li, p):
 _SAID = "concat_ws(' ', name, CASE WHEN additional_info LIKE '{%' THEN json_extract_string(additional_info, '$.description') END)"
 
 
+_VALUES = " UNION ALL ".join(f"SELECT id, '{c}' AS field, lower({c}) AS value, source FROM s WHERE {c} <> ''" for c in ("name", "address", "phone", "email", "website"))
+
+
+@_query("inconsistent_values", "hotels hotel_listings platforms", f"""WITH l AS (SELECT l.*, platform_name, row_number() OVER (PARTITION BY l.hotel_id, p.platform_name ORDER BY l.listing_id DESC) AS r FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id),
+s AS (SELECT id, 'registry' AS source, name, address, phone, email, website FROM hotels UNION ALL SELECT hotel_id, platform_name, name, address, phone, email, website FROM l WHERE r = 1), v AS ({_VALUES})
+SELECT id, field, value, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT * FROM v) WHERE id IN (SELECT id FROM {_of("inconsistencies")}) GROUP BY 1, 2, 3""")
+def _(h, li, p):
+    """Each value of the fields of hotels that disagree, with the sources that give it."""
+    found = X.inconsistencies(h, li, p)
+    given = lambda c: F.transform(F.col("values")[c], lambda x: F.struct(F.lit(c).alias("field"), x["value"].alias("value"), x["source"].alias("source")))
+    return found.select("id", F.explode(F.concat(*map(given, ("name", "address", "phone", "email", "website")))).alias("x")).select("id", "x.*").groupBy("id", "field", "value").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
 @_query("dual_activity", _RISK_VIEWS, f"""WITH k AS (SELECT l.hotel_id AS id, bool_or(platform_name IN ('booking.com', 'expedia', 'hotels.com', 'tripadvisor') OR platform_type LIKE '%hotel%') AS h, bool_or(platform_name IN ('airbnb', 'vrbo', 'booking_apartments') OR regexp_matches(platform_type, 'rental|apartment')) AS r FROM hotel_listings l JOIN platforms p ON p.id = l.platform_id GROUP BY 1),
 s AS (SELECT hotel_id AS id, bool_or(({_any('old_value', X.HOTEL_TERMS)} AND {_any('new_value', X.RESIDENTIAL_TERMS)}) OR ({_any('old_value', X.RESIDENTIAL_TERMS)} AND {_any('new_value', X.HOTEL_TERMS)})) AS s FROM hotel_history WHERE {_any('event_type', ['classification', 'status'])} GROUP BY 1),
 c AS (SELECT x.id, (CASE WHEN h AND r THEN 3 ELSE 0 END + CASE WHEN {_any(_SAID, X.HOTEL_TERMS)} AND {_any(_SAID, X.RESIDENTIAL_TERMS)} THEN 2 ELSE 0 END + CASE WHEN latitude <> 0 AND longitude <> 0 AND area_type = 'residential' AND stars >= 3 THEN 3 ELSE 0 END + CASE WHEN s THEN 3 ELSE 0 END)::INT AS score FROM hotels x LEFT JOIN k USING (id) LEFT JOIN s USING (id))
@@ -393,23 +406,29 @@ def _(h):
     return R.dedupe(h).select("id")
 
 
-@_query("property_groups", "hotels", None)
-def _(h):
-    return G.property_groups(h, owner(F.col("ownership_info"), F.col("additional_info")))
+_TERMS = [("0.4", "sn"), ("0.3", "sa"), ("0.3", "sg"), ("0.4", "sp"), ("0.4", "so")]
 
 
-_MEAN = " + ".join  # of terms and of weights
-_TERMS = [("0.4", "sn"), ("0.3", "sa"), ("0.3", "sg"), ("0.4", "sp"), ("0.4", "so")]
+def _related_sql(view: str, own: str) -> str:
+    """SQL tables up to r(id, root) by the rule: all pairs, the weighted mean of the terms that both have, components."""
+    total, weights = (" + ".join(x) for x in zip(*((f"coalesce({w} * {c}, 0)", f"CASE WHEN {c} IS NULL THEN 0 ELSE {w} END") for w, c in _TERMS)))
+    like = lambda c: f"CASE WHEN x.{c} <> '' AND y.{c} <> '' THEN {_SIM(f'x.{c}', f'y.{c}')} END"
+    return f"""WITH p AS MATERIALIZED (SELECT id, lower(trim(name)) AS name, lower(trim(address)) AS address, lower(trim({own})) AS owner, latitude, longitude, nullif(regexp_replace(phone, '[^0-9]', '', 'g'), '') AS d FROM {view}),
+t AS (SELECT x.id AS a, y.id AS b, {like('name')} AS sn, {like('address')} AS sa, CASE WHEN x.latitude <> 0 AND y.latitude <> 0 THEN greatest(0, 1 - {_KM('x', 'y')} / 2) END AS sg,
+  CASE WHEN x.d = y.d THEN 1.0 WHEN least(length(x.d), length(y.d)) < 6 THEN NULL WHEN right(x.d, 6) = right(y.d, 6) THEN 0.9 WHEN right(x.d, 4) = right(y.d, 4) THEN 0.7 END AS sp, {like('owner')} AS so FROM p x JOIN p y ON x.id < y.id),
+g AS MATERIALIZED (SELECT a, b FROM t WHERE ({total}) / nullif({weights}, 0) >= 0.7), e AS MATERIALIZED (SELECT a, b FROM g UNION ALL SELECT b, a FROM g), {_reach('p', 'e')} """
 
 
-@_query("related_properties", "properties", f"""WITH p AS MATERIALIZED (SELECT id, lower(trim(name)) AS name, lower(trim(address)) AS address, lower(trim(owner)) AS owner, latitude, longitude, nullif(regexp_replace(phone, '[^0-9]', '', 'g'), '') AS d FROM properties),
-t AS (SELECT x.id AS a, y.id AS b, {_SIM('x.name', 'y.name')} AS sn, CASE WHEN x.address IS NOT NULL AND y.address IS NOT NULL THEN {_SIM('x.address', 'y.address')} END AS sa, CASE WHEN x.latitude <> 0 AND y.latitude <> 0 THEN greatest(0, 1 - {_KM('x', 'y')} / 2) END AS sg,
-  CASE WHEN x.d = y.d THEN 1.0 WHEN right(x.d, 6) = right(y.d, 6) THEN 0.9 WHEN right(x.d, 4) = right(y.d, 4) THEN 0.7 END AS sp, {_SIM('x.owner', 'y.owner')} AS so FROM p x JOIN p y ON x.id < y.id),
-g AS MATERIALIZED (SELECT a, b FROM t WHERE ({_MEAN(f"coalesce({w} * {c}, 0)" for w, c in _TERMS)}) / ({_MEAN(f"CASE WHEN {c} IS NULL THEN 0 ELSE {w} END" for w, c in _TERMS)}) >= 0.7), e AS MATERIALIZED (SELECT a, b FROM g UNION ALL SELECT b, a FROM g), {_reach('p', 'e')} SELECT id, root FROM r""")
+@_query("related_properties", "properties", _related_sql("properties", "owner") + "SELECT id, root FROM r")
 def _(p):
     return G.property_links(p, F.col("owner"))
 
 
+@_query("property_groups", "hotels", _related_sql("hotels", _OWNER) + "SELECT root, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 2")
+def _(h):
+    return G.property_groups(h, owner(F.col("ownership_info"), F.col("additional_info")))
+
+
 @_query("owner_groups", "hotels", f"WITH h AS (SELECT *, lower(trim({_OWNER})) AS owner FROM hotels) SELECT owner, count(*) AS n, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude, count(DISTINCT data_source) AS sources FROM h WHERE owner <> '' GROUP BY 1 HAVING count(*) >= 2")
 def _(h):
     return R.owner_groups(h, owner(F.col("ownership_info"), F.col("additional_info"))).withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
@@ -462,7 +481,11 @@ def _(o):
     return Z.osm_classified(o)
 
 
-@_query("zone_merge", "osm_elements", None)
+_ZONE = "CASE WHEN landuse = 'commercial' THEN 'commercial_area' WHEN shop IS NOT NULL THEN 'shopping_area' WHEN amenity = 'marketplace' THEN 'marketplace' ELSE 'unknown' END"
+_RADIUS = "(CASE WHEN landuse = 'commercial' THEN 300 WHEN shop IN ('mall', 'supermarket', 'department_store') THEN 200 WHEN shop IS NOT NULL THEN 100 WHEN amenity = 'marketplace' THEN 200 ELSE 100 END)::INT"
+
+
+@_query("zone_merge", "osm_elements", _dbscan_sql(0.2, 1, f"(SELECT osm_id AS id, latitude, longitude FROM osm_elements WHERE {_ZONE} <> 'unknown')") + f"SELECT root AS zone, avg(latitude) AS latitude, avg(longitude) AS longitude, CASE WHEN bool_or({_ZONE} = 'commercial_area') THEN 'commercial_area' WHEN bool_or({_ZONE} = 'shopping_area') THEN 'shopping_area' ELSE arg_min({_ZONE}, osm_id) END AS type, max({_RADIUS}) AS radius, count(*) AS merged FROM l JOIN osm_elements o ON o.osm_id = l.id GROUP BY 1")
 def _(o):
     return Z.commercial_zones(o)
 
