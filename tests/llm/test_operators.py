@@ -194,6 +194,15 @@ def test_search_recall_and_ties(spark):
     assert hit / (20 * len(got)) >= 0.9 and got[120] == [i for i in range(100, 121) if i != 120]
 
 
+def test_toxic_documents_found_and_clean_ones_kept(spark):
+    """Accuracy alone says little where one document in nine is toxic: what is found, what is rejected by mistake, and the order of scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.query(docs, labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    toxic, clean = ([r for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert sum(r["predicted"] for r in toxic) >= 0.78 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.005 * len(clean)
+    assert sum((t["score"] > c["score"]) + 0.5 * (t["score"] == c["score"]) for t in toxic for c in clean) >= 0.93 * len(toxic) * len(clean)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
