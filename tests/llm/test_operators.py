@@ -203,10 +203,42 @@ def test_toxic_documents_found_and_clean_ones_kept(spark):
     assert sum((t["score"] > c["score"]) + 0.5 * (t["score"] == c["score"]) for t in toxic for c in clean) >= 0.93 * len(toxic) * len(clean)
 
 
-def test_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.1"
+def held_out(spark, operator, label, d):
+    """(recall, share of the others with a 1, AUC) over the held-out rows of a query."""
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    for q, label in ((toxicity, "toxic"), (quality_gbt, "quality")):
-        held = q.query(docs, labels).where("held_out").join(labels, "doc_id")
-        right = held.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
-        assert right > 0.95
+    rows = operator.query(docs, labels).where("held_out").join(labels, "doc_id").select(F.col(label).alias("y"), "score", "predicted").toPandas()
+    yes, no = rows[rows.y == 1], rows[rows.y == 0]
+    ranks = rows.score.rank()
+    auc = (ranks[rows.y == 1].sum() - len(yes) * (len(yes) + 1) / 2) / (len(yes) * len(no))
+    return yes.predicted.mean(), no.predicted.mean(), auc
+
+
+def test_toxic_documents_are_found_and_clean_ones_stay(spark):
+    found, wrong, auc = held_out(spark, toxicity, "toxic", "/root/testdata/sf0.1")
+    assert found >= 0.85 and wrong <= 0.005 and auc >= 0.95, (found, wrong, auc)
+
+
+def test_good_documents_are_kept_and_bad_ones_found(spark):
+    kept, wrong, auc = held_out(spark, quality_gbt, "quality", "/root/testdata/sf0.1")
+    assert kept >= 0.99 and wrong <= 0.05 and auc >= 0.99, (kept, wrong, auc)
+
+
+def test_families_of_words_are_counted_like_brute_force():
+    assert toxicity.words(None) == toxicity.words("") == set() == toxicity.marks(set())
+    own = toxicity.words("Achlicher achlichst ACHLICHER achtung, den achkeit; aß 12")
+    assert own == {"achlicher", "achlichst", "achtung", "den", "achkeit", "aß"}
+    want = own | {f"{w[:n]}*{k}" for w in own for n in (4,) if len(w) >= n for k in (1, 2, 3, 5) if sum(v.startswith(w[:n]) for v in own) >= k}
+    assert toxicity.marks(own) == want and "achl*2" in want and "achl*3" not in want
+    assert toxicity.marks(own, {"achl"}) == own | {"achl*1", "achl*2"}
+
+
+def test_repeated_rows_score_alike(spark):
+    rows = [(i % 4, "stupid idiot words here" if i % 2 else "plain words of no harm") for i in range(40)] + [(None, None), (7, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1), (None, None), (7, None)], "doc_id long, toxic int")
+    got = {}
+    for r in toxicity.score(docs, labels).collect():
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+        got.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(v) == 1 for v in got.values()) and len(got) == 3
+    assert toxicity.score(docs.limit(0), labels).count() == 0
