@@ -44,12 +44,12 @@ def language(text: Column) -> Column:
     return F.when(arabic > F.regexp_count(text, F.lit("[a-zA-Z]")), "ar").otherwise("en")
 
 
-def _letters(reviews: DataFrame) -> DataFrame:
-    """(place_id, language, reviews, words) of each place, by the letters of all its reviews."""
+def _letters(reviews: DataFrame, **sums: Column) -> DataFrame:
+    """(place_id, language, reviews, words) of each place, by the letters of all its reviews, and further sums."""
     arabic = F.regexp_count("review", F.lit(r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]"))
     n = F.when(F.trim("review") == "", 0).otherwise(F.size(F.split(F.trim("review"), r"\s+")))
-    g = reviews.groupBy("place_id").agg(F.sum(arabic).alias("a"), F.sum(F.regexp_count("review", F.lit("[a-zA-Z]"))).alias("l"), F.count("*").alias("reviews"), F.sum(n).alias("words"))
-    return g.select("place_id", F.when(F.col("a") > F.col("l"), "ar").otherwise("en").alias("language"), "reviews", "words")
+    g = reviews.groupBy("place_id").agg(F.sum(arabic).alias("a"), F.sum(F.regexp_count("review", F.lit("[a-zA-Z]"))).alias("l"), F.count("*").alias("reviews"), F.sum(n).alias("words"), *[v.alias(k) for k, v in sums.items()])
+    return g.select("place_id", F.when(F.col("a") > F.col("l"), "ar").otherwise("en").alias("language"), "reviews", "words", *sums)
 
 
 def indicators(reviews: DataFrame) -> DataFrame:
@@ -60,12 +60,22 @@ def indicators(reviews: DataFrame) -> DataFrame:
     return n.join(_letters(reviews).select("place_id", "language"), "place_id").join(F.broadcast(table), ["language", "word"]).select("place_id", "category", "word", "n")
 
 
+def _among(words: Column, known: list[str]) -> Column:
+    return F.filter(words, lambda w: w.isin(known))
+
+
 def place_confidence(reviews: DataFrame, least_reviews: int = 3, likely: float = 0.4) -> DataFrame:
-    """Per place: reviews, indicators, words and confidence: indicators over a fifth of the words (10 at least), 1 at most."""
-    r = _letters(reviews).where(F.col("reviews") >= least_reviews).drop("language")
-    hits = indicators(reviews).groupBy("place_id").agg(F.sum("n").alias("indicators"))
+    """Per place: reviews, indicators, words and confidence: indicators over a fifth of the words (10 at least), 1 at most.
+
+    Reviews are read once: each gives its hits in the lists of every language, and the place's language picks among their sums. A null review counts as one without words.
+    """
+    known = sorted({w for lists in KEYWORDS.values() for ws in lists.values() for w in ws})
+    said = reviews.select("place_id", "review", _among(F.regexp_extract_all(F.lower("review"), F.lit(WORD), 0), known).alias("said"))
+    hits = {k: reduce(lambda a, b: a + b, [F.size(_among(F.col("said"), ws)) for ws in lists.values()]) for k, lists in KEYWORDS.items()}
+    g = _letters(said, **{k: F.sum(n) for k, n in hits.items()}).where(F.col("reviews") >= least_reviews)
+    own = F.coalesce(*[F.when(F.col("language") == k, F.col(k)) for k in KEYWORDS], F.lit(0)).cast("long")
     c = F.least(F.lit(1.0), F.col("indicators") / F.greatest(F.lit(10.0), F.col("words") / 5))
-    return r.join(hits, "place_id", "left").fillna(0, ["indicators"]).withColumn("confidence", c).withColumn("likely", F.col("confidence") >= likely)
+    return g.select("place_id", "reviews", "words", own.alias("indicators")).withColumn("confidence", c).withColumn("likely", F.col("confidence") >= likely)
 
 
 def hidden_hotels(places: DataFrame, reviews: DataFrame, least_reviews: int = 3, likely: float = 0.4) -> DataFrame:

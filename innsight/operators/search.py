@@ -110,3 +110,9 @@ def formatted(hotels: DataFrame, kind: str = "summary") -> DataFrame:
     if kind == "detailed":
         return hotels.withColumns({c: F.when(present(c), F.col(c)).otherwise("N/A") for c in ("address", "phone", "email", "website")})
     return hotels.select("id", or_("name", "Unknown"), *[or_(c, "N/A") for c in ("city", "country", "stars")])
+
+
+def shared_phones(hotels: DataFrame) -> DataFrame:
+    """(number, hotels, first, ids): phone numbers, by their digits, that several hotels have, with their number, the smallest id and all ids in order. What pairs of a number say, without making them."""
+    g = hotels.where("phone IS NOT NULL").groupBy(F.regexp_replace("phone", r"\D", "").alias("number")).agg(F.count("*").alias("hotels"), F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("ids"))
+    return g.where("hotels >= 2")

@@ -64,33 +64,35 @@ def findings_json(history: DataFrame, transitions: DataFrame, as_of: str) -> Dat
 
 
 def temporal_patterns(history: DataFrame) -> DataFrame:
-    """(hotel_id, pattern, severity, n): quick successions of names and owners, status downgrades, turns from official to private platforms, moves after a change of owner, new names near a new status."""
-    day = F.to_date("event_date")
-    h = history.select("hotel_id", "history_id", "old_value", "new_value", F.lower("event_type").alias("kind"), "event_date", day.alias("day"))
-    span = h.groupBy("hotel_id").agg(*[f(F.when(F.col("kind").contains(k), F.col("day"))).alias(f"{k}_{n}") for k in ("name", "owner") for n, f in (("lo", F.min), ("hi", F.max))], *[F.count_if(F.col("kind").contains(k)).alias(f"{k}_n") for k in ("name", "owner")])
-    out = []
-    for k in ("name", "owner"):
-        days = F.datediff(f"{k}_hi", f"{k}_lo")
-        out.append(span.where((F.col(f"{k}_n") >= 2) & (days < 730)).select("hotel_id", F.lit(f"quick_{k}_changes").alias("pattern"), F.when(days < 365, "high").otherwise("medium").alias("severity"), F.lit(1).cast("long").alias("n")))
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    """(hotel_id, pattern, severity, n): quick successions of names and owners, status downgrades, turns from official to private platforms, moves after a change of owner, new names near a new status.
+
+    One shuffle: a hotel's events are sorted forth and back, and its patterns are one aggregation. All frames run along the sort, so a busy hotel costs no more than its sort.
+    """
+    kind, low = F.lower("event_type"), lambda c: F.lower(F.coalesce(c, F.lit("")))
+    is_name, is_owner, is_status, is_listed = kind.contains("name"), kind.contains("owner"), kind.contains("status"), kind.rlike("listing|platform")
     turn = F.lit(False)
     for a, b in (("hotel", "private"), ("hotel", "residential"), ("commercial", "residential")):
         turn = turn | (low("old_value").contains(a) & low("new_value").contains(b))
-    out.append(h.where(F.col("kind").contains("status") & turn).groupBy("hotel_id").agg(F.count("*").alias("n")).select("hotel_id", F.lit("status_downgrade").alias("pattern"), F.lit("high").alias("severity"), "n"))
-    listed = h.where(F.col("kind").rlike("listing|platform")).withColumn("was", F.lag("new_value").over(Window.partitionBy("hotel_id").orderBy("event_date", "history_id")))
-    out.append(listed.where(low("was").rlike(OFFICIAL) & low("new_value").rlike(PRIVATE)).groupBy("hotel_id").agg(F.count("*").alias("n")).select("hotel_id", F.lit("official_to_private").alias("pattern"), F.lit("high").alias("severity"), "n"))
-    moved = h.groupBy("hotel_id").agg(F.max(F.when(F.col("kind").contains("owner"), F.col("event_date"))).alias("owner"), F.max(F.when(F.col("kind").rlike("location|address"), F.col("event_date"))).alias("move"))
-    out.append(moved.where("move > owner").select("hotel_id", F.lit("move_after_owner").alias("pattern"), F.lit("medium").alias("severity"), F.lit(1).cast("long").alias("n")))
-    status = F.when(F.col("kind").contains("status"), F.col("day"))  # the nearest days with a new status before and after each event, in one pass over a hotel's events
-    before = F.last(status, ignorenulls=True).over(Window.partitionBy("hotel_id").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(status, ignorenulls=True).over(Window.partitionBy("hotel_id").orderBy("day").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    h = history.select("hotel_id", "history_id", "event_date", F.to_date("event_date").alias("day"), is_name.alias("name"), is_owner.alias("owner"), kind.rlike("location|address").alias("move"), is_status.alias("status"), (is_status & turn).alias("down"), is_listed.alias("listed"), low("new_value").rlike(OFFICIAL).alias("official"), low("new_value").rlike(PRIVATE).alias("private"))
+    forth = Window.partitionBy("hotel_id").orderBy("event_date", "history_id")
+    back = Window.partitionBy("hotel_id").orderBy(F.desc("event_date"), F.desc("history_id"))
+    was = F.last(F.when(F.col("listed"), F.col("official")), ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, -1))
+    # the nearest days with a new status before and after each event
+    status = F.last(F.when(F.col("status"), F.col("day")), ignorenulls=True)
+    h = h.withColumns({"was": was, "before": status.over(forth.rowsBetween(Window.unboundedPreceding, 0))}).withColumn("after", status.over(back.rowsBetween(Window.unboundedPreceding, 0)))
     close = (F.datediff("day", "before") < 30) | (F.datediff("after", "day") < 30)
-    near = h.withColumns({"before": before, "after": after}).where(F.col("kind").contains("name") & close).select("hotel_id", "history_id")
-    out.append(near.groupBy("hotel_id").agg(F.count("*").alias("n")).select("hotel_id", F.lit("name_with_status").alias("pattern"), F.lit("high").alias("severity"), "n"))
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.unionByName(o)
-    return whole
+    of = lambda k, c: F.when(F.col(k), F.col(c))
+    g = h.groupBy("hotel_id").agg(
+        *[F.count_if(k).alias(f"{k}_n") for k in ("name", "owner")],
+        *[F.datediff(F.max(of(k, "day")), F.min(of(k, "day"))).alias(f"{k}_days") for k in ("name", "owner")],
+        F.max(of("owner", "event_date")).alias("owned"), F.max(of("move", "event_date")).alias("moved"), F.count_if("down").alias("down"),
+        F.count_if(F.col("listed") & F.col("was") & F.col("private")).alias("private"), F.count_if(F.col("name") & close).alias("close"),
+    )
+    found = lambda test, name, severity, n=None: F.when(test, F.struct(F.lit(name).alias("pattern"), severity.alias("severity"), (F.lit(1) if n is None else F.col(n)).cast("long").alias("n")))
+    high, medium = F.lit("high"), F.lit("medium")
+    quick = [found((F.col(f"{k}_n") >= 2) & (F.col(f"{k}_days") < 730), f"quick_{k}_changes", F.when(F.col(f"{k}_days") < 365, high).otherwise(medium)) for k in ("name", "owner")]
+    counted = [found(F.col(c) > 0, name, high, c) for c, name in (("down", "status_downgrade"), ("private", "official_to_private"), ("close", "name_with_status"))]
+    return g.select("hotel_id", F.inline(F.array_compact(F.array(*quick, *counted, found(F.col("moved") > F.col("owned"), "move_after_owner", medium)))))
 
 
 def historical_search(history: DataFrame, kind: str | None = None, date_from: str | None = None, date_to: str | None = None, source: str | None = None, same_record: bool = False) -> DataFrame:

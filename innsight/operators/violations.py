@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_KM, contains_any, has_json_key, haversine_km, level, owner, present, similar_above
+from .graphs import settled
 from .texts import like_pairs
 
 # fixed values
@@ -140,18 +141,29 @@ def residential_hotels(hotels: DataFrame, least: float = 3, limit: int | None =
     return out.limit(limit) if limit else out
 
 
-def name_without_license(hotels: DataFrame) -> DataFrame:
+def unlicensed() -> Column:
+    """Whether a hotel is named one and nothing tells of a license."""
     status = F.lower(F.coalesce("legal_status", F.lit("")))
     licensed = (status.contains("hotel") & status.contains("license")) | has_json_key(F.col("ownership_info"), ["license", "permit"]) | has_json_key(F.col("additional_info"), ["license", "permit"])
-    return hotels.where(contains_any(F.col("name"), ["hotel"]) & ~licensed).select("id", F.lit(0.8).alias("confidence"))
+    return contains_any(F.col("name"), ["hotel"]) & ~licensed
+
+
+def home() -> Column:
+    return contains_any(F.col("legal_status"), ["residential"]) | contains_any(F.col("name"), RESIDENTIAL_NAMES)
+
+
+def least_nights() -> Column:
+    return F.expr("try_cast(regexp_extract(coalesce(get_json_object(additional_info, '$[\\'min stay\\']'), ''), '([0-9]+)', 1) AS int)")
+
+
+def name_without_license(hotels: DataFrame) -> DataFrame:
+    return hotels.where(unlicensed()).select("id", F.lit(0.8).alias("confidence"))
 
 
 def residential_turnover(hotels: DataFrame, listings: DataFrame, platforms: DataFrame, most_nights: int = 7) -> DataFrame:
-    home = contains_any(F.col("legal_status"), ["residential"]) | contains_any(F.col("name"), RESIDENTIAL_NAMES)
     on_hotel = listings.join(platforms.where(F.col("platform_name").isin(HOTEL_PLATFORMS)).select(F.col("id").alias("platform_id")), "platform_id", "left_semi").select(F.col("hotel_id").alias("id"), F.lit(True).alias("on_hotel")).distinct()
-    nights = F.expr("try_cast(regexp_extract(coalesce(get_json_object(additional_info, '$[\\'min stay\\']'), ''), '([0-9]+)', 1) AS int)")
-    j = hotels.where(home).join(on_hotel, "id", "left")
-    return j.where(F.col("on_hotel") | (nights <= most_nights)).select("id", F.lit(0.7).alias("confidence"))
+    j = hotels.where(home()).join(on_hotel, "id", "left")
+    return j.where(F.col("on_hotel") | (least_nights() <= most_nights)).select("id", F.lit(0.7).alias("confidence"))
 
 
 def registered() -> Column:
@@ -171,12 +183,27 @@ def unregistered_chains(hotels: DataFrame, least: float = 0.8) -> DataFrame:
     return j.where("others >= 2 AND n >= 2").select("id", "others", F.col("n").alias("unregistered"), (0.7 + (F.least(F.col("n"), F.lit(5)) - 1) * 0.05).alias("confidence"))
 
 
+def _switches(listings: DataFrame, platforms: DataFrame, as_of: str, days: int) -> DataFrame:
+    """(id, on_hotel, both, n_recent) of each listed hotel: whether a platform for hotels has it, how many have it both from before and after the cutoff, and its listings since."""
+    named = listings.join(platforms.select(F.col("id").alias("platform_id"), "platform_name"), "platform_id").withColumn("recent", F.col("first_seen_date") >= _days_before(as_of, days))
+    g = named.groupBy(F.col("hotel_id").alias("id")).agg(
+        F.bool_or(F.col("platform_name").isin(HOTEL_PLATFORMS)).alias("on_hotel"), F.count_if("recent").alias("n_recent"),
+        F.collect_set(F.when(~F.col("recent"), F.col("platform_name"))).alias("before"), F.collect_set(F.when(F.col("recent"), F.col("platform_name"))).alias("after"),
+    )
+    return g.select("id", "on_hotel", F.size(F.array_intersect("before", "after")).alias("both"), "n_recent")
+
+
+def _switched(recent: int) -> Column:
+    return (F.col("both") > 0) | (F.col("n_recent") >= recent)
+
+
+def _switch_confidence() -> Column:
+    return 0.6 + 0.1 * F.least(F.col("both"), F.lit(3))
+
+
 def platform_switching(listings: DataFrame, platforms: DataFrame, as_of: str, days: int = 180, recent: int = 3) -> DataFrame:
     """Hotels that are on a platform both before and after the cutoff, which they left and joined again, or that came to `recent` platforms or more since."""
-    named = listings.join(platforms.select(F.col("id").alias("platform_id"), "platform_name"), "platform_id").withColumn("recent", F.col("first_seen_date") >= _days_before(as_of, days))
-    g = named.groupBy(F.col("hotel_id").alias("id")).agg(F.collect_set(F.when(~F.col("recent"), F.col("platform_name"))).alias("before"), F.collect_set(F.when(F.col("recent"), F.col("platform_name"))).alias("after"), F.count_if("recent").alias("n_recent"))
-    both = F.size(F.array_intersect("before", "after"))
-    return g.select("id", both.alias("both"), "n_recent", (0.6 + 0.1 * F.least(both, F.lit(3))).alias("confidence")).where((F.col("both") > 0) | (F.col("n_recent") >= recent))
+    return _switches(listings, platforms, as_of, days).where(_switched(recent)).select("id", "both", "n_recent", _switch_confidence().alias("confidence"))
 
 
 # fixed values
@@ -184,15 +211,23 @@ EVASION = {"name_hotel_without_license": "high", "residential_with_high_turnover
 
 
 def evasion_patterns(hotels: DataFrame, listings: DataFrame, platforms: DataFrame, as_of: str, least: float = 0.7, inactive: bool = False, limit: int | None = 100) -> DataFrame:
-    """(id, patterns, confidence, score, level): hotels with evasion patterns of at least this confidence; a high one scores 3, a medium one 2. Highest first."""
+    """(id, patterns, confidence, score, level): hotels with evasion patterns of at least this confidence; a high one scores 3, a medium one 2. Highest first.
+
+    Hotels are read once, into a table of the columns that the checks need, and listings once; the three checks that look at one hotel are one projection of their join, beside the two that compare hotels.
+    """
     h = hotels if inactive else hotels.where(F.coalesce("operation_status", F.lit("")) != "inactive")
-    found = [name_without_license(h), residential_turnover(h, listings, platforms), unregistered_chains(h), split_properties(h), platform_switching(listings, platforms, as_of)]
-    whole = None
-    for (name, severity), df in zip(EVASION.items(), found):
-        own = df.select("id", F.lit(name).alias("pattern"), F.col("confidence").cast("double").alias("confidence"), F.lit(3 if severity == "high" else 2).alias("points"))
-        whole = own if whole is None else whole.unionByName(own)
-    g = whole.where(F.col("confidence") >= least).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("patterns"), F.max("confidence").alias("confidence"), F.sum("points").alias("score"))
-    out = g.join(h.select("id"), "id", "left_semi").withColumn("level", level(F.col("score"), 5, 3)).orderBy(F.desc("score"), "id")
+    columns = ("id", "name", "latitude", "longitude", "legal_status", "verification_status", "ownership_info", "additional_info")
+    h = settled(h.select(*columns, unlicensed().alias("unlicensed"), home().alias("home"), least_nights().alias("nights")))
+    made = lambda name, confidence: F.struct(F.lit(name).alias("pattern"), confidence.cast("double").alias("confidence"), F.lit(3 if EVASION[name] == "high" else 2).alias("points"))
+    own = {
+        "name_hotel_without_license": (F.col("unlicensed"), F.lit(0.8)),
+        "residential_with_high_turnover": (F.col("home") & (F.col("on_hotel") | (F.col("nights") <= 7)), F.lit(0.7)),
+        "platform_switching": (_switched(3), _switch_confidence()),
+    }
+    alone = h.join(_switches(listings, platforms, as_of, 180), "id", "left").select("id", F.inline(F.array_compact(F.array(*[F.when(test, made(name, c)) for name, (test, c) in own.items()]))))
+    chains, parts = (df.select("id", made(name, F.col("confidence")).alias("x")).select("id", "x.*") for name, df in (("unregistered_chain_operation", unregistered_chains(h)), ("split_property_listings", split_properties(h))))
+    g = alone.unionByName(chains).unionByName(parts).where(F.col("confidence") >= least).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("patterns"), F.max("confidence").alias("confidence"), F.sum("points").alias("score"))
+    out = g.withColumn("level", level(F.col("score"), 5, 3)).orderBy(F.desc("score"), "id")
     return out.limit(limit) if limit else out
 
 

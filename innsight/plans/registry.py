@@ -597,6 +597,11 @@ def _(h):
     return j.where(phone_similarity(F.col("a.phone"), F.col("b.phone")) == 1).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+@_query("shared_phones", "hotels", "SELECT regexp_replace(phone, '[^0-9]', '', 'g') AS number, count(*) AS hotels, min(id) AS first, CAST(sum(id) AS BIGINT) AS ids FROM hotels WHERE phone IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
+def _(h):
+    return S.shared_phones(h).select("number", "hotels", "first", F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i).alias("ids"))
+
+
 @_query("incremental", "hotels", f"""WITH f AS (SELECT * FROM hotels WHERE data_source = 'Imported Data'), x AS (SELECT * FROM hotels WHERE data_source <> 'Imported Data')
 SELECT id FROM f WHERE name IS NULL OR coalesce(latitude, 0) = 0 OR coalesce(longitude, 0) = 0 OR NOT (lower(name) IN (SELECT lower(name) FROM x) OR EXISTS (SELECT 1 FROM x WHERE abs(x.latitude - f.latitude) < 0.001 AND {_KM('x', 'f')} < 0.05))""")
 def _(h):
