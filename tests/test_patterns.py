@@ -1,8 +1,9 @@
 import datetime as dt
+import json
 import random
 import re
 
-from innsight.operators import temporal, violations
+from innsight.operators import search, temporal, violations
 
 
 def of_one(rows):
@@ -60,3 +61,20 @@ def test_evasion_by_each_check(spark):
     assert found(inactive=True) == want | {5: ("name_hotel_without_license", 0.8, 3, "medium")}
     assert [r["id"] for r in violations.evasion_patterns(hotels, listings, platforms, "2024-02-01", limit=1).collect()] == [1]
     assert found(least=0.75) == {1: want[1]}
+
+
+def test_findings_hold_history_level_and_transitions(spark):
+    rows = [(1, 1, "name_change", "2020-01-01", "a", "b"), (2, 1, "status_change", "2020-01-10", "hotel", "residential"), (3, 1, "name_change", "2020-06-01", "b", "c"), (4, 2, "other", "2020-01-01", None, None)]
+    history = spark.createDataFrame(rows, "history_id long, hotel_id long, event_type string, d string, old_value string, new_value string").selectExpr("*", "to_timestamp_ntz(d) event_date")
+    moves = spark.createDataFrame([(1, "2021-02-01", "vrbo", "haraj"), (1, "2021-01-01", "expedia", "vrbo")], "hotel_id long, date string, was string, now string")
+    got = {r["hotel_id"]: json.loads(r["temporal_data"]) for r in temporal.findings_json(history, moves, "2024-01-01").collect()}
+    # quick names, a downgrade and a name beside a status: three points each
+    assert got[1]["history"] == {"events": 3, "name": 2, "owner": 0, "status": 1, "platform": 0, "location": 0, "score": 9, "level": "high"} and got[1]["as_of"] == "2024-01-01"
+    assert got[1]["transitions"] == [{"date": "2021-01-01", "was": "expedia", "now": "vrbo"}, {"date": "2021-02-01", "was": "vrbo", "now": "haraj"}]
+    assert (got[2]["history"]["score"], got[2]["history"]["level"]) == (0, "low") and "transitions" not in got[2]
+
+
+def test_shared_phones_are_one_row_a_number(spark):
+    rows = [(3, "+966 11-1"), (1, "966111"), (2, "5"), (4, None), (5, ""), (6, "x"), (7, "966-111")]
+    got = {r["number"]: (r["hotels"], r["first"], r["ids"]) for r in search.shared_phones(spark.createDataFrame(rows, "id long, phone string")).collect()}
+    assert got == {"966111": (3, 1, [1, 3, 7]), "": (2, 5, [5, 6])}
