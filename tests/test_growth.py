@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from innsight.operators import discovery
+from innsight.operators import discovery, resolve, zones
 
 
 def test_listings_of_one_name_meet_one_row(spark):
@@ -18,3 +18,20 @@ def test_listings_of_one_name_meet_one_row(spark):
     got = [tuple(r) for r in repeats.collect()]
     key = lambda t: (t[0], t[1], t[2] or "", t[3])
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def _map(spark, crowd):
+    """crowd attractions and as many hotels at each of two places, and a hotel between."""
+    rows = [(2 * i + k, *at, ("attraction", "hotel")[k]) for i in range(crowd) for k in (0, 1) for at in [((24.0, 46.0), (24.001, 46.0))[i % 2]]] + [(9_000_000, 24.0004, 46.0, "hotel")]
+    tags = ("building", "shop", "landuse", "amenity", "historic", "leisure", "wikipedia", "wikidata", "website", "description", "house_number", "street", "place", "postcode", "name")
+    return spark.createDataFrame(rows, "osm_id long, latitude double, longitude double, tourism string").withColumns({t: F.lit(None).cast("string") for t in tags})
+
+
+def test_places_not_elements_are_compared(spark):
+    """20,000 attractions and 20,000 hotels at two places: four distances, and no row for a pair of elements on the way to the nearest."""
+    got = zones.tourist_areas(_map(spark, 20_000)).groupBy("attraction", "metres").agg(F.count("*").alias("n")).collect()
+    assert {tuple(r) for r in got} == {(0, 0.0, 10_000), (2, 0.0, 10_000), (0, 44.5, 1)}
+    pairs = zones.lodging_near(_map(spark, 6), zones.attractions(_map(spark, 6)))
+    assert sorted(r["metres"] for r in pairs.collect()) == [0.0] * 18 + [44.5] * 3 + [66.7] * 3 + [111.2] * 18
+    lodging = zones._lodging(_map(spark, 20_000))
+    assert resolve.near_places(lodging, zones._centres(zones.attractions(_map(spark, 20_000))), 0.5).count() == 6
