@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import geo_similarity, haversine_km, owner, present, similarity
+from ..functions.scalars import digits, geo_similarity, haversine_km, owner, present, similarity
 from .violations import ESSENTIAL, missing_fields
 
 
@@ -116,3 +116,18 @@ def shared_phones(hotels: DataFrame) -> DataFrame:
     """(number, hotels, first, ids): phone numbers, by their digits, that several hotels have, with their number, the smallest id and all ids in order. What pairs of a number say, without making them."""
     g = hotels.where("phone IS NOT NULL").groupBy(F.regexp_replace("phone", r"\D", "").alias("number")).agg(F.count("*").alias("hotels"), F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("ids"))
     return g.where("hotels >= 2")
+
+
+def phone_pairs(hotels: DataFrame, per_task: int = 4_000_000) -> DataFrame:
+    """(a, b), a < b: all hotels with the same phone, by its digits. These are as many as pairs of a number, so a number's hotels are cut into slices and only slices meet: the work of
+    one number spreads over tasks, about per_task pairs each, and nothing is done with a pair but to give it."""
+    p = hotels.where("phone IS NOT NULL").select("id", digits(F.col("phone")).alias("d")).where("d != ''")
+    n = p.groupBy("d").agg(F.count("*").cast("double").alias("n")).agg(F.max("n").alias("most"), F.sum(F.col("n") * F.col("n") / 2).alias("pairs")).first()
+    tasks = max(int(hotels.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int((n["pairs"] or 0) / per_task), 20_000))
+    slices = max(1, round(((n["most"] or 0) ** 2 / 2 / per_task) ** 0.5))
+    slice_ = F.pmod(F.xxhash64("id"), F.lit(slices))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    a = p.select("d", F.col("id").alias("a"), slice_.cast("int").alias("i"), every.alias("j"))
+    b = p.select("d", F.col("id").alias("b"), slice_.cast("int").alias("j"), every.alias("i"))
+    keys = ["d", "i", "j"]
+    return a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys).where("a < b").select("a", "b")
