@@ -1,10 +1,12 @@
 """What many rows share - a name, a place, a day, an owner - must not be met pair by pair where one row stands for all."""
 
+import datetime as dt
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from innsight.operators import discovery, resolve, zones
+from innsight.operators import discovery, resolve, search, temporal, zones
 
 
 def test_listings_of_one_name_meet_one_row(spark):
@@ -35,3 +37,31 @@ def test_places_not_elements_are_compared(spark):
     assert sorted(r["metres"] for r in pairs.collect()) == [0.0] * 18 + [44.5] * 3 + [66.7] * 3 + [111.2] * 18
     lodging = zones._lodging(_map(spark, 20_000))
     assert resolve.near_places(lodging, zones._centres(zones.attractions(_map(spark, 20_000))), 0.5).count() == 6
+
+
+def test_phone_pairs_in_slices(spark):
+    """A number of many hotels is met in slices by many tasks, each pair once; phones without digits have no pairs."""
+    rows = [(i, "+1 23" if i % 3 else "1-23") for i in range(300)] + [(400, "9"), (401, " 9"), (402, "x"), (403, "y"), (404, None)]
+    pairs = search.phone_pairs(spark.createDataFrame(rows, "id long, phone string"), per_task=1000)
+    assert pairs.rdd.getNumPartitions() > 30
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == 300 * 299 // 2 + 1 and set(got) == {(a, b) for a in range(300) for b in range(a + 1, 300)} | {(400, 401)}
+
+
+def test_closures_are_summed_without_pairs_of_hotels(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(40), rnd.choice(["legal_status", "closure", "opening", "name"]), None if rnd.random() < 0.05 else dt.datetime(2020, 1, 1) + dt.timedelta(days=rnd.randrange(700)), rnd.choice(["closed", "open", "open, once closed", None])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "hotel_id long, event_type string, event_date timestamp_ntz, new_value string")
+    has = lambda r, word, kind: kind in r[1] or ("status" in r[1] and word in (r[3] or ""))
+    want = Counter((a[0], b[0]) for a in rows for b in rows if a[2] and b[2] and a[0] != b[0] and has(a, "closed", "closure") and has(b, "open", "opening") and 0 < (b[2].date() - a[2].date()).days <= 180)
+    assert {(r["closed"], r["opened"]): r["n"] for r in temporal.closure_opening(df).collect()} == dict(want)
+    assert temporal.closure_openings(df).first()[0] == sum(want.values()) > 0
+    assert temporal.closure_openings(df.limit(0)).first()[0] == 0 and temporal.closure_opening(df.limit(0)).count() == 0
+
+
+def test_close_events_are_dealt_by_their_pairs(spark):
+    """3,000 hotels on one day make four million pairs: they come in more partitions than the session's, so that none holds them all."""
+    df = spark.range(3000).select(F.col("id").alias("hotel_id"), F.lit("name").alias("event_type"), F.lit(dt.datetime(2020, 1, 1)).cast("timestamp_ntz").alias("event_date"))
+    assert temporal._tasks(df, df, ["event_type"], 1_000_000) == 9
+    few = temporal.close_events(df.where("hotel_id < 100"))
+    assert few.count() == 4950 and few.agg(F.min("n"), F.max("n")).first() == (1, 1)
