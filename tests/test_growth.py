@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from innsight.operators import discovery, resolve, search, space, temporal, zones
+from innsight.operators import discovery, resolve, search, space, temporal, violations, zones
 
 
 def test_listings_of_one_name_meet_one_row(spark):
@@ -75,3 +75,24 @@ def test_radius_clusters_of_crowded_places(spark):
     assert [tuple(r) for r in got] == [(0, 20_000)]
     rows = df.select("id", F.lit(None).cast("string").alias("key"), "latitude", "longitude", F.lit(False).alias("fixed"))
     assert sorted(r["id"] for r in space.first_wins(rows.unionByName(rows.selectExpr("id + 50000 AS id", "key", "CAST(NULL AS DOUBLE) AS latitude", "CAST(NULL AS DOUBLE) AS longitude", "fixed").limit(2)), 0.05).collect())[:3] == [0, 1, 2]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_counted_where_they_lie(spark):
+    """Five counts of distinct values send no row once a field."""
+    h = spark.createDataFrame([(1, "A", "s", "1", None, "", 3.0), (2, "B", "s", None, None, None, None)], "id long, name string, address string, phone string, email string, website string, stars double")
+    li = spark.createDataFrame([(1, 1, "x", "a"), (2, 1, "y", "b"), (3, 1, "y", "C"), (4, 2, "x", "b")], "listing_id long, hotel_id long, platform_id string, name string")
+    p = spark.createDataFrame([("x", "X"), ("y", "Y")], "id string, platform_name string")
+    got = violations.inconsistencies(h, li, p)
+    assert "Expand" not in _plan(got)
+    assert [(r["id"], r["sources"], r["names"], r["addresses"], r["phones"], r["emails"], r["spread"], r["score"]) for r in got.collect()] == [(1, 3, 2, 1, 1, 0, 0.0, 2)]
+
+
+def test_likeness_is_computed_once_a_hotel(spark):
+    h = spark.createDataFrame([(i, f"inn {i}", "street", 24.0, 46.0, 3.0, "low", "Pool") for i in range(50)], "id long, name string, address string, latitude double, longitude double, stars double, price_range string, facilities string")
+    got = search.similar(h, 6)
+    held = [line for line in _plan(got).splitlines() if "levenshtein" in line]
+    assert len(held) == 1 and "Generate" in held[0] and got.count() == 49
