@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from innsight.operators import discovery, resolve, search, space, temporal, violations, zones
+from innsight.operators import discovery, groups, resolve, search, space, temporal, violations, zones
 
 
 def test_listings_of_one_name_meet_one_row(spark):
@@ -96,3 +96,13 @@ def test_likeness_is_computed_once_a_hotel(spark):
     got = search.similar(h, 6)
     held = [line for line in _plan(got).splitlines() if "levenshtein" in line]
     assert len(held) == 1 and "Generate" in held[0] and got.count() == 49
+
+
+def test_pairs_are_ruled_out_by_lengths_before_texts(spark):
+    """The bound by lengths is a filter of its own, below the distance of texts; blank names are equal."""
+    p = spark.createDataFrame([(1, "inn", "a"), (2, "a very long name of an inn", "a"), (3, "inn", "a"), (4, "", "b"), (5, "", "b")], "id long, name string, owner string")
+    p = p.withColumns({c: F.lit(None).cast("string") for c in ("address", "phone")}).withColumns({c: F.lit(None).cast("double") for c in ("latitude", "longitude")})
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5)], "a long, b long")
+    got = groups._alike(p, pairs, 0.7)
+    assert "0.699999999" in _plan(got)
+    assert {tuple(r) for r in got.collect()} == {(1, 3), (4, 5)}
