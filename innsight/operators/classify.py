@@ -7,12 +7,14 @@ import os
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import present
+from .graphs import settled
 
 # fixed values
 IN_CATEGORY = r"hotel|accommodation|lodging|guest.house|motel|inn|rental|furnished"
@@ -39,16 +41,46 @@ def features(samples: DataFrame) -> DataFrame:
     )
 
 
-def train(samples: DataFrame, trees: int = 100, words: int = 1000, seed: int = 42) -> PipelineModel:
-    """A random forest on TF-IDF of words and pairs of words and the numeric features; is_hotel is the label. samples have been through features()."""
-    stages = [
-        RegexTokenizer(inputCol="combined_text", outputCol="_w", pattern=r"[\p{L}\p{N}_]+", gaps=False, minTokenLength=2), StopWordsRemover(inputCol="_w", outputCol="_words"), NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=words, minDF=2.0), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_text"),
-        VectorAssembler(inputCols=["_text", *NUMBERS], outputCol="features"),
+def vocabulary(texts: DataFrame, words: int = 1000) -> list[str]:
+    """The most frequent of the words and pairs of neighbours in texts (_words) that stand in two rows at least, at most `words`; of equally frequent ones single words first, then by code points.
+
+    A pair is at most as frequent as its rarer word, so what comes before the last of `words` single words is a word or a pair of words that do. Other pairs are not counted, as none of them can be in the result.
+    """
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "_words")
+    counts = lambda df, *term: df.groupBy(*term).agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
+    best = lambda df: [(-r["n"], r["term"]) for r in df.orderBy(F.desc("n"), "term").limit(words).collect()]
+    single = best(counts(rows.select("row", F.explode("_words").alias("term")), "term"))
+    least = -single[-1][0] if len(single) == words else 0
+    often = [w for n, w in single if -n > least]
+    met = rows.select("row", F.explode(F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, F.size("_words")).alias("b"))).alias("p")).select("row", "p.a", "p.b")
+    pairs = best(counts(met.where(F.col("a").isin(often) & F.col("b").isin(often)), "a", "b").where(F.col("n") > least).select("n", F.concat_ws(" ", "a", "b").alias("term")))
+    return [t for _, _, t in sorted([(n, 1, t) for n, t in single] + [(n, 2, t) for n, t in pairs])][:words]
+
+
+def forest(trees: int, seed: int) -> list:
+    """What learns from counts of terms (_tf) and the numeric features."""
+    return [
+        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_text"), VectorAssembler(inputCols=["_text", *NUMBERS], outputCol="features"),
         RandomForestClassifier(labelCol="is_hotel", featuresCol="features", numTrees=trees, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(samples)
+
+
+def train(samples: DataFrame, trees: int = 100, words: int = 1000, seed: int = 42) -> PipelineModel:
+    """A random forest on TF-IDF of words and pairs of words and the numeric features; is_hotel is the label. samples have been through features().
+
+    Texts are taken apart once, into a table of words in the shared folder; counts of terms are kept in its partitions, and what follows reads these alone.
+    """
+    tokens = [RegexTokenizer(inputCol="combined_text", outputCol="_w", pattern=r"[\p{L}\p{N}_]+", gaps=False, minTokenLength=2), StopWordsRemover(inputCol="_w", outputCol="_words")]
+    texts = settled(PipelineModel(tokens).transform(samples).select("_words", "is_hotel", *NUMBERS))
+    terms = [
+        NGram(n=2, inputCol="_words", outputCol="_pairs"), SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
+        CountVectorizerModel.from_vocabulary(vocabulary(texts, words), inputCol="_terms", outputCol="_tf"),
+    ]
+    counted = PipelineModel(terms).transform(texts).select("_tf", "is_hotel", *NUMBERS).persist(StorageLevel.DISK_ONLY)
+    try:
+        return PipelineModel([*tokens, *terms, *Pipeline(stages=forest(trees, seed)).fit(counted).stages])
+    finally:
+        counted.unpersist()
 
 
 def split(samples: DataFrame, key: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
