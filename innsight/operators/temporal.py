@@ -279,8 +279,9 @@ def change_buckets(history: DataFrame) -> DataFrame:
 
 
 def captures(index: DataFrame) -> DataFrame:
-    """(url, timestamp, digest, archive_path) of an archive's index with columns url, timestamp (14 digits), original, statuscode and digest: good ones alone, of adjacent equal digests the first."""
-    w = Window.partitionBy("url").orderBy("timestamp")
+    """(url, timestamp, digest, archive_path) of an archive's index with columns url, timestamp (14 digits), original, statuscode and digest: good ones alone, of adjacent equal digests the first.
+    Captures of one second stand as an index sorts its lines: by original, then by digest."""
+    w = Window.partitionBy("url").orderBy("timestamp", "original", "digest")
     good = index.where(F.col("statuscode").cast("string") == "200").withColumn("_was", F.lag("digest").over(w))
     return good.where(~F.col("digest").eqNullSafe(F.col("_was"))).select("url", "timestamp", F.try_to_timestamp("timestamp", F.lit("yyyyMMddHHmmss")).alias("date"), "digest", F.concat_ws("/", F.lit("web"), "timestamp", "original").alias("archive_path"))
 

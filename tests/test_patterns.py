@@ -78,3 +78,16 @@ def test_shared_phones_are_one_row_a_number(spark):
     rows = [(3, "+966 11-1"), (1, "966111"), (2, "5"), (4, None), (5, ""), (6, "x"), (7, "966-111")]
     got = {r["number"]: (r["hotels"], r["first"], r["ids"]) for r in search.shared_phones(spark.createDataFrame(rows, "id long, phone string")).collect()}
     assert got == {"966111": (3, 1, [1, 3, 7]), "": (2, 5, [5, 6])}
+
+
+def test_captures_of_one_second_have_an_order(spark):
+    """Captures of a second go by original, then digest, however the index is dealt and read; the rest goes by time."""
+    rnd = random.Random(4)
+    rows = [(f"u{rnd.randrange(8)}", f"2020010112000{rnd.randrange(6)}", rnd.choice("ab"), rnd.choice(["200", "200", "404"]), rnd.choice(["D0", "D1", "D2", None])) for _ in range(400)]
+    want, good = [], sorted((r for r in rows if r[3] == "200"), key=lambda r: (*r[:3], r[4] or ""))
+    for was, r in zip([None, *good], good):
+        if r[4] != (was[4] if was and was[0] == r[0] else None):
+            want.append((r[0], r[1], r[4] or "", f"web/{r[1]}/{r[2]}"))
+    for n, order in ((1, rows), (1, rows[::-1]), (5, sorted(rows, key=lambda r: r[4] or "", reverse=True))):
+        index = spark.createDataFrame(order, "url string, timestamp string, original string, statuscode string, digest string").repartition(n)
+        assert sorted((r["url"], r["timestamp"], r["digest"] or "", r["archive_path"]) for r in temporal.captures(index).collect()) == sorted(want)
