@@ -106,3 +106,16 @@ def test_pairs_are_ruled_out_by_lengths_before_texts(spark):
     got = groups._alike(p, pairs, 0.7)
     assert "0.699999999" in _plan(got)
     assert {tuple(r) for r in got.collect()} == {(1, 3), (4, 5)}
+
+
+def test_close_events_send_no_pairs(spark):
+    """Each pair of hotels is given once with all its close events, wherever they meet, in slices; no row is summed after the pairs are made."""
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(30) if rnd.random() < 0.97 else None, rnd.choice(["name", "owner", None]), None if rnd.random() < 0.05 else dt.datetime(2019, 11, 20) + dt.timedelta(days=rnd.randrange(300))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "hotel_id long, event_type string, event_date timestamp_ntz")
+    want = Counter((a[1], a[0], b[0]) for a in rows for b in rows if None not in (*a, *b) and a[1] == b[1] and a[0] < b[0] and abs((a[2] - b[2]).days) <= 30)
+    for per_task in (4_000_000, 50):
+        got = temporal.close_events(df, 30, per_task)
+        assert {tuple(r)[:3]: r["n"] for r in got.collect()} == dict(want) and got.count() == len(want)
+        assert "Aggregate" not in _plan(got)
+    assert max(want.values()) > 10
